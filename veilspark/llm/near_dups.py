@@ -39,26 +39,49 @@ SKETCH = "doc_id bigint, same binary, n_shingles bigint, bands array<bigint>, si
 
 
 class Shingler:
-    """Shingle sets of texts as sorted distinct 64-bit hashes. Words are lower-cased (A-Z) runs without ASCII white space."""
-
-    def __init__(self, size: int, most: int = 1_000_000):
-        self.size, self.most, self.known = size, most, {}
-
-    def words(self, text: bytes) -> list[bytes]:
-        return text.lower().split()
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def set_of(self, words: list[bytes]) -> np.ndarray:
-        if not words:
+    """Shingle sets of texts as sorted distinct 64-bit hashes. Words are lower-cased (A-Z) runs without ASCII white space.
+
+    A word's hash is a difference of prefix sums of a polynomial over random byte values (mod 2**64), so a text is
+    hashed by a few array operations and no word becomes an object."""
+
+    _R = 0x9E3779B97F4A7C15 | 5
+    _BYTES = np.random.default_rng(977).integers(0, 1 << 64, 256, dtype=np.uint64)
+    _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self, size: int):
+        self.size = size
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.power):
+            m = 1 << (n - 1).bit_length()
+            back = pow(self._R, -1, 1 << 64)
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.r_[np.uint64(1), np.full(m - 1, self._R, np.uint64)])
+                self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(m - 1, back, np.uint64)])
+
+    def words(self, text: bytes) -> np.ndarray:
+        """A hash for each word, in order."""
+        b = np.frombuffer(text.lower(), np.uint8)
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = ~self._BLANK[b]
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        self._powers(len(b))
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(self._BYTES[b] * self.power[: len(b)], out=total[1:])
+            h = (total[end] - total[start]) * self.inverse[start] ^ (end - start).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    def set_of(self, h: np.ndarray) -> np.ndarray:
+        """The distinct shingles of a text's word hashes."""
+        if not len(h):
             return np.zeros(0, np.uint64)
-        h, k = self.hashes(words), min(self.size, len(words))
+        k = min(self.size, len(h))
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
         with np.errstate(over="ignore"):
@@ -129,7 +152,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 n.append(len(s))
                 if len(s):
                     v = min_hashes(s)
-                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    same.append(xxhash.xxh3_128_digest(words.tobytes()))
                     bands.append(band_hashes(v))
                     sig.append(v[:KEPT_VALUES].astype(np.uint16).tobytes())
                 else:

@@ -231,7 +231,7 @@ def to_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 def archive(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
     """Write the archives of the pages to ``path``."""
-    register(prepare(pages.sparkSession, 500))
+    register(prepare(pages.sparkSession))
     rows = to_records(pages, min_bytes)
     revisit = F.col("revisit")
     out = rows.select("page_id", "target_uri", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "payload_bytes", "payload_digest", F.when(revisit, F.col("first_page")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))

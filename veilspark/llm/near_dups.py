@@ -1,8 +1,8 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact confirmation.
 
 1. Texts with the same words in the same order are one class; only its smallest doc_id goes on.
-2. Each class has ``BANDS`` x ``ROWS`` MinHash values. Documents that share a band's hash are in one bucket. A bucket gives two
-   pairs a member: with the bucket's smallest id and with the next smaller id.
+2. Each class has ``BANDS`` x ``ROWS`` MinHash values. Documents that share a band's hash are in one bucket. A bucket pairs
+   each member with its smallest id (and in buckets of three the other two with each other), so pairs grow as members do.
 3. A pair's signatures are compared in batches of ``BATCH`` values. With a uniform prior on the similarity, n compared values of
    which m agree leave P(similarity >= t) = P(Bin(n + 1, t) <= m); the pair is pruned as soon as that falls under ``miss``.
 4. Survivors are confirmed on their full shingle sets. Confirmed links give components.
@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import cut, fresh, prepare, raw_texts
@@ -178,8 +178,17 @@ def likely(pairs: DataFrame, reps: DataFrame, t: float, miss: float) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def homes(multi: DataFrame) -> DataFrame:
+    """id, block: documents of one neighbourhood (the smallest id that leads one of a document's buckets) in blocks of
+    about BLOCK members, so that a set is sent once to a pair of blocks and not once to every pair of documents."""
+    home = multi.groupBy("id").agg(F.min("lead").alias("home"))
+    size = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    return home.join(size, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("n_blocks"))).alias("block"))
+
+
+def confirmed(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union. Pairs are dealt into cells of two blocks; the
+    sets that a cell needs come once, before its pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
 
@@ -189,19 +198,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.set_of(own.words(x)).tobytes() for x in raw_texts(batch)], pa.binary())], names=["id", "shingles"])
 
     full = cut(wanted.mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    side = lambda x: blocks.select(F.col("id").alias(x), F.col("block").alias("block_" + x))
+    placed = cut(pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b"), "placed")
+    need = placed.select("x", "y", F.explode(F.array("a", "b")).alias("a")).distinct().join(full.withColumnRenamed("id", "a"), "a")
+    none = F.lit(None).cast("bigint")
+    rows = need.select("x", "y", F.col("a"), none.alias("b"), "shingles").unionByName(placed.select("x", "y", "a", "b", F.lit(None).cast("binary").alias("shingles")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            a_out, b_out = [], []
+            for x, y, a, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (x, y) != now:
+                    now, held = (x, y), {}
+                if b is None:
+                    held[a] = np.frombuffer(data, np.uint64)
+                    continue
+                p, q = held[a], held[b]
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                if 100 * common >= percent * (len(p) + len(q) - common):
+                    a_out.append(a)
+                    b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    dealt = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.col("b").asc_nulls_first())
+    return dealt.select("x", "y", "a", "b", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -288,15 +309,15 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-
     rows = reps.select("id", F.explode("bands").alias("bucket"))
     often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).filter("n > 1")
     multi = cut(rows.join(often, "bucket").select("bucket", "id", "n", "lead"), "buckets")
-    prev = F.lag("id").over(Window.partitionBy("bucket", "salt").orderBy("id"))
-    # The next smaller id is taken within a salted part of the bucket, so no window holds a whole hot bucket.
-    pairs = multi.withColumn("salt", F.when(F.col("n") > 4 * BLOCK, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).otherwise(0)).withColumn("prev", prev)
-    pairs = pairs.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("id").alias("b")), F.struct(F.col("prev").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.*").filter("a < b").distinct()
-    links = cut(confirmed(cut(likely(pairs, reps, t, miss), "likely"), docs, shingle, percent), "links")
+    star = multi.select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    third = multi.filter("n = 3").groupBy("bucket").agg(F.max("id").alias("b"), (F.sum("id") - F.max("id") - F.min("id")).alias("a")).select("a", "b")
+    pairs = star.unionByName(third).filter("a < b").distinct()
+    blocks = homes(multi)
+    links = cut(confirmed(cut(likely(pairs, reps, t, miss), "likely"), blocks, docs, shingle, percent), "links")
     comp = components(links)
     more = cut(_across(multi, reps, comp, t, miss), "across")
     if not more.isEmpty():
-        links = links.unionByName(cut(confirmed(more, docs, shingle, percent), "links"))
+        links = links.unionByName(cut(confirmed(more, blocks, docs, shingle, percent), "links"))
         comp = components(links)
     member = sketch.select("doc_id", "n_shingles", "same").join(first, "same", "left").join(comp, "id", "left")
     component = F.coalesce("component", "id", "doc_id")

@@ -8,7 +8,7 @@
 4. Survivors are confirmed on their full shingle sets. Confirmed links give components.
 5. Buckets of four or more that still hold several components are compared in full across components, in blocks of
    members: members outside the component of the bucket's smallest id go to every block, those inside to one. The survivors
-   of step 3 are confirmed as before, and components are taken again over all links.
+   of step 3 are confirmed there on their full sets, and components are taken again over all links.
 
 A pair of similarity t shares no band with probability (1 - t**ROWS)**BANDS: 2.5e-7 at 0.8.
 
@@ -33,6 +33,7 @@ from veilspark.llm.common import cut, fresh, prepare, raw_texts
 ROWS, BANDS = 6, 50
 KEPT_VALUES, BATCH = 128, 16  # values of a signature that verification may compare, and how many at a time
 BLOCK = 256  # members of a bucket in a block
+FEW = 1_000_000  # ids (8 MB) that may be broadcast
 _A = (np.random.default_rng(20240229).integers(1, 1 << 31, ROWS * BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.default_rng(8271).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 SKETCH = "doc_id bigint, same binary, n_shingles bigint, bands array<bigint>, signature binary"
@@ -186,10 +187,10 @@ def homes(multi: DataFrame) -> DataFrame:
     return home.join(size, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("n_blocks"))).alias("block"))
 
 
-def confirmed(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union. Pairs are dealt into cells of two blocks; the
-    sets that a cell needs come once, before its pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """id, shingles of the documents named. A list of up to FEW ids is broadcast, a longer one is joined by shuffling."""
+    ids = cut(ids.distinct(), "candidates")
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,20 @@ def confirmed(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, shingle: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.set_of(own.words(x)).tobytes() for x in raw_texts(batch)], pa.binary())], names=["id", "shingles"])
 
-    full = cut(wanted.mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
+    return cut(wanted.mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
+
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    common = int((q[at] == p).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def confirmed(pairs: DataFrame, blocks: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike. Pairs are dealt into cells of two blocks; the sets that a cell needs come once,
+    before its pairs."""
     side = lambda x: blocks.select(F.col("id").alias(x), F.col("block").alias("block_" + x))
     placed = cut(pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b"), "placed")
     need = placed.select("x", "y", F.explode(F.array("a", "b")).alias("a")).distinct().join(full.withColumnRenamed("id", "a"), "a")
@@ -214,9 +228,7 @@ def confirmed(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, shingle: int
                 if b is None:
                     held[a] = np.frombuffer(data, np.uint64)
                     continue
-                p, q = held[a], held[b]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * common >= percent * (len(p) + len(q) - common):
+                if alike(held[a], held[b], percent):
                     a_out.append(a)
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
@@ -243,22 +255,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _across(multi: DataFrame, reps: DataFrame, comp: DataFrame, t: float, miss: float) -> DataFrame:
-    """Step 5: pairs across components in buckets that hold several."""
-    spark = multi.sparkSession
+def _across(multi: DataFrame, reps: DataFrame, full: DataFrame, comp: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Step 5: links across components in buckets that hold several. A pair is looked at in the first of its common bands
+    only; buckets of two and three members have been compared in full before."""
+    spark, t = multi.sparkSession, percent / 100
     at = multi.filter("n > 3").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component"))["component"].alias("main")).filter("low <> high").select("bucket", "main")
     rows = cut(at.join(mixed, "bucket").select("bucket", "id", "component", (F.col("component") == F.col("main")).alias("inside")), "mixed")
     sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("inside").cast("int")) / BLOCK).alias("in_blocks"), F.ceil(F.sum((~F.col("inside")).cast("int")) / BLOCK).alias("out_blocks"))
-    rows = rows.join(sizes, "bucket").join(reps.select("id", F.col("n").alias("size"), "signature"), "id")
+    rows = rows.join(sizes, "bucket").join(reps.select("id", F.col("n").alias("size"), "signature", "bands"), "id").join(full, "id")
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     # Cells: (inside block, outside block) and pairs of outside blocks; a member inside stands in one row of cells.
     inside = rows.filter("inside").withColumn("x", pick("in_blocks")).select("*", F.explode(F.expr("sequence(0L, out_blocks - 1)")).alias("y")).withColumn("x", -1 - F.col("x"))
     outside = rows.filter("not inside").withColumn("own", pick("out_blocks"))
     to_in = outside.select("*", F.explode(F.expr("sequence(1L, in_blocks)")).alias("x0")).select(*outside.columns, (-F.col("x0")).alias("x"), F.col("own").alias("y"))
     to_out = outside.select("*", F.explode(F.expr("sequence(0L, out_blocks - 1)")).alias("o")).select(*outside.columns, F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
-    names = ["bucket", "x", "y", "inside", "id", "component", "size", "signature"]
-    cells = inside.select(*names).unionByName(to_in.select(*names)).unionByName(to_out.select(*names)).withColumn("outer", F.col("x") >= 0)
+    names = ["bucket", "x", "y", "inside", "id", "component", "size", "signature", "bands", "shingles"]
+    cells = inside.select(*names).unionByName(to_in.select(*names)).unionByName(to_out.select(*names))
     bounds = pruning_bounds(t, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +282,8 @@ def _across(multi: DataFrame, reps: DataFrame, comp: DataFrame, t: float, miss:
             cell = np.stack([t_.column(k).to_numpy() for k in ("bucket", "x", "y")], axis=1)
             ids, comp_, size = (t_.column(k).to_numpy() for k in ("id", "component", "size"))
             sig = _signatures(t_.column("signature"))
+            band = t_.column("bands").combine_chunks().values.to_numpy().reshape(-1, BANDS)
+            data = t_.column("shingles")
             edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True])
             a, b = [], []
             for lo, hi in zip(edge, edge[1:], strict=False):
@@ -277,9 +292,18 @@ def _across(multi: DataFrame, reps: DataFrame, comp: DataFrame, t: float, miss:
                 on = (comp_[p] != comp_[q]) & (np.minimum(size[p], size[q]) >= np.maximum(size[p], size[q]) * (t - 1e-9))
                 p, q = p[on], q[on]
                 live = survive(sig[p], sig[q], bounds)
-                a.append(np.minimum(ids[p[live]], ids[q[live]]))
-                b.append(np.maximum(ids[p[live]], ids[q[live]]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+                p, q = p[live], q[live]
+                same = band[p] == band[q]
+                here = band[p, same.argmax(axis=1)] == cell[lo, 0]
+                sets_: dict[int, np.ndarray] = {}
+                for i, j in zip(p[here].tolist(), q[here].tolist(), strict=True):
+                    for k in (i, j):
+                        if k not in sets_:
+                            sets_[k] = np.frombuffer(data[k].as_py(), np.uint64)
+                    if alike(sets_[i], sets_[j], percent):
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -294,9 +318,9 @@ def _across(multi: DataFrame, reps: DataFrame, comp: DataFrame, t: float, miss:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    prepare(spark)
     order = ["bucket", "x", "y"]
-    return cells.select(*order, "id", "component", "size", "signature").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.select(*order, "id", "component", "size", "signature", "bands", "shingles").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
@@ -313,12 +337,12 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-
     third = multi.filter("n = 3").groupBy("bucket").agg(F.max("id").alias("b"), (F.sum("id") - F.max("id") - F.min("id")).alias("a")).select("a", "b")
     pairs = star.unionByName(third).filter("a < b").distinct()
     blocks = homes(multi)
-    links = cut(confirmed(cut(likely(pairs, reps, t, miss), "likely"), blocks, docs, shingle, percent), "links")
+    full = full_sets(multi.select("id"), docs, shingle)
+    links = cut(confirmed(cut(likely(pairs, reps, t, miss), "likely"), blocks, full, percent), "links")
     comp = components(links)
-    more = cut(_across(multi, reps, comp, t, miss), "across")
+    more = cut(_across(multi, reps, full, comp, percent, miss), "across")
     if not more.isEmpty():
-        links = links.unionByName(cut(confirmed(more, blocks, docs, shingle, percent), "links"))
-        comp = components(links)
+        comp = components(links.unionByName(more))
     member = sketch.select("doc_id", "n_shingles", "same").join(first, "same", "left").join(comp, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

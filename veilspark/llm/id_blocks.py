@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -41,11 +42,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE tokenizer. Words repeat: a blank between two visible characters always starts a new
-    pre-token, so texts are cut there and each distinct part, and each distinct pre-token, goes to the library once.
-    Texts with other white space around blanks, or with an added token's string, go to the library whole."""
+    """Ids of a byte-level BPE tokenizer. Words repeat: between visible characters, a blank always starts a new pre-token and
+    a newline is one of its own, so texts are cut there, and each distinct part goes to the library once. Texts where
+    white space meets white space or the text's edge, or with an added token's string, go to the library whole."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 900_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -58,10 +59,10 @@ class ByteEncoder:
         self.find = regex.compile(PATTERN).findall
         self.most = most
         self.parts: dict[str, bytes | None] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}  # pre-tokens that stand only within parts
 
     def whole(self, xs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch(xs, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(xs, add_special_tokens=False)] if xs else []
 
     def encode(self, xs: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
@@ -69,10 +70,13 @@ class ByteEncoder:
             return self.whole(xs)
         if len(self.parts) > self.most:
             self.parts.clear()
-        if len(self.tokens) > self.most:
-            self.tokens.clear()
+        if len(self.inner) > self.most // 4:
+            self.inner.clear()
         split = [None if any(s in x for s in self.special) else self._cut(x) for x in xs]
-        self._learn({p for ps in split if ps for p in ps}.difference(self.parts))
+        new: set[str] = set()
+        for ps in split:
+            new.update(ps or ())
+        self._learn(new.difference(self.parts))
         out: list[bytes | None] = []
         for ps in split:
             try:
@@ -86,23 +90,46 @@ class ByteEncoder:
 
     @staticmethod
     def _cut(x: str) -> list[str]:
-        """The text's parts; every one but the first begins with its blank (written as a leading U+0000 when the text has none)."""
+        """The text's parts: newlines alone, every other part but the first with the blank before it."""
         if "\x00" in x:
             return [x]
-        return x.replace(" ", "\x00 ").split("\x00")
+        return x.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def _learn(self, new: set[str]) -> None:
-        found: dict[str, list[str]] = {}
+        """Add parts to those known. A part of one pre-token is known by its own name, so others find it there."""
+        parts, single, several, lack = self.parts, [], [], set()
         for p in new:
             body = p[1:] if p[:1] == " " else p
-            if (p[:1] == " " and not body) or (body and (not body[0].isprintable() or not body[-1].isprintable() or body[0].isspace() or body[-1].isspace())):
-                self.parts[p] = None
+            core = body[:-1] if body[-1:] in ".," else body
+            if core.isascii() and (core.isalpha() or core.isdigit()):
+                # letters, or digits, and at most one mark after them: one pre-token, or two
+                word = p[: len(p) - len(body) + len(core)]
+                ts = [word] if core is body else [word, body[-1]]
+            elif p == "\n":
+                ts = [p]
+            elif not body or not body[0].isprintable() or not body[-1].isprintable() or body[0].isspace() or body[-1].isspace():
+                parts[p] = None
+                continue
+            else:
+                ts = self.find(p)
+            if len(ts) > 1:
+                several.append((p, ts))
+            else:
+                single.append(p)
+            lack.update(ts)
+        own = self.inner
+        lack = [t for t in lack if t not in own and not parts.get(t)]
+        fresh = dict(zip(lack, self.whole(lack), strict=True))
+        for p in single:
+            if p in fresh or p in own:
+                parts[p] = fresh.pop(p, None) or own[p]
+        for t, ids in fresh.items():
+            if t[:1] == " " and t[1:].isalpha():
+                parts[t] = ids
             else:
-                found[p] = self.find(p)
-        lack = list({t for ts in found.values() for t in ts}.difference(self.tokens))
-        self.tokens.update(zip(lack, self.whole(lack), strict=True))
-        get = self.tokens.__getitem__
-        self.parts.update((p, b"".join(map(get, ts))) for p, ts in found.items())
+                own[t] = ids
+        for p, ts in several:
+            parts[p] = b"".join([own[t] if t in own else parts[t] for t in ts])
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}

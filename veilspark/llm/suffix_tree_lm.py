@@ -86,7 +86,6 @@ class SuffixTree:
         A = int(common.sum()) + 1
         others = 256 - (A - 1)
         root = np.full(A, strength / A)
-        root[self.symbol[keys.astype(np.int64)]] += 0  # (the uniform part)
         np.add.at(root, self.symbol[keys.astype(np.int64)], n.astype(np.float64))
         root /= root.sum()
         # Distributions level by level; a context's row starts from its suffix's.
@@ -104,7 +103,7 @@ class SuffixTree:
             at[at == len(codes[k - 1])] = 0
             ok &= codes[k - 1][at] == suffix
             # explicit mass of a context: what was counted of it often enough to be kept
-            whole = self._total(grams, k, ctx)
+            whole = np.maximum(self._total(grams, k, ctx), size)  # padding is a context but never counted as a symbol
             ok &= whole >= least
             ok &= ((ctx == 0) | ~self._rare(ctx, k))
             new = np.cumsum(ok) - 1

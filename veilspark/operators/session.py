@@ -58,18 +58,31 @@ def _pattern_column() -> Column:
     return F.when(F.col("case_sensitive"), body).otherwise(F.concat(F.lit("(?iu:"), body, F.lit(")")))
 
 
+FEW_TERMS = 200  # so many are searched for in one pass; longer lists meet the blocks by a join
+
+
 def instances(blocks: DataFrame, terms: DataFrame, detector: str = "manual") -> DataFrame:
     """Every occurrence of every term in the text blocks, as detections with detection_id over page-level offsets (each
     block begins one character after the one before ends).
 
-    Terms are a workspace's own list. Blocks and terms meet on the term's first word where it stands free, so texts are
-    searched only for terms that can occur in them; a plain cross join is not needed."""
+    A short list becomes literal patterns of one pass over the blocks. A longer one meets the blocks on the first
+    characters of its terms, so texts are searched only for terms that can occur in them."""
     order = Window.partitionBy("doc_id", "page_number").orderBy("block_ord").rowsBetween(Window.unboundedPreceding, -1)
     text = blocks.filter(F.col("block_type") == "text").withColumn("page_start", F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0)).cast("int"))
-    words = text.select("doc_id", "page_number", "block_ord", F.explode(F.array_distinct(_grams(F.lower("text")))).alias("gram"))
-    t = terms.withColumns({"term_pattern": _pattern_column(), "gram": F.substring(F.substring_index(F.lower(F.trim("term")), " ", 1), 1, 3)})
-    hits = words.join(t, "gram").select("doc_id", "page_number", "block_ord", "term", "label", "term_pattern").distinct()
-    found = text.join(hits, ["doc_id", "page_number", "block_ord"]).withColumn("s", F.explode(spans_of(F.col("text"), F.col("term_pattern"))))
+    few = terms.select("term", "label", "case_sensitive").limit(FEW_TERMS + 1).collect()
+    if not few:
+        found = text.withColumns({"term": F.lit(""), "label": F.lit(""), "s": F.struct(F.lit("").alias("value"), F.lit(0).alias("start"), F.lit(0).alias("end"))}).filter(F.lit(False))
+    elif len(few) <= FEW_TERMS:
+
+        def one(term: str, label: str, exact: bool) -> Column:
+            return F.transform(spans_of(F.col("text"), loose_pattern(term, exact)), lambda s: F.struct(F.lit(term).alias("term"), F.lit(label).alias("label"), s.alias("s")))
+
+        found = text.withColumn("hit", F.explode(F.concat(*(one(*r) for r in few)))).select(*text.columns, "hit.*")
+    else:
+        words = text.select("doc_id", "page_number", "block_ord", F.explode(F.array_distinct(_grams(F.lower("text")))).alias("gram"))
+        t = terms.withColumns({"term_pattern": _pattern_column(), "gram": F.substring(F.substring_index(F.lower(F.trim("term")), " ", 1), 1, 3)})
+        hits = words.join(t, "gram").select("doc_id", "page_number", "block_ord", "term", "label", "term_pattern").distinct()
+        found = text.join(hits, ["doc_id", "page_number", "block_ord"]).withColumn("s", F.explode(spans_of(F.col("text"), F.col("term_pattern"))))
     out = found.select("doc_id", "page_number", "block_ord", F.lit(detector).alias("detector_name"), tidy_label(F.col("label")).alias("detection_type"), F.col("s.value").alias("text"), (F.col("page_start") + F.col("s.start")).alias("start"), (F.col("page_start") + F.col("s.end")).alias("end"), "bbox", F.lit(1.0).alias("confidence"), F.array(F.concat(F.lit("marked term '"), F.col("term"), F.lit("'"))).alias("reasons"))
     return with_ids(out)
 

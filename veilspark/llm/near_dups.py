@@ -198,7 +198,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.set_of(own.words(x)).tobytes() for x in raw_texts(batch)], pa.binary())], names=["id", "shingles"])
 
-    return cut(wanted.mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
+    return cut(wanted.mapInArrow(sets, "id bigint, shingles binary"), "sets")
 
 
 def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -263,64 +263,73 @@ def _across(multi: DataFrame, reps: DataFrame, full: DataFrame, comp: DataFrame,
     mixed = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component"))["component"].alias("main")).filter("low <> high").select("bucket", "main")
     rows = cut(at.join(mixed, "bucket").select("bucket", "id", "component", (F.col("component") == F.col("main")).alias("inside")), "mixed")
     sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("inside").cast("int")) / BLOCK).alias("in_blocks"), F.ceil(F.sum((~F.col("inside")).cast("int")) / BLOCK).alias("out_blocks"))
-    rows = rows.join(sizes, "bucket").join(reps.select("id", F.col("n").alias("size"), "signature", "bands"), "id").join(full, "id")
+    rows = rows.join(sizes, "bucket").join(reps.select("id", F.col("n").alias("size"), "signature", "bands"), "id")
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     # Cells: (inside block, outside block) and pairs of outside blocks; a member inside stands in one row of cells.
     inside = rows.filter("inside").withColumn("x", pick("in_blocks")).select("*", F.explode(F.expr("sequence(0L, out_blocks - 1)")).alias("y")).withColumn("x", -1 - F.col("x"))
     outside = rows.filter("not inside").withColumn("own", pick("out_blocks"))
     to_in = outside.select("*", F.explode(F.expr("sequence(1L, in_blocks)")).alias("x0")).select(*outside.columns, (-F.col("x0")).alias("x"), F.col("own").alias("y"))
     to_out = outside.select("*", F.explode(F.expr("sequence(0L, out_blocks - 1)")).alias("o")).select(*outside.columns, F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
-    names = ["bucket", "x", "y", "inside", "id", "component", "size", "signature", "bands", "shingles"]
+    order, names = ["bucket", "x", "y"], ["bucket", "x", "y", "id", "component", "size", "signature", "bands"]
     cells = inside.select(*names).unionByName(to_in.select(*names)).unionByName(to_out.select(*names))
     bounds = pruning_bounds(t, miss)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; a cell's members are held together (at most about two blocks)."""
+    def surviving(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of the pairs in each cell that survive and have their first common band there."""
+        cell = np.stack([table.column(k).to_numpy() for k in order], axis=1)
+        comp_, size = (table.column(k).to_numpy() for k in ("component", "size"))
+        sig = _signatures(table.column("signature"))
+        band = table.column("bands").combine_chunks().values.to_numpy().reshape(-1, BANDS)
+        edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True])
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            p, q = np.triu_indices(hi - lo, 1)
+            p, q = p + lo, q + lo
+            on = (comp_[p] != comp_[q]) & (np.minimum(size[p], size[q]) >= np.maximum(size[p], size[q]) * (t - 1e-9))
+            p, q = p[on], q[on]
+            live = survive(sig[p], sig[q], bounds)
+            p, q = p[live], q[live]
+            here = band[p, (band[p] == band[q]).argmax(axis=1)] == cell[lo, 0]
+            if here.any():
+                yield p[here], q[here]
+
+    def cellwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows come sorted by cell; a cell's members (at most about two blocks) are put together."""
         held: list[pa.RecordBatch] = []
-
-        def pairs(t_: pa.Table) -> pa.RecordBatch:
-            cell = np.stack([t_.column(k).to_numpy() for k in ("bucket", "x", "y")], axis=1)
-            ids, comp_, size = (t_.column(k).to_numpy() for k in ("id", "component", "size"))
-            sig = _signatures(t_.column("signature"))
-            band = t_.column("bands").combine_chunks().values.to_numpy().reshape(-1, BANDS)
-            data = t_.column("shingles")
-            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True])
-            a, b = [], []
-            for lo, hi in zip(edge, edge[1:], strict=False):
-                p, q = np.triu_indices(hi - lo, 1)
-                p, q = p + lo, q + lo
-                on = (comp_[p] != comp_[q]) & (np.minimum(size[p], size[q]) >= np.maximum(size[p], size[q]) * (t - 1e-9))
-                p, q = p[on], q[on]
-                live = survive(sig[p], sig[q], bounds)
-                p, q = p[live], q[live]
-                same = band[p] == band[q]
-                here = band[p, same.argmax(axis=1)] == cell[lo, 0]
-                sets_: dict[int, np.ndarray] = {}
-                for i, j in zip(p[here].tolist(), q[here].tolist(), strict=True):
-                    for k in (i, j):
-                        if k not in sets_:
-                            sets_[k] = np.frombuffer(data[k].as_py(), np.uint64)
-                    if alike(sets_[i], sets_[j], percent):
-                        a.append(min(ids[i], ids[j]))
-                        b.append(max(ids[i], ids[j]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = [batch.column(k)[batch.num_rows - 1].as_py() for k in range(3)]
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            tail = int(np.flatnonzero((keys != last).any(axis=1)).max(initial=-1)) + 1  # where the last cell begins
+            tail = int(np.flatnonzero((keys != keys[-1]).any(axis=1)).max(initial=-1)) + 1  # where the last cell begins
             if tail:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                yield pa.Table.from_batches([*held, batch.slice(0, tail)])
                 held = []
             held.append(batch.slice(tail))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield pa.Table.from_batches(held)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in cellwise(batches):
+            hit = [np.concatenate(x) for x in surviving(table)]
+            if hit:
+                yield from table.select([*order, "id", "component"]).take(np.unique(np.concatenate(hit))).combine_chunks().to_batches()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in cellwise(batches):
+            ids, data, a, b = table.column("id").to_numpy(), table.column("shingles"), [], []
+            for p, q in surviving(table):
+                sets = {k: np.frombuffer(data[k].as_py(), np.uint64) for k in set(p.tolist()) | set(q.tolist())}
+                for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                    if alike(sets[i], sets[j], percent):
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     prepare(spark)
-    order = ["bucket", "x", "y"]
-    return cells.select(*order, "id", "component", "size", "signature", "bands", "shingles").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
+    deal = lambda df: df.repartition(*order).sortWithinPartitions(*order)
+    # Signatures first: only members with a surviving pair in a cell bring their full sets there.
+    few = cut(deal(cells).select(*names).mapInArrow(members, "bucket bigint, x bigint, y bigint, id bigint, component bigint"), "members")
+    again = few.join(reps.select("id", F.col("n").alias("size"), "signature", "bands"), "id").join(full, "id")
+    return deal(again.select(*names, "shingles")).mapInArrow(links, "a bigint, b bigint").distinct()
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:

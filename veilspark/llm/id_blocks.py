@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,6 @@ from veilspark.llm.common import cut, prepare, texts
 MAGIC, VERSION = b"VSID", 1
 HEAD = struct.Struct("<4sI32sQQ")
 INDEX = np.dtype([("doc_id", "<i8"), ("first", "<u8"), ("offset", "<u8"), ("n", "<u4"), ("null", "<u4")])
-#: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteEncoder:
@@ -46,20 +45,17 @@ class ByteEncoder:
     a newline is one of its own, so texts are cut there, and each distinct part goes to the library once. Texts where
     white space meets white space or the text's edge, or with an added token's string, go to the library whole."""
 
-    def __init__(self, path: str, most: int = 900_000):
-        import regex
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         pre = conf.get("pre_tokenizer") or {}
-        self.cuttable = conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and conf["model"]["type"] == "BPE" and not conf["model"].get("dropout")
+        self.cuttable = conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and conf["model"]["type"] == "BPE" and not conf["model"].get("dropout")
         self.special = [x["content"] for x in conf.get("added_tokens", [])]
-        self.find = regex.compile(PATTERN).findall
         self.most = most
         self.parts: dict[str, bytes | None] = {}
-        self.inner: dict[str, bytes] = {}  # pre-tokens that stand only within parts
 
     def whole(self, xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(xs, add_special_tokens=False)] if xs else []
@@ -70,13 +66,12 @@ class ByteEncoder:
             return self.whole(xs)
         if len(self.parts) > self.most:
             self.parts.clear()
-        if len(self.inner) > self.most // 4:
-            self.inner.clear()
         split = [None if any(s in x for s in self.special) else self._cut(x) for x in xs]
         new: set[str] = set()
+        known = self.parts.__contains__
         for ps in split:
-            new.update(ps or ())
-        self._learn(new.difference(self.parts))
+            new.update(filterfalse(known, ps or ()))
+        self._learn(new)
         out: list[bytes | None] = []
         for ps in split:
             try:
@@ -96,40 +91,16 @@ class ByteEncoder:
         return x.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def _learn(self, new: set[str]) -> None:
-        """Add parts to those known. A part of one pre-token is known by its own name, so others find it there."""
-        parts, single, several, lack = self.parts, [], [], set()
-        for p in new:
+        """Add parts to those known: None for a part with white space or controls at its edges, which must not be cut off.
+        Visible characters only, after the one blank, are the common case and need no further look."""
+        clean = [p for p in new if p.isprintable() and p and p != " "]
+        for p in new.difference(clean):
             body = p[1:] if p[:1] == " " else p
-            core = body[:-1] if body[-1:] in ".," else body
-            if core.isascii() and (core.isalpha() or core.isdigit()):
-                # letters, or digits, and at most one mark after them: one pre-token, or two
-                word = p[: len(p) - len(body) + len(core)]
-                ts = [word] if core is body else [word, body[-1]]
-            elif p == "\n":
-                ts = [p]
-            elif not body or not body[0].isprintable() or not body[-1].isprintable() or body[0].isspace() or body[-1].isspace():
-                parts[p] = None
-                continue
+            if p == "\n" or body and not any(c.isspace() or not c.isprintable() for c in (body[0], body[-1])):
+                clean.append(p)
             else:
-                ts = self.find(p)
-            if len(ts) > 1:
-                several.append((p, ts))
-            else:
-                single.append(p)
-            lack.update(ts)
-        own = self.inner
-        lack = [t for t in lack if t not in own and not parts.get(t)]
-        fresh = dict(zip(lack, self.whole(lack), strict=True))
-        for p in single:
-            if p in fresh or p in own:
-                parts[p] = fresh.pop(p, None) or own[p]
-        for t, ids in fresh.items():
-            if t[:1] == " " and t[1:].isalpha():
-                parts[t] = ids
-            else:
-                own[t] = ids
-        for p, ts in several:
-            parts[p] = b"".join([own[t] if t in own else parts[t] for t in ts])
+                self.parts[p] = None
+        self.parts.update(zip(clean, self.whole(clean), strict=True))
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -144,7 +115,9 @@ def encoder(path: str) -> ByteEncoder:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dict_docs: int = 400, dict_chars: int = 8000, size: int = 64 << 10) -> bytes:
     """A dictionary from the id arrays of ``dict_docs`` documents of at most ``dict_chars`` characters; empty where there are too few to train on."""
-    few = docs.filter(F.length("text") <= dict_chars).select("text", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h")).orderBy("h", "text").limit(dict_docs)
+    h = F.xxhash64(F.col("doc_id"), F.lit(7))
+    share = min(1.0, 8 * dict_docs / max(1, docs.count()))  # rows that may be chosen at all: few go to the driver
+    few = docs.filter((F.length("text") <= dict_chars) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))).select("text", h.alias("h")).orderBy("h", "text").limit(dict_docs)
     own = encoder(tokenizer)
     sample = [x + struct.pack("<I", end_id) for x in own.encode([r[0] for r in few.collect()])]
     if len(sample) < 8 or sum(map(len, sample)) < 8 * size:

@@ -30,3 +30,16 @@ def regressions(now: DataFrame, baseline: DataFrame, tolerance: float = 0.02) ->
     b = baseline.select("detection_type", F.col("precision").alias("base_precision"), F.col("recall").alias("base_recall"))
     both = b.join(now.select("detection_type", "precision", "recall"), "detection_type", "left").fillna(1.0, ["precision", "recall"])
     return both.filter((F.col("precision") < F.col("base_precision") - tolerance) | (F.col("recall") < F.col("base_recall") - tolerance))
+
+
+def list_match(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """n_matched, n_missed, n_false, recall and precision of each document; every listed value counts, repeats included.
+    Values are compared without blanks, dashes and +91, in lower case."""
+    plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, "[ -]", ""), r"\+91", ""))
+    bag = lambda df, n: df.select("doc_id", "detection_type", plain(F.col("text")).alias("value")).groupBy("doc_id", "detection_type", "value").agg(F.count(F.lit(1)).alias(n))
+    both = bag(truth, "t").join(bag(found, "f"), ["doc_id", "detection_type", "value"], "full")
+    total = lambda c, on: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0))
+    known, hit = F.col("t").isNotNull(), F.col("f").isNotNull()
+    out = both.groupBy("doc_id").agg(total("t", known & hit).alias("n_matched"), total("t", ~hit).alias("n_missed"), total("f", ~known).alias("n_false"), total("f", hit).alias("n_found"))
+    share = lambda n: F.when(n == 0, 1.0).otherwise(F.col("n_matched") / n)
+    return out.select("doc_id", "n_matched", "n_missed", "n_false", share(F.col("n_matched") + F.col("n_missed")).alias("recall"), share(F.col("n_found")).alias("precision"))

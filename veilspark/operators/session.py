@@ -142,3 +142,13 @@ def summary(entries: DataFrame) -> DataFrame:
 def by_type(entries: DataFrame) -> DataFrame:
     """Groups of a document's entries by type and effective action."""
     return entries.groupBy("doc_id", "detection_type", F.coalesce("decision", "suggested_action").alias("action")).agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+def select_chars(words: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """Words that a dragged rectangle meets, with sel_from and sel_to: the characters its left and right edge cut off,
+    rounded in proportion to the word's width. Words with nothing selected are left out."""
+    b, n = F.col("bbox"), F.length("text")
+    hit = (b["x0"] < x1) & (b["x1"] > x0) & (b["y0"] < y1) & (b["y1"] > y0) & (n > 0) & (b["x1"] > b["x0"])
+    at = lambda x: F.floor((x - b["x0"]) / (b["x1"] - b["x0"]) * n + 0.5).cast("int")
+    out = words.filter(hit).withColumns({"sel_from": F.greatest(F.lit(0), at(x0)), "sel_to": F.least(n, at(x1))})
+    return out.filter("sel_to > sel_from")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import geometry as g
@@ -181,6 +181,36 @@ def blocks_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.blocks_from_words(b.select("doc_id", "page_number", "block_ord", "bbox"), words).select("doc_id", "page_number", "block_ord", "text")
 
 
+@query(f"{o.WITH} SELECT doc_id, page_number, block_ord, x0 * 2.0 AS x0, y0 * 2.0 AS y0, x1 * 2.0 AS x1, y1 * 2.0 AS y1 FROM s")
+def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S(spark, sf_dir).select("doc_id", "page_number", "block_ord", g.to_pixels(F.col("bbox")).alias("p")).select("doc_id", "page_number", "block_ord", "p.*")
+
+
+@query(
+    f"""{o.WITH}, n AS (SELECT *, lead(x1) OVER w AS bx1, lead(y0) OVER w AS by0, lead(y1) OVER w AS by1 FROM (SELECT * REPLACE (y1 + 4.0 AS y1) FROM s) WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY block_ord)),
+    i AS (SELECT *, greatest(0.0, least(x1, bx1) - 50.0) * greatest(0.0, least(y1, by1) - greatest(y0, by0)) AS shared FROM n WHERE bx1 IS NOT NULL)
+    SELECT doc_id, page_number, block_ord, NOT (y1 < by0 OR by1 < y0) AS touching, round(shared / ((x1 - 50.0) * (y1 - y0) + (bx1 - 50.0) * (by1 - by0) - shared), 9) AS iou FROM i"""
+)
+def neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block, made four points taller, against the next one on its page."""
+    tall = S(spark, sf_dir).withColumn("bbox", g.box(F.col("bbox.x0"), F.col("bbox.y0"), F.col("bbox.x1"), F.col("bbox.y1") + 4.0))
+    pair = tall.withColumn("b", F.lead("bbox").over(Window.partitionBy("doc_id", "page_number").orderBy("block_ord"))).filter("b is not null")
+    return pair.select("doc_id", "page_number", "block_ord", g.touch(F.col("bbox"), F.col("b")).alias("touching"), F.round(g.iou(F.col("bbox"), F.col("b")), 9).alias("iou"))
+
+
+@query(
+    f"""{o.WITH}, w AS (SELECT doc_id, page_number, block_ord, parts[i] AS word, 50.0 + coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0) * 6.0 AS wx, y0, y1 FROM (SELECT *, unnest(generate_series(2, len(parts), 2)) AS i FROM
+    (SELECT *, string_split(regexp_replace(text, '(\\S+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM s))),
+    c AS (SELECT *, greatest(0, floor((80.0 - wx) / (length(word) * 6.0) * length(word) + 0.5))::INT AS sel_from, least(length(word), floor((161.0 - wx) / (length(word) * 6.0) * length(word) + 0.5))::INT AS sel_to FROM w WHERE wx < 161.0 AND wx + length(word) * 6.0 > 80.0 AND y0 < 205.0 AND y1 > 110.0)
+    SELECT doc_id, page_number, block_ord, word, sel_from, sel_to FROM c WHERE sel_to > sel_from"""
+)
+def drag_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters that a rectangle dragged over each page selects."""
+    w = S(spark, sf_dir).select("doc_id", "page_number", "block_ord", F.explode(g.words_with_boxes(F.col("text"), F.col("bbox"))).alias("w")).select("doc_id", "page_number", "block_ord", "w.*")
+    picked = session.select_chars(w, F.lit(80.0), F.lit(110.0), F.lit(161.0), F.lit(205.0))
+    return picked.select("doc_id", "page_number", "block_ord", F.col("text").alias("word"), "sel_from", "sel_to")
+
+
 # --- detectors ------------------------------------------------------------------------------------------------------
 
 
@@ -416,6 +446,14 @@ def merged_redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_number", "redaction_type", "replacement_text", "bbox.*")
 
 
+@query(f"""{o.WITH}, q AS ({o.email()}) SELECT DISTINCT doc_id, page_number, round(50.0 + start * 6.0, 1) AS x0, y0, round(50.0 + "end" * 6.0, 1) AS x1, y1 FROM q""")
+def refined_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of e-mail redactions whose own box is the whole block's."""
+    b = _with_words(S(spark, sf_dir))
+    out = redaction.refined_boxes(redaction.plan(d.scan(b, d.EMAIL, 2)), b)
+    return out.select("doc_id", "page_number", F.round("bbox.x0", 1).alias("x0"), F.col("bbox.y0").alias("y0"), F.round("bbox.x1", 1).alias("x1"), F.col("bbox.y1").alias("y1"))
+
+
 # --- hybrid, quality, layout, banks ---------------------------------------------------------------------------------
 
 #: As OCR: every third block is missing from the native text, every OCR box is moved by two points.
@@ -475,6 +513,20 @@ def pipeline_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n", quality.label(source).alias("label"))
 
 
+@query(
+    f"""{_QUALITY}, c AS (SELECT r.doc_id, r.doc_id % 2 = 0 AS auto, r.doc_id % 3 = 0 AS force_ocr, regexp_matches(coalesce(text, ''), '\\S') AS has, CASE WHEN overall_score < 0.3 OR NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'ocr' WHEN overall_score < 0.7 THEN 'hybrid' ELSE 'native' END AS rec FROM r JOIN documents USING (doc_id))
+    SELECT doc_id, CASE WHEN auto AND rec = 'native' THEN 'native' WHEN NOT auto AND NOT force_ocr THEN 'native' WHEN has THEN 'hybrid' ELSE 'ocr' END AS source FROM c"""
+)
+def pipeline_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text a document's run would use, for the four ways to ask (automatic or not, OCR forced or not)."""
+    q = quality.quality(docs(spark, sf_dir))
+    has = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    rec = quality.recommend(F.lit(False), F.lit(1), has, F.lit(False), F.col("overall_score"))
+    auto, force = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    source = F.when(auto & force, quality.route(rec, True, True, has)).when(auto, quality.route(rec, True, False, has)).when(force, quality.route(rec, False, True, has)).otherwise(quality.route(rec, False, False, has))
+    return q.select("doc_id", source.alias("source"))
+
+
 @query()
 def document_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.diagnose(L(spark, sf_dir))
@@ -630,12 +682,15 @@ pr AS (SELECT detection_type, count(*) FILTER (f AND t)::BIGINT AS tp, count(*)
 m AS (SELECT *, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 9) AS recall FROM pr)"""
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")).selectExpr("k", *(f"{x} AS {n}" for n, x in statements.FIELDS.items()))
     pan = F.when(F.col("k") % 2 == 0, F.expr(statements.BLOCKS[2].replace("'PAN: ABC'", "'ABC'")))
-    truth = k.select(F.col("k").alias("doc_id"), F.explode(F.create_map(F.lit("PHONE"), "mobile", F.lit("ACCOUNT"), "account", F.lit("PAN"), pan)).alias("detection_type", "text")).filter("text is not null")
+    return k.select(F.col("k").alias("doc_id"), F.explode(F.create_map(F.lit("PHONE"), "mobile", F.lit("ACCOUNT"), "account", F.lit("PAN"), pan)).alias("detection_type", "text")).filter("text is not null")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = found(spark, sf_dir).filter(F.col("detection_type").isin("PHONE", "ACCOUNT", "PAN"))
-    return evaluation.precision_recall(hits, truth)
+    return evaluation.precision_recall(hits, _truth(spark, sf_dir))
 
 
 @query(f"{_PR} SELECT * FROM m")
@@ -648,3 +703,17 @@ def metric_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.createDataFrame([(t, 1.0, 1.0) for t in ("PHONE", "ACCOUNT", "PAN")], "detection_type string, precision double, recall double")
     now = _metrics(spark, sf_dir)
     return evaluation.regressions(now, base).withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
+_BAG = "lower(replace(replace(replace(text, ' ', ''), '-', ''), '+91', ''))"
+
+
+@query(
+    f"""{o.WITH}, {o.ALL}, {_TRUTH}, a AS (SELECT doc_id, detection_type, {_BAG} AS v, count(*) AS n FROM d WHERE detection_type IN ('PHONE', 'ACCOUNT', 'PAN') GROUP BY ALL), b AS (SELECT doc_id, detection_type, {_BAG} AS v, count(*) AS n FROM t WHERE text IS NOT NULL GROUP BY ALL),
+    j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n AS f, b.n AS t FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.detection_type = b.detection_type AND a.v = b.v),
+    g AS (SELECT doc_id, coalesce(sum(t) FILTER (f IS NOT NULL), 0)::BIGINT AS n_matched, coalesce(sum(t) FILTER (f IS NULL), 0)::BIGINT AS n_missed, coalesce(sum(f) FILTER (t IS NULL), 0)::BIGINT AS n_false, coalesce(sum(f), 0)::BIGINT AS n_found FROM j GROUP BY doc_id)
+    SELECT doc_id, n_matched, n_missed, n_false, round(CASE WHEN n_matched + n_missed = 0 THEN 1.0 ELSE n_matched / (n_matched + n_missed) END, 9) AS recall, round(CASE WHEN n_found = 0 THEN 1.0 ELSE n_matched / n_found END, 9) AS precision FROM g"""
+)
+def list_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = found(spark, sf_dir).filter(F.col("detection_type").isin("PHONE", "ACCOUNT", "PAN"))
+    return evaluation.list_match(hits, _truth(spark, sf_dir)).withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})

@@ -187,10 +187,14 @@ def homes(multi: DataFrame) -> DataFrame:
     return home.join(size, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("n_blocks"))).alias("block"))
 
 
+def listed(ids: DataFrame, tag: str) -> DataFrame:
+    """A list of ids written once; broadcast where it has at most FEW, else joined by shuffling."""
+    ids = cut(ids.distinct(), tag)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """id, shingles of the documents named. A list of up to FEW ids is broadcast, a longer one is joined by shuffling."""
-    ids = cut(ids.distinct(), "candidates")
-    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    """id, shingles of the documents listed."""
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +265,7 @@ def _across(multi: DataFrame, reps: DataFrame, full: DataFrame, comp: DataFrame,
     spark, t = multi.sparkSession, percent / 100
     at = multi.filter("n > 3").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component"))["component"].alias("main")).filter("low <> high").select("bucket", "main")
+    mixed = cut(mixed, "mixed_buckets")
     rows = cut(at.join(mixed, "bucket").select("bucket", "id", "component", (F.col("component") == F.col("main")).alias("inside")), "mixed")
     sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("inside").cast("int")) / BLOCK).alias("in_blocks"), F.ceil(F.sum((~F.col("inside")).cast("int")) / BLOCK).alias("out_blocks"))
     rows = rows.join(sizes, "bucket").join(reps.select("id", F.col("n").alias("size"), "signature", "bands"), "id")
@@ -311,7 +316,7 @@ def _across(multi: DataFrame, reps: DataFrame, full: DataFrame, comp: DataFrame,
         for table in cellwise(batches):
             hit = [np.concatenate(x) for x in surviving(table)]
             if hit:
-                yield from table.select([*order, "id", "component"]).take(np.unique(np.concatenate(hit))).combine_chunks().to_batches()
+                yield from table.select(names).take(np.unique(np.concatenate(hit))).combine_chunks().to_batches()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cellwise(batches):
@@ -327,8 +332,8 @@ def _across(multi: DataFrame, reps: DataFrame, full: DataFrame, comp: DataFrame,
     prepare(spark)
     deal = lambda df: df.repartition(*order).sortWithinPartitions(*order)
     # Signatures first: only members with a surviving pair in a cell bring their full sets there.
-    few = cut(deal(cells).select(*names).mapInArrow(members, "bucket bigint, x bigint, y bigint, id bigint, component bigint"), "members")
-    again = few.join(reps.select("id", F.col("n").alias("size"), "signature", "bands"), "id").join(full, "id")
+    few = cut(deal(cells).select(*names).mapInArrow(members, "bucket bigint, x bigint, y bigint, id bigint, component bigint, size bigint, signature binary, bands array<bigint>"), "members")
+    again = few.join(full, "id")
     return deal(again.select(*names, "shingles")).mapInArrow(links, "a bigint, b bigint").distinct()
 
 
@@ -337,23 +342,28 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-
     t = percent / 100
     sketch = cut(sketches(docs, shingle), "sketches")
     some = sketch.filter(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
-    first = cut(some.groupBy("same").agg(F.min("doc_id").alias("id")), "classes")
-    reps = some.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "signature")
+    # Classes of one member need no row: only repeated texts are listed, and all but the smallest id of each stay out.
+    first = cut(some.groupBy("same").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("same", "id"), "classes")
+    copies = listed(some.select("same", "doc_id").join(first, "same").filter("doc_id <> id").select("doc_id"), "copies")
+    reps = some.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "signature")
     rows = reps.select("id", F.explode("bands").alias("bucket"))
-    often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).filter("n > 1")
+    often = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).filter("n > 1"), "often")
     multi = cut(rows.join(often, "bucket").select("bucket", "id", "n", "lead"), "buckets")
+    ids = listed(multi.select("id"), "candidates")
+    reps = cut(reps.join(ids, "id", "left_semi"), "candidate_sketches")
     star = multi.select(F.col("lead").alias("a"), F.col("id").alias("b"))
     third = multi.filter("n = 3").groupBy("bucket").agg(F.max("id").alias("b"), (F.sum("id") - F.max("id") - F.min("id")).alias("a")).select("a", "b")
     pairs = star.unionByName(third).filter("a < b").distinct()
     blocks = homes(multi)
-    full = full_sets(multi.select("id"), docs, shingle)
+    full = full_sets(ids, docs, shingle)
     links = cut(confirmed(cut(likely(pairs, reps, t, miss), "likely"), blocks, full, percent), "links")
     comp = components(links)
     more = cut(_across(multi, reps, full, comp, percent, miss), "across")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    member = sketch.select("doc_id", "n_shingles", "same").join(first, "same", "left").join(comp, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    known = sketch.select("doc_id", "n_shingles", "same").join(first, "same", "left").withColumn("id", F.coalesce("id", "doc_id"))
+    member = known.join(comp, "id", "left")
+    component = F.coalesce("component", "id")
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

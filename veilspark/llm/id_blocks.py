@@ -19,21 +19,22 @@ the library does by default; an empty table gives no blocks; extra columns are i
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import cut, prepare, texts
+from veilspark.llm.common import cut, prepare
 
 MAGIC, VERSION = b"VSID", 1
 HEAD = struct.Struct("<4sI32sQQ")
@@ -43,9 +44,13 @@ INDEX = np.dtype([("doc_id", "<i8"), ("first", "<u8"), ("offset", "<u8"), ("n",
 class ByteEncoder:
     """Ids of a byte-level BPE tokenizer. Words repeat: between visible characters, a blank always starts a new pre-token and
     a newline is one of its own, so texts are cut there, and each distinct part goes to the library once. Texts where
-    white space meets white space or the text's edge, or with an added token's string, go to the library whole."""
+    white space meets white space or the text's edge, or with an added token's string, go to the library whole.
+
+    Cutting, numbering the distinct parts and putting ids together are array operations; only distinct parts of a batch
+    become objects."""
 
     def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -55,52 +60,86 @@ class ByteEncoder:
         self.cuttable = conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and conf["model"]["type"] == "BPE" and not conf["model"].get("dropout")
         self.special = [x["content"] for x in conf.get("added_tokens", [])]
         self.most = most
-        self.parts: dict[str, bytes | None] = {}
+        self.model = self.tok.model
+        self.table = byte_letters()
+        self.marks = dict(zip(".,;:", self.whole(list(".,;:")), strict=True)) if self.cuttable else {}
+        self.parts: dict[str, bytes] = {}  # ids of a part; empty for one that must not be cut off
 
     def whole(self, xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(xs, add_special_tokens=False)] if xs else []
 
-    def encode(self, xs: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32."""
-        if not self.cuttable:
-            return self.whole(xs)
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        split = [None if any(s in x for s in self.special) else self._cut(x) for x in xs]
-        new: set[str] = set()
-        known = self.parts.__contains__
-        for ps in split:
-            new.update(filterfalse(known, ps or ()))
-        self._learn(new)
-        out: list[bytes | None] = []
-        for ps in split:
-            try:
-                out.append(None if ps is None else b"".join(map(self.parts.__getitem__, ps)))
-            except TypeError:  # a part that must not be cut off
-                out.append(None)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.whole([xs[i] for i in rest]), strict=True):
-            out[i] = ids
+    def encode(self, xs: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian u32; null as empty."""
+        column = pc.fill_null(xs if isinstance(xs, pa.Array) else pa.array(xs, pa.string()), "")
+        if not self.cuttable or not len(column):
+            return self.whole(column.to_pylist())
+        rest = pc.match_substring(column, "\x00").to_numpy(zero_copy_only=False).copy()
+        for s in self.special:
+            rest |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        # newlines alone, every other part but the first with the blank before it
+        marked = pc.replace_substring(pc.replace_substring(column, " ", "\x00 "), "\n", "\x00\n\x00")
+        lists = pc.split_pattern(marked, "\x00")
+        first = lists.offsets.to_numpy()
+        numbered = lists.flatten().dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        ids = self._ids_of(numbered.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.cumsum(size) - size
+        n = size[codes]
+        rest |= np.add.reduceat(n == 0, first[:-1]) > 0
+        end = np.cumsum(n)
+        place = np.repeat(at[codes] - (end - n), n) + np.arange(int(end[-1]))
+        flat = np.frombuffer(b"".join(ids), np.uint32)[place]
+        edge = np.concatenate([[0], end])[first]
+        out = [b"" if r else flat[a:b].tobytes() for r, a, b in zip(rest.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        again = np.flatnonzero(rest)
+        for i, x in zip(again.tolist(), self.whole([column[int(i)].as_py() for i in again]), strict=True):
+            out[i] = x
         return out
 
-    @staticmethod
-    def _cut(x: str) -> list[str]:
-        """The text's parts: newlines alone, every other part but the first with the blank before it."""
-        if "\x00" in x:
-            return [x]
-        return x.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
-    def _learn(self, new: set[str]) -> None:
-        """Add parts to those known: None for a part with white space or controls at its edges, which must not be cut off.
-        Visible characters only, after the one blank, are the common case and need no further look."""
-        clean = [p for p in new if p.isprintable() and p and p != " "]
-        for p in new.difference(clean):
-            body = p[1:] if p[:1] == " " else p
-            if p == "\n" or body and not any(c.isspace() or not c.isprintable() for c in (body[0], body[-1])):
-                clean.append(p)
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        known, tokenize, table = self.parts, self.model.tokenize, self.table
+        found = list(map(known.get, parts))
+        rest = []
+        for i, x in enumerate(found):
+            if x is not None:
+                continue
+            p = parts[i]
+            blank = p[:1] == " "
+            body = p[1:] if blank else p
+            core = body[:-1] if body[-1:] in self.marks else body
+            if core.isalpha() and max(core) < "\u0250":
+                # letters, perhaps with one mark after them: pre-tokens that need no searching, straight to the model
+                word = p[: len(p) - len(body) + len(core)]
+                ids = known.get(word)
+                if not ids:
+                    text = core if core.isascii() else core.encode().decode("latin-1").translate(table)
+                    ids = known[word] = array("I", [t.id for t in tokenize("\u0120" + text if blank else text)]).tobytes()
+                found[i] = known[p] = ids if core is body else ids + self.marks[body[-1]]
+            elif _free(p):
+                rest.append(i)
             else:
-                self.parts[p] = None
-        self.parts.update(zip(clean, self.whole(clean), strict=True))
+                found[i] = known[p] = b""
+        for i, x in zip(rest, self.whole([parts[i] for i in rest]), strict=True):
+            found[i] = known[parts[i]] = x
+        return found
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _free(part: str) -> bool:
+    """Whether a part may be cut off: a newline, or text that neither begins nor ends with white space or a control."""
+    if part.isprintable():
+        return part not in ("", " ")
+    body = part[1:] if part[:1] == " " else part
+    return part == "\n" or bool(body) and not any(c.isspace() or not c.isprintable() for c in (body[0], body[-1]))
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -174,7 +213,7 @@ BLOCKS = "range_no bigint, block_no bigint, first_doc bigint, last_doc bigint, n
 
 def write_ids(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int, ranges: int, docs_per_block: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
     """Encode, compress and write; the table of blocks, read back from the shared folder."""
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, 1024)
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +229,7 @@ def write_ids(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int, r
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["range_no", "block_no", "first_doc", "last_doc", "n_docs", "n_ids", "block"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(texts(batch)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 held.append((doc, ids + end))
                 size += len(ids) + 4
                 if len(held) >= docs_per_block or size >= block_bytes:

@@ -161,6 +161,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, log2_bits
     # One row for each key and document id: rows of one id count once.
     per_doc = found.groupBy("line_key", "doc_id").agg(F.count(F.lit(1)).alias("rows_"))
     often = per_doc.groupBy("line_key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_doc")).filter(F.col("n_docs") >= min_docs)
+    often = cut(often, "often")  # written, so that its size is known to the join and a hot key's rows can be split
     gone = found.join(often, "line_key")
     if keep_first:
         first = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_doc")

@@ -59,12 +59,14 @@ def found(text: Column, pattern: str, flags: str = "") -> Column:
     return text.rlike(f"{flags}{pattern}")
 
 
-def whole_word(term: str) -> str:
-    """A term that no letter or digit touches, whatever its case."""
-    escaped = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term)
-    return rf"(?i)(?<![a-z0-9]){escaped}(?![a-z0-9])"
+def any_word(terms: tuple[str, ...]) -> str:
+    """A pattern of the terms (in lower case) that no letter or digit touches."""
+    escaped = ("".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in t) for t in terms)
+    return rf"(?<![a-z0-9])({'|'.join(escaped)})(?![a-z0-9])"
 
 
 def first_term(text: Column, terms: tuple[str, ...]) -> Column:
-    """The first of the terms, in their order, that occurs in the text as a whole word; null if none."""
-    return F.coalesce(*(F.when(text.rlike(whole_word(t)), F.lit(t)) for t in terms))
+    """The first of the terms, in their order, that occurs in the text as a whole word, whatever its case; null if none.
+    One pass finds all of them; terms of a list do not overlap in a text."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(any_word(terms)), F.lit(1))
+    return F.get(F.array_intersect(F.array(*(F.lit(t) for t in terms)), found), F.lit(0))

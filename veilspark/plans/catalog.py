@@ -446,7 +446,7 @@ def merged_redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_number", "redaction_type", "replacement_text", "bbox.*")
 
 
-@query(f"""{o.WITH}, q AS ({o.email()}) SELECT DISTINCT doc_id, page_number, round(50.0 + start * 6.0, 1) AS x0, y0, round(50.0 + "end" * 6.0, 1) AS x1, y1 FROM q""")
+@query(f"""{o.WITH}, q AS ({o.email()}) SELECT DISTINCT doc_id, page_number, round(50.0 + start * 6.0, 1)::DOUBLE AS x0, y0, round(50.0 + "end" * 6.0, 1)::DOUBLE AS x1, y1 FROM q""")
 def refined_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of e-mail redactions whose own box is the whole block's."""
     b = _with_words(S(spark, sf_dir))

@@ -49,7 +49,7 @@ class ByteEncoder:
     Cutting, numbering the distinct parts and putting ids together are array operations; only distinct parts of a batch
     become objects."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -64,6 +64,7 @@ class ByteEncoder:
         self.table = byte_letters()
         self.marks = dict(zip(".,;:", self.whole(list(".,;:")), strict=True)) if self.cuttable else {}
         self.parts: dict[str, bytes] = {}  # ids of a part; empty for one that must not be cut off
+        self.older: dict[str, bytes] = {}
 
     def whole(self, xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(xs, add_special_tokens=False)] if xs else []
@@ -88,7 +89,8 @@ class ByteEncoder:
         n = size[codes]
         rest |= np.add.reduceat(n == 0, first[:-1]) > 0
         end = np.cumsum(n)
-        place = np.repeat(at[codes] - (end - n), n) + np.arange(int(end[-1]))
+        place = np.repeat(at[codes] - (end - n), n)
+        place += np.arange(len(place))
         flat = np.frombuffer(b"".join(ids), np.uint32)[place]
         edge = np.concatenate([[0], end])[first]
         out = [b"" if r else flat[a:b].tobytes() for r, a, b in zip(rest.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
@@ -98,26 +100,27 @@ class ByteEncoder:
         return out
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        known, tokenize, table = self.parts, self.model.tokenize, self.table
+        if len(self.parts) > self.most // 2:  # what was used lately stays for as long again
+            self.older, self.parts = self.parts, {}
+        known, older, tokenize, marks = self.parts, self.older, self.model.tokenize, self.marks
         found = list(map(known.get, parts))
         rest = []
-        for i, x in enumerate(found):
+        for i in [i for i, x in enumerate(found) if x is None]:
+            p = parts[i]
+            x = older.get(p)
             if x is not None:
+                found[i] = known[p] = x
                 continue
-            p = parts[i]
-            blank = p[:1] == " "
-            body = p[1:] if blank else p
-            core = body[:-1] if body[-1:] in self.marks else body
-            if core.isalpha() and max(core) < "\u0250":
+            last = p[-1:]
+            word = p[:-1] if last in marks else p
+            core = word[1:] if word[:1] == " " else word
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
                 # letters, perhaps with one mark after them: pre-tokens that need no searching, straight to the model
-                word = p[: len(p) - len(body) + len(core)]
                 ids = known.get(word)
                 if not ids:
-                    text = core if core.isascii() else core.encode().decode("latin-1").translate(table)
-                    ids = known[word] = array("I", [t.id for t in tokenize("\u0120" + text if blank else text)]).tobytes()
-                found[i] = known[p] = ids if core is body else ids + self.marks[body[-1]]
+                    text = core if core.isascii() else core.encode().decode("latin-1").translate(self.table)
+                    ids = known[word] = array("I", [t.id for t in tokenize(text if core is word else "\u0120" + text)]).tobytes()
+                found[i] = known[p] = ids if word is p else ids + marks[last]
             elif _free(p):
                 rest.append(i)
             else:

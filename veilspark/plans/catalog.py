@@ -435,7 +435,13 @@ def redactions_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.by_type(_redactions(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_WITH_R}, sp AS (SELECT doc_id, page_number, block_ord, list({{'s': start, 'e': "end", 'r': replacement_text, 'pos': 0, 'out': ''}} ORDER BY start, "end", replacement_text) AS xs, count(*)::BIGINT AS n FROM r GROUP BY ALL),
+    j AS (SELECT s.*, coalesce(n, 0) AS n_redactions, list_prepend({{'s': 0, 'e': 0, 'r': '', 'pos': 0, 'out': ''}}, coalesce(xs, [])) AS xs FROM s LEFT JOIN sp USING (doc_id, page_number, block_ord)),
+    k AS (SELECT *, list_reduce(xs, lambda a, x: CASE WHEN x.s >= a.pos THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'pos': greatest(a.pos, x.e), 'out': a.out || substr(text, a.pos + 1, x.s - a.pos) || x.r}}
+      WHEN x.e > a.pos THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'pos': x.e, 'out': a.out || repeat('*', x.e - a.pos)}} ELSE a END) AS z FROM j)
+    SELECT doc_id, page_number, block_ord, z.out || substr(text, z.pos + 1) AS redacted_text, n_redactions FROM k"""
+)
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redacted_blocks(S(spark, sf_dir), _redactions(spark, sf_dir)).select("doc_id", "page_number", "block_ord", "redacted_text", "n_redactions")
 
@@ -478,14 +484,18 @@ def block_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.summary(_hybrid(spark, sf_dir))
 
 
-_QUALITY = """WITH t AS (SELECT doc_id, text, length(text)::DOUBLE AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE regexp_matches(text, '\\S')),
+_SCORES = """t AS (SELECT doc_id, text, length(text)::DOUBLE AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM source WHERE regexp_matches(text, '\\S')),
 p AS (SELECT doc_id, 1 - (length(text) - length(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{fffd}]', '', 'g'))) / n AS a, greatest(0.0::DOUBLE, 1 - (length(text) - length(replace(text, chr(65533), ''))) / n * 5.0) AS b,
 greatest(0.0::DOUBLE, 1 - len(list_filter(ws, lambda w: length(w) < 3)) / len(ws) * 2) AS c, greatest(0.0::DOUBLE, 1 - len(list_filter(ws, lambda w: length(w) > 50)) / len(ws) * 10.0::DOUBLE) AS d,
 (length(text) - length(regexp_replace(text, '\\s', '', 'g'))) / n AS e FROM t),
 q AS (SELECT doc_id, a, b, c, d, CASE WHEN e < 0.02::DOUBLE OR e > 0.50::DOUBLE THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS e FROM p),
-r AS (SELECT documents.doc_id, coalesce(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, a * 0.30::DOUBLE + b * 0.20::DOUBLE + c * 0.15::DOUBLE + d * 0.20::DOUBLE + e * 0.15::DOUBLE)), 4), 0.0) AS overall_score,
+r AS (SELECT source.doc_id, coalesce(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, a * 0.30::DOUBLE + b * 0.20::DOUBLE + c * 0.15::DOUBLE + d * 0.20::DOUBLE + e * 0.15::DOUBLE)), 4), 0.0) AS overall_score,
 coalesce(round(a, 4), 0.0) AS printable_ratio, coalesce(round(b, 4), 0.0) AS replace_penalty, coalesce(round(c, 4), 0.0) AS fragmentation_score, coalesce(round(d, 4), 0.0) AS token_quality, coalesce(round(e, 4), 0.0) AS whitespace_ratio
-FROM documents LEFT JOIN q ON documents.doc_id = q.doc_id)"""
+FROM source LEFT JOIN q ON source.doc_id = q.doc_id)"""
+
+
+_QUALITY = f"WITH source AS (SELECT doc_id, text FROM documents), {_SCORES.strip()}"
+_DIAGNOSED = f"""WITH {o.LINES}, source AS (SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY block_ord) FILTER (regexp_matches(text, '\\S')), '') AS text, count(DISTINCT page_number)::BIGINT AS page_count FROM l GROUP BY doc_id), {_SCORES.strip()}"""
 
 
 @query(f"{_QUALITY} SELECT * FROM r")
@@ -527,7 +537,10 @@ def pipeline_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", source.alias("source"))
 
 
-@query()
+@query(
+    f"""{_DIAGNOSED} SELECT doc_id, page_count, 0::BIGINT AS image_count, text <> '' AS has_native_text, overall_score, false AS estimated_scanned,
+    CASE WHEN text = '' OR overall_score < 0.3 THEN 'ocr' WHEN overall_score < 0.7 THEN 'hybrid' ELSE 'native' END AS recommendation FROM r JOIN source USING (doc_id)"""
+)
 def document_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.diagnose(L(spark, sf_dir))
 
@@ -665,7 +678,9 @@ def entries_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.by_type(entries(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_WITH_E} SELECT doc_id, detection_id, to_json({{'detection_id': detection_id, 'detection_type': detection_type, 'text': text, 'page_number': page_number, 'confidence': confidence, 'suggested_action': suggested_action, 'action': suggested_action}})::VARCHAR AS entry FROM e"""
+)
 def entry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.summary(entries(spark, sf_dir))
 

@@ -513,6 +513,17 @@ def test_twice_filter_has_no_false_negatives():
     assert filters[0].suspected(once).mean() < 0.3
 
 
+def test_scratch_is_cleared(spark):
+    import os
+
+    from veilspark.llm import common
+
+    path = common.cut(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.clear(spark)
+    assert not os.path.exists(path)
+
+
 # --- pipeline ---
 
 

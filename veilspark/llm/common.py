@@ -29,7 +29,19 @@ def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "-scratch"
-    return f"{base.rstrip('/')}/veilspark/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/veilspark/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this process's scratch tables. Call it when all results that were built on them have been written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,30 +169,6 @@ def custom(name: str, detection_type: str, patterns: list[str], accept: Rule | N
     return Detector(name, detection_type, tuple(patterns), accept=ok, confidence=score, reasons=_notes("matches custom pattern"))
 
 
-def _matches(blocks: DataFrame, d: Detector) -> DataFrame:
-    """One row per accepted candidate, with raw, start, end, pattern_ord."""
-    b = blocks.filter(F.col("block_type") == "text")
-    text = F.col("text")
-    if d is ACCOUNT or d.name == "account":
-        prev = F.lag("text").over(Window.partitionBy("doc_id", "page_number").orderBy("block_ord"))
-        b = b.withColumn("labelled", F.coalesce(prev.rlike(lx.LABEL_AT_END), F.lit(False)))
-    if d.mask is not None:
-        b = b.filter(d.mask(text))
-
-    def numbered(k: int) -> Column:
-        return F.transform(_spans(text, d, k), lambda s: F.struct(s["value"].alias("raw"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("pattern_ord")))
-
-    found = F.concat(*(numbered(k) for k in range(len(d.patterns))))
-    rows = b.withColumn("m", F.explode(found)).select("*", "m.*").drop("m").withColumnRenamed("text", "block_text")
-    args = [F.col(x) for x in ("raw", "block_text", "start", "end")]
-    ok = d.accept(*args)
-    if d.name == "account":
-        # after a bank code's "four letters and 0" a number is a branch, not an account
-        near = F.substring(before(F.col("block_text"), F.col("start")), F.greatest(F.col("start") - 14, F.lit(1)), F.lit(15))
-        ok = ok & ((F.col("pattern_ord") == 0) | ~near.rlike("[A-Za-z]{4}0"))
-    return rows.filter(ok)
-
-
 def _spans(text: Column, d: Detector, k: int) -> Column:
     plain = spans_of(text, d.patterns[k])
     if d.name == "account" and k == 0:
@@ -201,26 +178,86 @@ def _spans(text: Column, d: Detector, k: int) -> Column:
     return plain
 
 
+HIT = "array<struct<detector_name:string,detector_ord:int,detection_type:string,text:string,start:int,end:int,confidence:double,reasons:array<string>,pattern_ord:int>>"
+
+
+def hits(text: Column, d: Detector, detector_ord: int) -> Column:
+    """All accepted matches of a detector in a text, as an array of HIT structs, by pattern and place."""
+
+    def by_pattern(k: int) -> Column:
+        def one(s: Column) -> Column:
+            args = (s["value"], text, s["start"], s["end"])
+            end = s["start"] + d.length(*args) if d.length else s["end"]
+            fields = {"detector_name": F.lit(d.name), "detector_ord": F.lit(detector_ord), "detection_type": F.lit(d.type), "text": d.value(*args), "start": s["start"], "end": end.cast("int"), "confidence": d.confidence(*args).cast("double"), "reasons": d.reasons(*args), "pattern_ord": F.lit(k)}
+            if d is ACCOUNT and k == 0:
+                fields |= {"confidence": F.lit(0.85), "reasons": F.array(F.lit("9-18 digit number"), F.lit("follows an account label (e.g. 'A/c No')"))}
+            return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+        def ok(s: Column) -> Column:
+            out = d.accept(s["value"], text, s["start"], s["end"])
+            if d is ACCOUNT and k == 1:
+                # after a bank code's "four letters and 0" a number is a branch, not an account
+                out = out & ~F.substring(before(text, s["start"]), F.greatest(s["start"] - 14, F.lit(1)), F.lit(15)).rlike("[A-Za-z]{4}0")
+            return out
+
+        return F.transform(F.filter(_spans(text, d, k), ok), one)
+
+    found = F.concat(*(by_pattern(k) for k in range(len(d.patterns)))).cast(HIT)
+    return F.when(d.mask(text), found).otherwise(F.array().cast(HIT)) if d.mask is not None else found
+
+
+def scan_all(blocks: DataFrame, chosen: list[tuple[int, Detector]], values_only: bool = False) -> DataFrame:
+    """Every accepted match of several detectors (with their ordinals), in one pass over the blocks, not de-duplicated."""
+    text = blocks.filter(F.col("block_type") == "text")
+    hit = F.explode(F.concat(*(hits(F.col("text"), d, k) for k, d in chosen)))
+    words = ["words"] if values_only and "words" in blocks.columns else []
+    rows = text.select("doc_id", "page_number", "block_ord", "bbox", *([F.col("text").alias("block_text"), *words] if words else []), hit.alias("h")).select("*", "h.*").drop("h")
+    if words:
+        rows = rows.withColumn("bbox", range_box(F.col("block_text"), F.col("words"), F.col("bbox"), F.col("start"), F.col("end"))).drop("block_text", "words")
+    if any(d is ACCOUNT for _, d in chosen):
+        rows = _labelled(rows, text)
+    return aligned(rows)
+
+
+def _labelled(rows: DataFrame, text: DataFrame) -> DataFrame:
+    """Standalone account numbers in a block after one that ends with an account label count as labelled. Only a flag for
+    each block is sorted by page, and only the few that are set meet the detections."""
+    order = Window.partitionBy("doc_id", "page_number").orderBy("block_ord")
+    flag = text.select("doc_id", "page_number", "block_ord", F.coalesce(F.col("text").rlike(lx.LABEL_AT_END), F.lit(False)).alias("flag"))
+    after_label = flag.withColumn("labelled", F.lag("flag").over(order)).filter("labelled").select("doc_id", "page_number", "block_ord", "labelled")
+    on = F.coalesce(F.col("labelled"), F.lit(False)) & (F.col("detector_name") == ACCOUNT.name) & (F.col("pattern_ord") == 1)
+    note = F.array_append("reasons", F.lit("previous block ends with an account label"))
+    out = rows.join(after_label, ["doc_id", "page_number", "block_ord"], "left")
+    return out.withColumns({"confidence": F.when(on, 0.85).otherwise(F.col("confidence")), "reasons": F.when(on, note).otherwise(F.col("reasons"))}).drop("labelled")
+
+
 def scan(blocks: DataFrame, d: Detector, detector_ord: int = 0, values_only: bool = False, dedupe: str = "document") -> DataFrame:
     """Detections of one detector. ``dedupe="none"`` keeps what a document repeats, for redaction of every place."""
-    rows = _matches(blocks, d)
-    args = [F.col(x) for x in ("raw", "block_text", "start", "end")]
-    value, confidence, reasons = d.value(*args), d.confidence(*args), d.reasons(*args)
-    if d.name == "account":
-        by_label = F.col("pattern_ord") == 0
-        confidence = F.when(by_label | F.col("labelled"), 0.85).otherwise(0.7)
-        reasons = F.when(by_label, F.array(F.lit("9-18 digit number"), F.lit("follows an account label (e.g. 'A/c No')"))).otherwise(F.concat(reasons, F.when(F.col("labelled"), F.array(F.lit("previous block ends with an account label"))).otherwise(F.array().cast("array<string>"))))
-    end = F.col("start") + d.length(*args) if d.length else F.col("end")
-    bbox = range_box(F.col("block_text"), F.col("words"), F.col("bbox"), F.col("start"), F.col("end")) if values_only and "words" in blocks.columns else F.col("bbox")
-    rows = rows.select(
-        "doc_id", "page_number", "block_ord", F.lit(d.name).alias("detector_name"), F.lit(detector_ord).alias("detector_ord"), F.lit(d.type).alias("detection_type"),
-        value.alias("text"), F.col("start"), end.cast("int").alias("end"), bbox.alias("bbox"), confidence.cast("double").alias("confidence"), reasons.alias("reasons"), "pattern_ord",
-    )
+    rows = scan_all(blocks, [(detector_ord, d)], values_only)
     if dedupe == "none" or d.dedupe == "none":
         return rows
     return first_of_text(rows) if d.dedupe == "exact" else without_contained(rows)
 
 
+def scan_many(blocks: DataFrame, chosen: list[tuple[int, Detector]], values_only: bool = False, dedupe: str = "document") -> DataFrame:
+    """Detections of several detectors: one pass for all that de-duplicate by a window or not at all, one more for those
+    with an ordered fold."""
+    folded = [(k, d) for k, d in chosen if d.dedupe == "containment" and dedupe != "none"]
+    plain = [x for x in chosen if x not in folded]
+    parts = []
+    if plain:
+        rows = scan_all(blocks, plain, values_only)
+        exact = [d.name for _, d in plain if d.dedupe == "exact"]
+        if exact and dedupe != "none":
+            # what isn't de-duplicated is alone in its part of the window
+            own = F.when(F.col("detector_name").isin(exact), F.lit(None).cast("string")).otherwise(F.concat_ws("|", "page_number", "block_ord", "pattern_ord", "start"))
+            part = Window.partitionBy("doc_id", "detector_name", "text", own).orderBy(*ORDER)
+            rows = rows.withColumn("nth", F.row_number().over(part)).filter("nth = 1").drop("nth")
+        parts.append(rows)
+    parts += [without_contained(scan_all(blocks, [x], values_only)) for x in folded]
+    return reduce(DataFrame.unionByName, parts)
+
+
 ORDER = ("page_number", "block_ord", "pattern_ord", "start")
 
 

@@ -18,10 +18,11 @@ class Registry:
     """Detectors by name, in order of registration; a name that comes again replaces the one before."""
 
     def __init__(self) -> None:
-        self._scans: dict[str, Scan] = {}
+        self._scans: dict[str, d.Detector | Scan] = {}
 
     def register(self, detector: d.Detector | tuple[str, Scan]) -> Registry:
-        name, scan = detector if isinstance(detector, tuple) else (detector.name, lambda blocks, k: d.scan(blocks, detector, k))
+        """A pattern detector, or a name with a function (blocks, detector_ord) -> detections."""
+        name, scan = detector if isinstance(detector, tuple) else (detector.name, detector)
         if not name:
             raise ValueError("a detector needs a name")
         self._scans[name] = scan
@@ -35,12 +36,16 @@ class Registry:
     def names(self) -> list[str]:
         return list(self._scans)
 
-    def run(self, blocks: DataFrame, names: list[str] | None = None) -> DataFrame:
-        """Detections of all detectors, or of those named; what isn't named never enters the plan."""
+    def run(self, blocks: DataFrame, names: list[str] | None = None, values_only: bool = False, dedupe: str = "document") -> DataFrame:
+        """Detections of all detectors, or of those named; what isn't named never enters the plan. Pattern detectors share
+        their passes over the blocks."""
         chosen = self.names if names is None else names
         if unknown := [n for n in chosen if n not in self._scans]:
             raise ValueError(f"unknown detectors: {', '.join(unknown)}; known are {', '.join(self.names)}")
-        parts = [d.aligned(self._scans[n](blocks, k)) for k, n in enumerate(self.names) if n in chosen]
+        wanted = [(k, self._scans[n]) for k, n in enumerate(self.names) if n in chosen]
+        patterns = [(k, x) for k, x in wanted if isinstance(x, d.Detector)]
+        parts = [d.scan_many(blocks, patterns, values_only, dedupe)] if patterns else []
+        parts += [d.aligned(x(blocks, k)) for k, x in wanted if not isinstance(x, d.Detector)]
         return reduce(DataFrame.unionByName, parts)
 
 

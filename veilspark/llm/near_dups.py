@@ -356,7 +356,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-
     pairs = star.unionByName(third).filter("a < b").distinct()
     blocks = homes(multi)
     full = full_sets(ids, docs, shingle)
-    links = cut(confirmed(cut(likely(pairs, reps, t, miss), "likely"), blocks, full, percent), "links")
+    links = cut(confirmed(likely(pairs, reps, t, miss), blocks, full, percent), "links")
     comp = components(links)
     more = cut(_across(multi, reps, full, comp, percent, miss), "across")
     if not more.isEmpty():

@@ -49,7 +49,7 @@ class ByteEncoder:
     Cutting, numbering the distinct parts and putting ids together are array operations; only distinct parts of a batch
     become objects."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_050_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -64,7 +64,6 @@ class ByteEncoder:
         self.table = byte_letters()
         self.marks = dict(zip(".,;:", self.whole(list(".,;:")), strict=True)) if self.cuttable else {}
         self.parts: dict[str, bytes] = {}  # ids of a part; empty for one that must not be cut off
-        self.older: dict[str, bytes] = {}
 
     def whole(self, xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(xs, add_special_tokens=False)] if xs else []
@@ -89,8 +88,9 @@ class ByteEncoder:
         n = size[codes]
         rest |= np.add.reduceat(n == 0, first[:-1]) > 0
         end = np.cumsum(n)
-        place = np.repeat(at[codes] - (end - n), n)
-        place += np.arange(len(place))
+        kind = np.int32 if end[-1] < 1 << 31 and at[-1] < 1 << 31 else np.int64
+        place = np.repeat((at[codes] - (end - n)).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
         flat = np.frombuffer(b"".join(ids), np.uint32)[place]
         edge = np.concatenate([[0], end])[first]
         out = [b"" if r else flat[a:b].tobytes() for r, a, b in zip(rest.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
@@ -100,17 +100,13 @@ class ByteEncoder:
         return out
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.most // 2:  # what was used lately stays for as long again
-            self.older, self.parts = self.parts, {}
-        known, older, tokenize, marks = self.parts, self.older, self.model.tokenize, self.marks
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        known, tokenize, marks = self.parts, self.model.tokenize, self.marks
         found = list(map(known.get, parts))
         rest = []
         for i in [i for i, x in enumerate(found) if x is None]:
             p = parts[i]
-            x = older.get(p)
-            if x is not None:
-                found[i] = known[p] = x
-                continue
             last = p[-1:]
             word = p[:-1] if last in marks else p
             core = word[1:] if word[:1] == " " else word
@@ -159,7 +155,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dict_docs: in
     """A dictionary from the id arrays of ``dict_docs`` documents of at most ``dict_chars`` characters; empty where there are too few to train on."""
     h = F.xxhash64(F.col("doc_id"), F.lit(7))
     share = min(1.0, 8 * dict_docs / max(1, docs.count()))  # rows that may be chosen at all: few go to the driver
-    few = docs.filter((F.length("text") <= dict_chars) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))).select("text", h.alias("h")).orderBy("h", "text").limit(dict_docs)
+    few = docs.filter((F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))) & (F.length("text") <= dict_chars)).select("text", h.alias("h")).orderBy("h", "text").limit(dict_docs)
     own = encoder(tokenizer)
     sample = [x + struct.pack("<I", end_id) for x in own.encode([r[0] for r in few.collect()])]
     if len(sample) < 8 or sum(map(len, sample)) < 8 * size:
@@ -216,7 +212,7 @@ BLOCKS = "range_no bigint, block_no bigint, first_doc bigint, last_doc bigint, n
 
 def write_ids(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int, ranges: int, docs_per_block: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
     """Encode, compress and write; the table of blocks, read back from the shared folder."""
-    spark = prepare(docs.sparkSession, 1024)
+    spark = prepare(docs.sparkSession, 2048, 8 << 20)
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

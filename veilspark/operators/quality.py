@@ -18,7 +18,7 @@ def _parts(text: Column) -> dict[str, Column]:
     zero = F.lit(0.0)
     blanks = share(r"\s")
     return {
-        "printable_ratio": 1 - share(r"[\x00-\x1f\x7f-\x9f�]"),
+        "printable_ratio": F.length(F.regexp_replace(text, r"[\x00-\x1f\x7f-\x9f�]", "")) / n,
         "replace_penalty": F.greatest(zero, 1 - share("�") * 5.0),
         "fragmentation_score": F.greatest(zero, 1 - part(lambda w: F.length(w) < 3) * 2),
         "token_quality": F.greatest(zero, 1 - part(lambda w: F.length(w) > 50) * 10.0),

@@ -484,13 +484,14 @@ def block_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.summary(_hybrid(spark, sf_dir))
 
 
+#: Rounding as Spark does it, by the number's decimal digits: hence the casts.
 _SCORES = """t AS (SELECT doc_id, text, length(text)::DOUBLE AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM source WHERE regexp_matches(text, '\\S')),
-p AS (SELECT doc_id, 1 - (length(text) - length(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{fffd}]', '', 'g'))) / n AS a, greatest(0.0::DOUBLE, 1 - (length(text) - length(replace(text, chr(65533), ''))) / n * 5.0) AS b,
+p AS (SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{fffd}]', '', 'g')) / n AS a, greatest(0.0::DOUBLE, 1 - (length(text) - length(replace(text, chr(65533), ''))) / n * 5.0) AS b,
 greatest(0.0::DOUBLE, 1 - len(list_filter(ws, lambda w: length(w) < 3)) / len(ws) * 2) AS c, greatest(0.0::DOUBLE, 1 - len(list_filter(ws, lambda w: length(w) > 50)) / len(ws) * 10.0::DOUBLE) AS d,
 (length(text) - length(regexp_replace(text, '\\s', '', 'g'))) / n AS e FROM t),
 q AS (SELECT doc_id, a, b, c, d, CASE WHEN e < 0.02::DOUBLE OR e > 0.50::DOUBLE THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS e FROM p),
-r AS (SELECT source.doc_id, coalesce(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, a * 0.30::DOUBLE + b * 0.20::DOUBLE + c * 0.15::DOUBLE + d * 0.20::DOUBLE + e * 0.15::DOUBLE)), 4), 0.0) AS overall_score,
-coalesce(round(a, 4), 0.0) AS printable_ratio, coalesce(round(b, 4), 0.0) AS replace_penalty, coalesce(round(c, 4), 0.0) AS fragmentation_score, coalesce(round(d, 4), 0.0) AS token_quality, coalesce(round(e, 4), 0.0) AS whitespace_ratio
+r AS (SELECT source.doc_id, coalesce(round((greatest(0.0::DOUBLE, least(1.0::DOUBLE, a * 0.30::DOUBLE + b * 0.20::DOUBLE + c * 0.15::DOUBLE + d * 0.20::DOUBLE + e * 0.15::DOUBLE)))::DECIMAL(30, 18), 4)::DOUBLE, 0.0) AS overall_score,
+coalesce(round(a::DECIMAL(30, 18), 4)::DOUBLE, 0.0) AS printable_ratio, coalesce(round(b::DECIMAL(30, 18), 4)::DOUBLE, 0.0) AS replace_penalty, coalesce(round(c::DECIMAL(30, 18), 4)::DOUBLE, 0.0) AS fragmentation_score, coalesce(round(d::DECIMAL(30, 18), 4)::DOUBLE, 0.0) AS token_quality, coalesce(round(e::DECIMAL(30, 18), 4)::DOUBLE, 0.0) AS whitespace_ratio
 FROM source LEFT JOIN q ON source.doc_id = q.doc_id)"""
 
 

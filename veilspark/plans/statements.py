@@ -53,6 +53,8 @@ _FIELDS = ", ".join(f"{x} AS {n}" for n, x in FIELDS.items())
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    # Each key becomes a document of many blocks: dealt by key first, the work is spread and stays together by document.
+    customer = customer.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
     fields = customer.selectExpr("k", *(f"{x} AS {n}" for n, x in FIELDS.items()))
     rows = fields.select(F.col("k").alias("doc_id"), F.posexplode(F.array(*(F.expr(x) for x in BLOCKS))).alias("pos", "text")).withColumn("block_ord", F.col("pos") + 1)
     y0 = F.expr(_Y0).cast("double")

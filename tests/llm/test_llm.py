@@ -231,6 +231,52 @@ def test_suffix_tree_automaton_is_the_longest_suffix():
         assert {int(x).to_bytes(8, "big")[8 - k - 1 :]: int(y) for x, y in zip(keys, n)} == {g: y for g, y in plain.items() if len(g) == k + 1}
 
 
+def plain_suffix_tree(train, min_count, min_gain, strength):
+    """Probability of a byte after a context of up to DEPTH bytes, over counts of the whole corpus in one dict."""
+    n, total = Counter(), Counter()
+    for t in train:
+        s = suffix_tree_lm.PAD + t
+        for i in range(suffix_tree_lm.DEPTH, len(s)):
+            for k in range(suffix_tree_lm.DEPTH + 1):
+                n[s[i - k : i], s[i]] += 1
+                total[s[i - k : i]] += 1
+
+    def p(ctx, sym):
+        return (n[ctx, sym] + strength * (p(ctx[1:], sym) if ctx else 1 / 256)) / (total[ctx] + strength)
+
+    keep = {b""} | {c for c in total if len(c) <= suffix_tree_lm.LOW}
+    for c in total:
+        if len(c) > suffix_tree_lm.LOW and total[c] >= min_count:
+            if total[c] * sum(p(c, x) * math.log(p(c, x) / p(c[1:], x)) for x in range(256)) >= min_gain:
+                keep |= {c[j:] for j in range(len(c))}
+    return lambda ctx, sym: p(next(c for j in range(len(ctx) + 1) if (c := ctx[j:]) in keep), sym), keep
+
+
+def test_suffix_tree_in_parts_equals_plain_tree(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(WORDS[10:15]) for _ in range(rnd.randint(0, 30))), "en", "s", 1) for i in range(60)]
+    out = {r["doc_id"]: r["tree_score"] for r in suffix_tree_lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), min_gain=1.0).collect()}
+    spelled = {r[0]: suffix_tree_lm.spell(suffix_tree_lm.words_of(r[1].encode())) for r in rows}
+    prob, keep = plain_suffix_tree([t for i, t in spelled.items() if not suffix_tree_lm.held_out(i)], 2, 1.0, 4.0)
+    assert max(map(len, keep)) > 3
+    for i, t in spelled.items():
+        s = suffix_tree_lm.PAD + t
+        assert out[i] == pytest.approx(sum(math.log10(prob(s[j - suffix_tree_lm.DEPTH : j], s[j])) for j in range(suffix_tree_lm.DEPTH, len(s))), abs=1e-4)
+
+
+def test_suffix_tree_keeps_contexts_whatever_the_size_of_the_corpus():
+    """Contexts seen 600 times answer the same when the rest of the corpus is a million times larger (a share of all positions cut them)."""
+    key = lambda t: suffix_tree_lm.keys_of([t])[-2:-1]  # noqa: E731  (the byte before the end)
+    keys, n = suffix_tree_lm.merged([(key(b"zqzqzq" + x + b"\n"), np.array([300])) for x in (b"a", b"b")])
+    few = None
+    for size in (10**6, 10**12):
+        noise = suffix_tree_lm.keys_of([b"the of and to \n"])
+        low = suffix_tree_lm.LowLevels(*suffix_tree_lm.merged([suffix_tree_lm.low_grams(keys, n), *(suffix_tree_lm.low_grams(noise[i : i + 1], np.array([size])) for i in range(len(noise)))]))
+        p = 10.0 ** suffix_tree_lm.solve(keys, n, low, 2, 12.0, 4.0).astype(float)
+        assert (p > 0.45).all() and (few is None or np.allclose(p, few))
+        few = p
+
+
 # --- 5 language ---
 
 LANGS = {"aa": "thetheonandinger", "bb": "derdiedasundichsch", "cc": "lequelesoiionaux"}

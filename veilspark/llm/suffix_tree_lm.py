@@ -1,11 +1,17 @@
 r"""Language-model scoring with a probabilistic suffix tree.
 
 The tree reads a text as the bytes of its tokens: every word with a blank after it, then ``\n`` for the end. Byte contexts of
-up to ``DEPTH`` symbols are counted over all training documents. A context stays if it makes up at least ``p_min`` of all
-positions (which bounds the tree at DEPTH / p_min contexts, whatever the corpus) and its next-symbol distribution
-diverges from that of its longest proper suffix: count x KL >= ``min_gain``. Prefixes and suffixes of what stays, stay. Each
-distribution is smoothed towards its suffix's: (counts + (rest + strength) P_suffix) / (total + strength). The tree is
-scored as an automaton: its state is always the longest suffix of the text so far that is a context.
+up to ``DEPTH`` symbols are counted over all training documents. A context stays if it was seen at least ``min_count`` times,
+a number that does not depend on the corpus, and its next-symbol distribution diverges from that of its longest proper
+suffix: count x KL >= ``min_gain``. Suffixes of what stays, stay, and so do all contexts of up to ``LOW`` bytes. Each
+distribution is smoothed towards its suffix's: (counts + strength P_suffix) / (total + strength). A byte is scored by the
+longest suffix of the text before it that is a context.
+
+The tree grows with the corpus and is nowhere held whole. A block of documents asks for its distinct n-grams of DEPTH + 1
+bytes, with their counts in its training documents. N-grams are dealt into parts by the last LOW + 1 bytes of their
+context, so that a part holds all that its contexts' counts, suffixes and divergences need; counts for contexts of up to
+LOW bytes (at most 2**24) are broadcast. A part answers with the log probability of each n-gram that was asked for, and
+documents and answers meet again block by block. N-grams and answers travel packed, a row for each block and part.
 
 Tokens are the V words known from training and one class for all others, as in the base score. An unknown token has the
 Good-Turing probability u = (words seen once + 0.5)/(N + 1). A known token has (1 - u)(mix c/N + (1 - mix) P_tree(its bytes
@@ -15,8 +21,9 @@ is the tree's own log10 probability of the text's bytes, unknown words spelled o
 Counts of words are not broadcast: documents are dealt into blocks, each block asks for the counts of its own distinct
 words, and documents and counts meet again block by block.
 
-Edge cases: a null or empty text is the end token alone; with no training document N is 0 and the tree is one uniform
-state; repeated rows count and score as rows of their own; a null doc_id counts as crc32 of the empty text (training).
+``SuffixTree`` is a tree held whole, as an automaton, for n-grams that fit in memory; ``score`` does not use it.
+
+Edge cases: a null or empty text is the end token alone; with no training document N is 0 and the tree is uniform; repeated rows count and score as rows of their own; a null doc_id counts as crc32 of the empty text (training).
 """
 
 from __future__ import annotations
@@ -26,12 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import cut, prepare, py_crc_mod, raw_texts
 
-DEPTH = 5
+DEPTH = 7  # an n-gram, context and symbol, fills a 64-bit word
+LOW = 2  # contexts of up to this many bytes are broadcast
 END = b""  # how the end token is kept in tables of words
 PAD = b"\n" * DEPTH
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, tree_score double"
@@ -181,57 +190,231 @@ class SuffixTree:
         return out.T.ravel()[:n]
 
 
-def fit_tree(docs: DataFrame, p_min: float = 2e-6, min_gain: float = 12.0, strength: float = 4.0, chunk: int = 6 << 20) -> SuffixTree:
-    """Count over all training documents; only n-grams that make up p_min / 4 of the positions come to the driver, at
-    most 4 / p_min for each context length."""
+def keys_of(spelled: list[bytes]) -> np.ndarray:
+    """A 64-bit word for each byte of the texts: the DEPTH bytes before it, the last one first, and the byte itself."""
+    a = np.frombuffer(b"".join(PAD + d for d in spelled), np.uint8)
+    size = np.array([len(d) + DEPTH for d in spelled])
+    keep = np.ones(len(a), bool)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    for j in range(DEPTH):
+        keep[first + j] = False
+    a = a.astype(np.uint64)
+    key = np.zeros(len(a) - DEPTH, np.uint64)
+    for j in (*range(DEPTH - 1, -1, -1), DEPTH):
+        key <<= np.uint64(8)
+        key |= a[j : j + len(key)]
+    return key[keep[DEPTH:]]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts, of sorted parts."""
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(_starts(keys))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of equal length, compressed by planes of bytes."""
+    import zstandard
+
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(packed: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    width = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(flat) // sum(width), 0, []
+    for k, w in zip(kinds, width, strict=True):
+        out.append(np.ascontiguousarray(flat[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return out
+
+
+def pack_counts(keys: np.ndarray, n: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)), n.astype(np.int64))
+
+
+def unpack_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, n = unpack(packed, np.uint64, np.int64)
+    return np.cumsum(step, dtype=np.uint64), n
+
+
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted keys by part, and where each part starts in it."""
+    with np.errstate(over="ignore"):
+        part = ((keys >> np.uint64(8 * (DEPTH - LOW))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+    part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def asked_grams(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> DataFrame:
+    """block, part, packed: the block's distinct n-grams of a part with their counts in its training documents (0 where
+    only documents held out have them); part -1 has the counted n-grams of LOW + 1 bytes."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        size = 0
-        store: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(DEPTH + 1)]
-
-        def merge() -> None:
-            for k, parts in enumerate(store):
-                if len(parts) > 1:
-                    keys, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                    store[k] = [(keys, np.bincount(inv, weights=np.concatenate([p[1] for p in parts])).astype(np.int64))]
+        now, size = None, 0
+        held: dict[bool, list[bytes]] = {False: [], True: []}
+        store: list[tuple[np.ndarray, np.ndarray]] = []
 
         def count() -> None:
-            for k, x in enumerate(count_grams(held)):
-                store[k].append(x)
-            merge()
+            nonlocal size
+            for out, spelled in held.items():
+                if spelled:
+                    keys, n = np.unique(keys_of(spelled), return_counts=True)
+                    store.append((keys, np.zeros(len(keys), np.int32) if out else n.astype(np.int32)))
+                    spelled.clear()
+            size = 0
+            if len(store) >= 8:
+                store[:] = [merged(store)]
 
         def out() -> Iterator[pa.RecordBatch]:
-            for k, parts in enumerate(store):
-                for keys, n in parts:
-                    for i in range(0, len(keys), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array((keys[i : i + (1 << 16)] | np.uint64(k << 56)).view(np.int64)), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["gram", "n"])
-                store[k] = []
+            count()
+            keys, n = merged(store)
+            store.clear()
+            low, low_n = low_grams(keys, n)
+            order, at = by_part(keys, parts)
+            rows = [(-1, pack_counts(low, low_n))]
+            for p in range(parts):
+                pick = order[at[p] : at[p + 1]]
+                if len(pick):
+                    rows.append((p, pack_counts(keys[pick], n[pick])))
+                if len(rows) >= 64 or p == parts - 1 and rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([now] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "part", "packed"])
+                    rows = []
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
-                if not held_out(doc):
-                    held.append(spell(words_of(text)))
-                    size += len(held[-1])
-                    if size >= chunk:
-                        count()
-                        held, size = [], 0
-                        if len(store[DEPTH][0][0]) > 4_000_000:
-                            yield from out()
-        if held:
-            count()
-        yield from out()
+            for doc, block, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw_texts(batch), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield from out()
+                    now = block
+                spelled = spell(words_of(text))
+                held[held_out(doc)].append(spelled)
+                size += len(spelled)
+                if size >= chunk:
+                    count()
+        if now is not None:
+            yield from out()
+
+    dealt = docs.select("doc_id", "text", block_of(blocks)).repartition(blocks, "block").sortWithinPartitions("block")
+    return cut(dealt.mapInArrow(run, "block bigint, part bigint, packed binary"), "grams")
+
 
-    counts = cut(docs.select("doc_id", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = counts.filter(F.shiftrightunsigned("gram", 56) == 0).agg(F.sum("n")).first()[0] or 0
-    got = counts.filter(F.col("n") >= max(1.0, p_min * total / 4)).toArrow()
-    gram, n = got.column("gram").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(gram)
-    gram, n = gram[order], n[order]
-    level = gram >> np.uint64(56)
-    low = gram & np.uint64((1 << 56) - 1)
-    return SuffixTree([(low[level == k], n[level == k]) for k in range(DEPTH + 1)], p_min, min_gain, strength)
+def low_grams(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counted n-grams of LOW bytes of context and a symbol."""
+    on = n > 0
+    low = keys[on] >> np.uint64(8 * (DEPTH - LOW + 1)) << np.uint64(8) | keys[on] & np.uint64(255)
+    order = np.argsort(low, kind="stable")
+    low = low[order]
+    first = np.flatnonzero(_starts(low))
+    return low[first], np.add.reduceat(n[on][order], first) if len(first) else n[:0]
+
+
+class LowLevels:
+    """Counts for contexts of up to LOW bytes."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.grams, self.totals = [], []
+        for k in range(LOW + 1):
+            ctx = keys >> np.uint64(8 * (LOW - k + 1))
+            for of, to in ((ctx << np.uint64(8) | keys & np.uint64(255), self.grams), (ctx, self.totals)):
+                u, inv = np.unique(of, return_inverse=True)
+                to.append((u, np.bincount(inv, weights=n, minlength=len(u))))
+
+    @staticmethod
+    def _count(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+        u, n = table
+        if not len(u):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(u, key), len(u) - 1)
+        return np.where(u[at] == key, n[at], 0.0)
+
+    def prob(self, low: np.ndarray, strength: float) -> np.ndarray:
+        """Smoothed probability of the symbol of each n-gram after its LOW bytes of context."""
+        p = np.full(len(low), 1 / 256)
+        for k in range(LOW + 1):
+            ctx = low >> np.uint64(8 * (LOW - k + 1))
+            p = (self._count(self.grams[k], ctx << np.uint64(8) | low & np.uint64(255)) + strength * p) / (self._count(self.totals[k], ctx) + strength)
+        return p
+
+
+def solve(keys: np.ndarray, n: np.ndarray, low: LowLevels, min_count: int, min_gain: float, strength: float) -> np.ndarray:
+    """log10 probability of the last byte of each n-gram (sorted, distinct) after its longest context in the tree. ``keys``
+    holds every counted n-gram of its contexts; what was not counted has n = 0."""
+    sym = keys & np.uint64(255)
+    before, at = np.unique(keys >> np.uint64(8 * (DEPTH - LOW + 1)) << np.uint64(8) | sym, return_inverse=True)
+    prob = low.prob(before, strength)
+    out = prob[at]
+    levels = []
+    for k in range(LOW + 1, DEPTH + 1):
+        gram, first, inv = np.unique(keys >> np.uint64(8 * (DEPTH - k + 1)) << np.uint64(8) | sym, return_index=True, return_inverse=True)
+        count = np.bincount(inv, weights=n, minlength=len(gram))
+        ctx = gram >> np.uint64(8)
+        new = _starts(ctx)
+        of = np.cumsum(new) - 1
+        total = np.bincount(of, weights=count)
+        parent = prob[at[first]]
+        prob = (count + strength * parent) / (total[of] + strength)
+        # symbols never counted here keep the share ``rest`` of their probability after the suffix
+        rest = strength / (total + strength)
+        unseen = np.maximum(0.0, 1 - np.bincount(of, weights=parent))
+        gain = total * (np.bincount(of, weights=prob * np.log(prob / parent)) + unseen * rest * np.log(rest))
+        levels.append((ctx[new], (total >= min_count) & (gain >= min_gain), of, inv, prob))
+        at = inv
+    for shorter, longer in zip(levels[-2::-1], levels[:0:-1], strict=True):  # suffixes of what stays, stay
+        shorter[1][np.searchsorted(shorter[0], longer[0][longer[1]] >> np.uint64(8))] = True
+    for _, keep, of, inv, p in levels:
+        out = np.where(keep[of][inv], p[inv], out)
+    return np.log10(out).astype(np.float32)
+
+
+def answered_grams(asked: DataFrame, min_count: int, min_gain: float, strength: float, some: int = 2_000_000) -> DataFrame:
+    """block, part, packed: log10 probabilities of the n-grams that the block asked for, in their order."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = merged([])
+        for batch in batches:
+            own = merged([own, *map(unpack_counts, batch.column(0).to_pylist())])
+        yield pa.RecordBatch.from_arrays([pa.array([pack_counts(*own)], pa.binary())], names=["packed"])
+
+    whole = merged([])
+    for row in asked.filter("part = -1").select("packed").mapInArrow(gather, "packed binary").toLocalIterator():
+        whole = merged([whole, unpack_counts(row[0])])
+    shared = asked.sparkSession.sparkContext.broadcast(LowLevels(*whole))
+
+    def run(table: pa.Table) -> pa.Table:
+        packed = table.column("packed").to_pylist()
+        store, size = [], 0
+        for x in packed:
+            store.append(unpack_counts(x))
+            size += len(store[-1][0])
+            if size >= some:
+                store = [merged(store)]
+                size = 0
+        keys, n = merged(store)
+        store.clear()
+        logs = solve(keys, n, shared.value, min_count, min_gain, strength)
+        own = [pack(logs[np.searchsorted(keys, unpack_counts(x)[0])]) for x in packed]
+        return pa.table([table.column("block"), table.column("part"), pa.array(own, pa.binary())], names=["block", "part", "packed"])
+
+    return asked.filter("part >= 0").groupBy("part").applyInArrow(run, "block bigint, part bigint, packed binary")
 
 
 def block_of(n: int):  # noqa: ANN201
@@ -274,46 +457,62 @@ def word_counts(docs: DataFrame, blocks: int) -> DataFrame:
     return cut(each.select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")), "words")
 
 
-def score(docs: DataFrame, mix: float = 0.5, p_min: float = 2e-6, min_gain: float = 12.0, strength: float = 4.0) -> DataFrame:
+def score(docs: DataFrame, mix: float = 0.5, min_count: int = 2, min_gain: float = 12.0, strength: float = 4.0) -> DataFrame:
     """One row per document: tokens, known tokens, the smoothed unigram base score, the model's log10 probability."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     blocks = max(12, 2 * docs.rdd.getNumPartitions())
-    tree = fit_tree(docs, p_min, min_gain, strength)
+    parts = 2 * blocks
+    logs = answered_grams(asked_grams(docs, blocks, parts), min_count, min_gain, strength)
     counts = word_counts(docs, blocks)
     number = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
     N, V, once = counts.filter("first").agg(number("c"), number((F.col("c") > 0).cast("bigint")), number((F.col("c") == 1).cast("bigint"))).first()
-    shared = spark.sparkContext.broadcast(tree)
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        own = shared.value
-        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        answers = known.filter(pc.is_valid(known.column("packed")))
         ids, rows = texts.column("doc_id").to_pylist(), []
         whole = texts.column("text").cast(pa.binary())
+        groups: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         k = 0
         while k < len(ids):
             group, size, first = [], 0, k
-            while k < len(ids) and (not group or size < 2 << 20):
-                group.append(words_of(whole[k].as_py() or b""))
-                size += sum(map(len, group[-1])) + len(group[-1]) + DEPTH
+            while k < len(ids) and (not group or size < 1 << 20):
+                group.append(spell(words_of(whole[k].as_py() or b"")))
+                size += len(group[-1]) + DEPTH
                 k += 1
-            rows.extend(zip(ids[first:k], score_group(own, group, count, N, V, once, mix), strict=True))
+            keys, inv = np.unique(keys_of(group), return_inverse=True)
+            groups.append((first, k, keys, inv.astype(np.int32)))
+        keys = np.unique(np.concatenate([g[2] for g in groups]))
+        order, at = by_part(keys, parts)
+        logp = np.full(len(keys), np.nan, np.float32)
+        for p, packed in zip(answers.column("part").to_pylist(), answers.column("packed").to_pylist(), strict=True):
+            logp[order[at[p] : at[p + 1]]] = unpack(packed, np.float32)[0]
+        del order, at
+        scored = []
+        while groups:
+            first, end, own, inv = groups.pop()
+            scored.append((first, end, logp[np.searchsorted(keys, own)][inv]))
+        del keys, logp, own, inv
+        words = known.filter(pc.is_valid(known.column("word")))
+        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
+        while scored:
+            first, end, own = scored.pop()
+            group = [words_of(whole[i].as_py() or b"") for i in range(first, end)]
+            rows.extend(zip(ids[first:end], score_group(own, group, count, N, V, once, mix), strict=True))
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([held_out(r[0]) for r in rows], pa.bool_()), *(pa.array([r[1][j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score"])
 
     left = docs.select("doc_id", "text", block_of(blocks)).groupBy("block")
-    return left.cogroup(counts.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)
-
-
-def score_group(tree: SuffixTree, docs: list[list[bytes]], count: dict[bytes, int], N: int, V: int, once: int, mix: float) -> list[tuple[int, int, int, float, float, float]]:
-    """n_tokens, n_known, N, base score, score and tree score of each text."""
-    spelled = [PAD + spell(ws) for ws in docs]
-    flat = b"".join(spelled)
-    logp = tree.score(flat)
-    a = np.frombuffer(flat, np.uint8)
-    size = np.array([len(x) for x in spelled])
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    logp = np.where(_padding(len(a), first), 0.0, logp)
-    # A token ends at its blank, the end token at the \n that is no padding; padding goes with a text's first token.
-    ends = np.flatnonzero((a == 32) | _last(len(a), first, size))
+    known = counts.select("block", "word", "c").unionByName(logs, allowMissingColumns=True)
+    return left.cogroup(known.groupBy("block")).applyInArrow(run, SCHEMA)
+
+
+def score_group(logp: np.ndarray, docs: list[list[bytes]], count: dict[bytes, int], N: int, V: int, once: int, mix: float) -> list[tuple[int, int, int, float, float, float]]:
+    """n_tokens, n_known, N, base score, score and tree score of each text; ``logp`` is the tree's, for each spelled byte."""
+    spelled = [spell(ws) for ws in docs]
+    a = np.frombuffer(b"".join(spelled), np.uint8)
+    # A token ends at its blank, the end token at its text's last byte.
+    last = np.zeros(len(a), bool)
+    last[np.cumsum([len(x) for x in spelled]) - 1] = True
+    ends = np.flatnonzero((a == 32) | last)
     starts = np.concatenate([[0], ends[:-1] + 1])
     spelled_logp = np.add.reduceat(logp, starts)
     n_tok = np.array([len(ws) + 1 for ws in docs])
@@ -326,16 +525,3 @@ def score_group(tree: SuffixTree, docs: list[list[bytes]], count: dict[bytes, in
     at = np.concatenate([[0], np.cumsum(n_tok)[:-1]])
     add = lambda x: np.add.reduceat(x, at)
     return list(zip(n_tok.tolist(), add((c > 0).astype(np.int64)).tolist(), [N] * len(docs), add(base).tolist(), add(own).tolist(), add(spelled_logp.astype(np.float64)).tolist(), strict=True))
-
-
-def _padding(n: int, first: np.ndarray) -> np.ndarray:
-    out = np.zeros(n, bool)
-    for j in range(DEPTH):
-        out[first + j] = True
-    return out
-
-
-def _last(n: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[first + size - 1] = True
-    return out

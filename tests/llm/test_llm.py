@@ -103,6 +103,18 @@ def test_decontamination_windows_and_frames(spark, docs, empty, monkeypatch):
     assert decontaminate.clean(docs, bench.filter("item_id = 2")).count() == docs.count()
 
 
+def test_decontamination_items_longer_than_half_a_window(monkeypatch):
+    rnd = random.Random(9)
+    item, short = prose(rnd, 110), "a short item of another kind"
+    own = decontaminate.Items([(1, item), (2, short)], 0.08)
+    before = prose(rnd, 500)
+    long = before + " " + item + " " + prose(rnd, 500) + " " + short
+    for window in (own.reach // 2, own.reach, 2 * own.reach - 8, 2 * own.reach, 2 * own.reach + 8):
+        monkeypatch.setattr(decontaminate, "WINDOW", window)
+        got = own.match([decontaminate.normal(long)])
+        assert [g[1:3] for g in got] == [(0, 0), (1, 0)] and got[0][3] == len(before) + 1
+
+
 # --- 2 token counts ---
 
 

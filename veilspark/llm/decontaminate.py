@@ -11,7 +11,7 @@ Texts and items are compared in lower case with white space as blanks. Items are
 
 Edge cases: null and empty texts match nothing; null and empty items match nothing; repeated items are matched
 each under its own id, with the smallest id reported first; a document of any length is read whole, in windows that
-overlap by more than the longest item; repeated documents are matched like any other; extra columns stay in ``clean``.
+overlap by more than the longest item and are at least four times as long; repeated documents are matched like any other; extra columns stay in ``clean``.
 """
 
 from __future__ import annotations
@@ -94,14 +94,15 @@ class Items:
                 if (doc, item) not in best or (edits, a, b) < best[doc, item]:
                     best[doc, item] = (edits, a, b)
 
+        window = max(WINDOW, 4 * self.reach)  # so that a step is at least half a window, however long an item is
         for d, a in enumerate(docs):
-            for start in range(0, max(1, len(a)), WINDOW - 2 * self.reach):
-                part = a[start : start + WINDOW]
+            for start in range(0, max(1, len(a)), window - 2 * self.reach):
+                part = a[start : start + window]
                 if start and len(part) <= 2 * self.reach:
                     break
                 held.append((d, start, part))
                 size += len(part)
-                if size >= WINDOW:
+                if size >= window:
                     flush()
                     held, size = [], 0
         flush()
@@ -157,8 +158,15 @@ class Items:
         if not len(cell):
             return
         part, item, band = cell // span // n_items, (cell // span) % n_items, cell % span + lo
-        for k in range(0, len(cell), 2048):
-            yield from self._align(parts, flat, first, sizes, part[k : k + 2048], item[k : k + 2048], band[k : k + 2048])
+        order = np.argsort(self.size[item], kind="stable")  # so that a long item does not widen the rows of short ones
+        part, item, band = part[order], item[order], band[order]
+        k = 0
+        while k < len(cell):
+            n = 2048
+            while n > 1 and n * self.size[item[min(k + n, len(cell)) - 1]] > 1 << 24:
+                n //= 2
+            yield from self._align(parts, flat, first, sizes, part[k : k + n], item[k : k + n], band[k : k + n])
+            k += n
 
     def _align(self, parts, flat, first, sizes, part, item, band) -> Iterator[tuple[int, int, int, int, int]]:  # noqa: ANN001
         """Edit distance of items to substrings of the texts, on the diagonals of their bands."""

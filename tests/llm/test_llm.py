@@ -554,6 +554,12 @@ def test_line_removal(spark, docs, empty):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_line_filters_are_dealt_alike_when_a_task_runs_again(docs):
+    filters = line_dedup.task_filters(docs.repartition(6, "doc_id"), 1, 20)
+    runs = [sorted((r["slice"], r["part"]) for r in filters.collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and len({part for _, part in runs[0]}) > 1
+
+
 def test_twice_filter_has_no_false_negatives():
     rnd = np.random.default_rng(2)
     parts = [rnd.integers(0, 3000, 800).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(3)]

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +86,12 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
 
 
-def twice_seen(docs: DataFrame, min_chars: int, log2_bits: int) -> np.ndarray:
-    """The merged filter of lines seen twice: 2**log2_bits bits, whatever the input. Merged in two rounds by slice."""
+FILTERS = "slice bigint, part bigint, packed binary"
+
+
+def task_filters(docs: DataFrame, min_chars: int, log2_bits: int) -> DataFrame:
+    """Each task's filters in slices. ``part`` deals them for merging; it follows from the task's number alone, so that a
+    task that runs again sends its slices where they went before."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TwiceFilter(log2_bits)
@@ -95,10 +100,16 @@ def twice_seen(docs: DataFrame, min_chars: int, log2_bits: int) -> np.ndarray:
             for text in raw_texts(batch):
                 hashes.extend(xxhash.xxh3_64_intdigest(k) for k in set(keys_of(text)) if _long_enough(k, min_chars))
             own.add(np.array(hashes, np.uint64))
-        part = int.from_bytes(np.random.default_rng().bytes(2), "little") % 64
+        part = TaskContext.get().partitionId() % 64
         for k, packed in own.slices():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), pa.array([packed], pa.binary())], names=["slice", "part", "packed"])
 
+    return docs.select("text").mapInArrow(gather, FILTERS)
+
+
+def twice_seen(docs: DataFrame, min_chars: int, log2_bits: int) -> np.ndarray:
+    """The merged filter of lines seen twice: 2**log2_bits bits, whatever the input. Merged in two rounds by slice."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by slice; one slice is held at a time."""
         import zstandard
@@ -120,9 +131,8 @@ def twice_seen(docs: DataFrame, min_chars: int, log2_bits: int) -> np.ndarray:
         if now is not None:
             yield out()
 
-    kind = "slice bigint, part bigint, packed binary"
-    first = docs.select("text").mapInArrow(gather, kind).repartition("slice", "part").sortWithinPartitions("slice", "part").mapInArrow(merge, kind)
-    second = first.withColumn("part", F.lit(0).cast("bigint")).repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, kind)
+    first = task_filters(docs, min_chars, log2_bits).repartition("slice", "part").sortWithinPartitions("slice", "part").mapInArrow(merge, FILTERS)
+    second = first.withColumn("part", F.lit(0).cast("bigint")).repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, FILTERS)
     import zstandard
 
     whole = np.zeros(1 << (log2_bits - 6), np.uint64)

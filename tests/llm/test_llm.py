@@ -173,6 +173,18 @@ def test_unigram_equals_plain_viterbi_and_decodes():
     assert own.encode("").tolist() == [] and own.decode([]) == ""
 
 
+def test_unigram_scores_are_log_scores_not_ranks():
+    import sentencepiece
+
+    own, sp = pieces(), sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    assert np.exp(own.scores[own.normal]).sum() == pytest.approx(1)
+    text = "the government of the people and the history of music in the summer garden"
+    assert len(own.encode(text)) <= 1.2 * len(sp.encode(text))
+    assert any(own.pieces[i].startswith("▁▁") for i in own.encode("many" + " " * 9 + "blanks"))
+    given = [-1.5, -2.25, 0.0]
+    assert unigram.log_scores(given, ["normal", "normal", "control"]) == given
+
+
 def test_double_array_holds_its_keys():
     keys = [p.encode() for p in ["a", "ab", "abc", "b", "é", "日本", "zz"]]
     trie = unigram.DoubleArray(keys)

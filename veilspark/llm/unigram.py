@@ -81,6 +81,20 @@ class DoubleArray:
         return np.where((child < len(self.check)) & (self.check[np.minimum(child, len(self.check) - 1)] == node), child, -1)
 
 
+def log_scores(scores: list[float], kinds: list[str]) -> list[float]:
+    """Log scores of a model's pieces. A BPE model's scores are merge ranks, whole numbers below zero, whose sums mean nothing;
+    they become log probabilities by Zipf's law, 1 / (rank x H), over the normal pieces, equal scores sharing their first
+    rank. Other scores are log scores already."""
+    normal = np.array([i for i, k in enumerate(kinds) if k == "normal"], np.int64)
+    own = np.array(scores, np.float64)
+    if not len(normal) or (own[normal] != np.floor(own[normal])).any():
+        return scores
+    ordered = np.sort(-own[normal])
+    rank = np.searchsorted(ordered, -own[normal]) + 1
+    own[normal] = -np.log(rank) - np.log((1 / rank).sum())
+    return own.tolist()
+
+
 class Pieces:
     """A vocabulary: pieces, log scores, byte pieces; encodes and decodes. Picklable, a few MB."""
 
@@ -107,7 +121,8 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(sp.get_piece_size())
         kind = lambda i: "byte" if sp.is_byte(i) else "control" if sp.is_control(i) else "unknown" if sp.is_unknown(i) else "normal"
-        return cls([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], [kind(i) for i in n])
+        kinds = [kind(i) for i in n]
+        return cls([sp.id_to_piece(i) for i in n], log_scores([sp.get_score(i) for i in n], kinds), kinds)
 
     def units(self, text: str) -> list[str]:
         """Parts of the marked text that no piece joins."""

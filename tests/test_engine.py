@@ -442,3 +442,23 @@ def test_query(spark, duck, name):
         assert sorted(have) == columns
         at = [have.index(c) for c in columns]
         assert got == sorted(tuple(_plain(r[i]) for i in at) for r in cur.fetchall())
+
+
+# --- the entry points without the corpus operators ---
+
+
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_corpus_operators(tmp_path, also):
+    """With both llm folders gone, and the pipeline's file gone or still there, the other queries and their SQL are listed."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("veilspark", "__spark_entry__.py", *(x for x in also if os.path.exists(f"{root}/{x}"))):
+        copy = shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy
+        copy(f"{root}/{name}", f"{tmp_path}/{name}")
+    shutil.rmtree(f"{tmp_path}/veilspark/llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), set(o) <= set(q), any(x.startswith('op') or x == 'pipeline' for x in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), "True", "False"], out.stderr

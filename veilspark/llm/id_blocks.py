@@ -2,7 +2,8 @@
 
 Documents are dealt into ranges of ascending doc_id. Within a range each document's ids (little-endian u32, the end id
 last) are one zstandard frame of their own, compressed with a dictionary trained on the serialized id arrays of a
-bounded sample (``dict_docs`` documents of at most ``dict_chars`` characters, chosen by hash). A block holds some
+bounded sample (``dict_docs`` documents chosen by hash, up to ``dict_chars`` characters of each). Where the trainer finds
+the sample too small, the sample itself is the dictionary; only a table without a row has none. A block holds some
 thousand documents:
 
     b"VSID" | u32 version | 32 bytes sha256 of the dictionary | u64 documents | u64 ids before the block in its range |
@@ -24,6 +25,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 
 import numpy as np
@@ -49,7 +51,8 @@ class ByteEncoder:
     Cutting, numbering the distinct parts and putting ids together are array operations; only distinct parts of a batch
     become objects."""
 
-    def __init__(self, path: str, most: int = 1_050_000):
+    def __init__(self, path: str, most: int = 96 << 20):
+        """most: bytes that the store of known parts may take, counted part by part."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -63,7 +66,12 @@ class ByteEncoder:
         self.model = self.tok.model
         self.table = byte_letters()
         self.marks = dict(zip(".,;:", self.whole(list(".,;:")), strict=True)) if self.cuttable else {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was learnt."""
         self.parts: dict[str, bytes] = {}  # ids of a part; empty for one that must not be cut off
+        self.taken = 0
 
     def whole(self, xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(xs, add_special_tokens=False)] if xs else []
@@ -100,12 +108,14 @@ class ByteEncoder:
         return out
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.most:
-            self.parts.clear()
+        if self.taken > self.most:
+            self.forget()
         known, tokenize, marks = self.parts, self.model.tokenize, self.marks
         found = list(map(known.get, parts))
         rest = []
-        for i in [i for i, x in enumerate(found) if x is None]:
+        new = [i for i, x in enumerate(found) if x is None]
+        self.taken += 200 * len(new) + 8 * sum(len(parts[i]) for i in new)  # an entry, its text and its ids, rather too much
+        for i in new:
             p = parts[i]
             last = p[-1:]
             word = p[:-1] if last in marks else p
@@ -144,26 +154,35 @@ def _free(part: str) -> bool:
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 
-def encoder(path: str) -> ByteEncoder:
-    """This process's encoder for a tokenizer file: a worker's next task finds what the last has learnt."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path)
-    return _ENCODERS[path]
+@contextmanager
+def encoder(path: str) -> Iterator[ByteEncoder]:
+    """This process's encoder for a tokenizer file. What it learns in a task goes at the task's end, so that a worker that
+    is used again for other work holds the vocabulary alone."""
+    own = _ENCODERS[path] = _ENCODERS.get(path) or ByteEncoder(path)
+    try:
+        yield own
+    finally:
+        own.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dict_docs: int = 400, dict_chars: int = 8000, size: int = 64 << 10) -> bytes:
-    """A dictionary from the id arrays of ``dict_docs`` documents of at most ``dict_chars`` characters; empty where there are too few to train on."""
+    """A dictionary of at most ``size`` bytes from the id arrays of ``dict_docs`` documents, up to ``dict_chars`` characters
+    of each. Too small a sample for the trainer is the dictionary itself, as raw content."""
     h = F.xxhash64(F.col("doc_id"), F.lit(7))
-    share = min(1.0, 8 * dict_docs / max(1, docs.count()))  # rows that may be chosen at all: few go to the driver
-    few = docs.filter((F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))) & (F.length("text") <= dict_chars)).select("text", h.alias("h")).orderBy("h", "text").limit(dict_docs)
-    own = encoder(tokenizer)
-    sample = [x + struct.pack("<I", end_id) for x in own.encode([r[0] for r in few.collect()])]
-    if len(sample) < 8 or sum(map(len, sample)) < 8 * size:
-        return b""
+    share = min(1.0, 8 * dict_docs / max(1, docs.count()))  # rows that may be chosen at all: few are sorted
+    few = docs.filter(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))).select(F.substring("text", 1, dict_chars).alias("text"), h.alias("h")).orderBy("h", "text").limit(dict_docs)
+    with encoder(tokenizer) as own:
+        sample = [x + struct.pack("<I", end_id) for x in own.encode([r[0] for r in few.collect()])]
+    return shared_dictionary(sample, size)
+
+
+def shared_dictionary(sample: list[bytes], size: int) -> bytes:
+    """A trained dictionary; where there is too little to train on, the last ``size`` bytes of the sample."""
     try:
-        return zstandard.train_dictionary(size, sample).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1 << 10, sum(map(len, sample)) // 8)), sample).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sample)[-size:]
 
 
 def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -216,7 +235,10 @@ def write_ids(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int, r
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        with encoder(tokenizer) as own:
+            yield from blocks_of(own, batches)
+
+    def blocks_of(own: ByteEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, dict_data=_dict(shared.value))
         part, no, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes]] = []

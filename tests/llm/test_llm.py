@@ -404,7 +404,7 @@ def test_ids_come_back(spark, docs, empty):
 
 def test_byte_encoder_equals_library():
     rnd = random.Random(1)
-    own = id_blocks.ByteEncoder(tokenizer("byte_bpe_50k.json"), most=500)
+    own = id_blocks.ByteEncoder(tokenizer("byte_bpe_50k.json"), most=100_000)
     texts = [t or "" for t in EDGES] + corpus(3, 30) + ["".join(rnd.choice("ab 1é\n🎉'st\t .\x1c\x85　​ ") for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
     for k in range(0, len(texts), 97):
         assert own.encode(texts[k : k + 97]) == own.whole(texts[k : k + 97])
@@ -420,6 +420,41 @@ def test_block_reads_one_document():
             id_blocks.Block(id_blocks.write_block(docs, 0, d), d + b"x")
 
 
+def test_shared_dictionary_is_trained_and_used(spark):
+    """A corpus large enough to train on: the blocks are written and read with the trained dictionary, and are smaller for it."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    words = [w + x for w in WORDS for x in ("", "s", "ing", "ed", "ness")]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(60)) + ". All rights reserved by the house of letters." * (i % 2), "en", "s", 1) for i in range(900)], SCHEMA)
+    path = tokenizer("byte_bpe_50k.json")
+    d = id_blocks.train_dictionary(docs, path, 2)
+    assert d[:4] == bytes.fromhex("37a430ec")  # the magic number of a trained dictionary
+    blocks = id_blocks.write_ids(docs, path, d, 2, 3)
+    tok = Tokenizer.from_file(path)
+    want = {r["doc_id"]: tok.encode(r["text"], add_special_tokens=False).ids + [2] for r in docs.collect()}
+    got, size = {}, 0
+    for r in blocks.collect():
+        block = id_blocks.Block(r["block"], d)
+        size += len(block.body)
+        got |= {int(block.index["doc_id"][k]): np.frombuffer(block.ids(k), np.uint32).tolist() for k in range(len(block.index))}
+    assert got == want
+    import zstandard
+
+    assert size < 0.8 * sum(len(zstandard.compress(np.array(x, "<u4").tobytes())) for x in want.values())
+    assert {(r["doc_id"], r["n_tokens"]) for r in id_blocks.read_ids(blocks, d).collect()} == {(i, len(x)) for i, x in want.items()}
+    long_only = id_blocks.train_dictionary(docs.limit(20).withColumn("text", F.repeat("text", 200)), path, 2)
+    assert long_only  # documents longer than the sample's bound give a dictionary too
+
+
+def test_small_samples_are_the_dictionary():
+    few = [bytes(range(40)), bytes(range(40))]
+    assert id_blocks.shared_dictionary(few, 64 << 10) == b"".join(few) and id_blocks.shared_dictionary([], 64) == b""
+    d = id_blocks.shared_dictionary(few, 64 << 10)
+    block = id_blocks.Block(id_blocks.write_block([(1, few[0])], 0, d), d)
+    assert block.ids(0) == few[0] and len(block.body) < 30
+
+
 # --- 8 near duplicates ---
 
 
@@ -566,6 +601,28 @@ def test_line_removal(spark, docs, empty):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_line_removal_is_row_by_row(spark):
+    """Rows that share an id or have none lose their own repeated lines only; equal rows lose the same."""
+    rows = [(i, f"own {i}\nshared\n last {i}", "en", "s", 1) for i in range(12)]
+    rows += [(None, "alpha\nbeta\ngamma", "en", "s", 1), (None, "x\n Shared \ny", "en", "s", 1), (50, "shared\nz1", "en", "s", 1), (50, "keep me\nz2", "en", "s", 1), (51, "a\nshared", "en", "s", 1), (51, "a\nshared", "en", "s", 1), (52, None, "en", "s", 1), (53, "shared\nSHARED", "en", "s", 1)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, SCHEMA).withColumn("CELLS", F.lit(1)), min_docs=10)
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect())
+    key = lambda x: x.strip().lower()
+    want = Counter()
+    for i, t, *_ in rows:
+        kept = [x for x in (t or "").split("\n") if key(x) != "shared"]
+        n = len((t or "").split("\n"))
+        want[i, None if t is None else "\n".join(kept), n, n - len(kept)] += 1
+    assert got == want
+    first = Counter((r["doc_id"], r["text"]) for r in line_dedup.drop_lines(spark.createDataFrame(rows[:12] + rows[14:18], SCHEMA), min_docs=10, keep_first=True).collect())
+    assert first[0, rows[0][1]] == 1 and first[1, "own 1\n last 1"] == 1 and first[50, "z1"] == 1 and first[51, "a"] == 2
+
+
+def test_filter_size_follows_the_lines(spark):
+    frame = lambda n: spark.range(n).select(F.repeat(F.lit("a\n"), 999).alias("text"))
+    assert [line_dedup.filter_bits(frame(n)) for n in (0, 10, 1000, 200_000)] == [20, 20, 23, 28]
+
+
 def test_line_filters_are_dealt_alike_when_a_task_runs_again(docs):
     filters = line_dedup.task_filters(docs.repartition(6, "doc_id"), 1, 20)
     runs = [sorted((r["slice"], r["part"]) for r in filters.collect()) for _ in range(2)]

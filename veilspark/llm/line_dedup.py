@@ -6,13 +6,16 @@ the merged second filter holds every line that two documents share, and few othe
 shuffled; they are then counted exactly, one row for each key and document, and the keys found in ``min_docs`` documents
 lose their lines: all of them, or all but the first occurrence (the lowest document id, then the lowest line).
 
-The filters have a fixed number of bits: a fuller filter lets more unrepeated lines through to the exact count and never
-changes the result. Keys in the exact count are 128-bit hashes of the whole key.
+The filters have about 8 bits for each line of the table, at least 2**20 and at most 2**28 bits (``filter_bits``), so that
+what the driver merges and broadcasts is bounded: a fuller filter lets more unrepeated lines through to the exact count
+and never changes the result. Keys in the exact count are 128-bit hashes of the whole key.
 
 Edge cases: a null or empty text is one empty line; lines are split at \\n only; a key is the line without
 ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; keys shorter than ``min_chars`` code points never go;
-documents are told apart by doc_id, so repeated rows of one id count once; a null doc_id is one document; extra columns
-stay as they are.
+documents are told apart by doc_id, so repeated rows of one id count once; all rows without an id count as one document.
+Lines go row by row: rows that share an id, or have none, each lose their own repeated lines and no others (a row is known
+by its id and 128 bits of its text's hashes; rows equal in both are equal). With ``keep_first``, each row of the first
+document keeps the line's first place. An empty table gives an empty result; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import cut, fresh, prepare, raw_texts
@@ -141,33 +144,46 @@ def twice_seen(docs: DataFrame, min_chars: int, log2_bits: int) -> np.ndarray:
     return whole
 
 
-def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, log2_bits: int = 26, keep_first: bool = False) -> DataFrame:
-    """doc_id, drop (array of line numbers from 0): the lines that go, for documents that lose any."""
+def filter_bits(docs: DataFrame, least: int = 20, most: int = 28) -> int:
+    """The filters' size for a table, as a power of two: 8 bits a line, between bounds."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    return min(most, max(least, (8 * n - 1).bit_length()))
+
+
+def row_hashes() -> list[Column]:
+    """128 bits that tell the rows of one id apart by their texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
+
+
+def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, log2_bits: int | None = None, keep_first: bool = False) -> DataFrame:
+    """doc_id, h1, h2, drop (array of line numbers from 0): the lines that go, for rows that lose any."""
     spark = prepare(docs.sparkSession)
-    seen = spark.sparkContext.broadcast(twice_seen(docs, min_chars, log2_bits))
+    seen = spark.sparkContext.broadcast(twice_seen(docs, min_chars, log2_bits or filter_bits(docs)))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TwiceFilter(6)
         own.words, own.twice = len(seen.value), seen.value
         for batch in batches:
-            ids, keys, at = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
+            of, keys, at = [], [], []
+            for row, text in enumerate(raw_texts(batch)):
                 lines: dict[bytes, list[int]] = {}
                 for i, k in enumerate(keys_of(text)):
                     if _long_enough(k, min_chars):
                         lines.setdefault(k, []).append(i)
-                ids.extend([doc] * len(lines))
+                of.extend([row] * len(lines))
                 keys.extend(lines)
                 at.extend(lines.values())
             if not keys:
                 continue
             hit = np.flatnonzero(own.suspected(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in hit], pa.int64()), pa.array([xxhash.xxh3_128_digest(keys[i]) for i in hit], pa.binary()), pa.array([at[i] for i in hit], pa.list_(pa.int32()))],
-                names=["doc_id", "line_key", "at"],
-            )
+            rows = pa.array([of[i] for i in hit], pa.int64())
+            new = [pa.array([xxhash.xxh3_128_digest(keys[i]) for i in hit], pa.binary()), pa.array([at[i] for i in hit], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), *new], names=["doc_id", "h1", "h2", "line_key", "at"])
 
-    found = cut(docs.select("doc_id", "text").mapInArrow(suspects, "doc_id bigint, line_key binary, at array<int>"), "suspects")
+    h1, h2 = row_hashes()
+    found = cut(docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text").mapInArrow(suspects, "doc_id bigint, h1 bigint, h2 bigint, line_key binary, at array<int>"), "suspects")
     # One row for each key and document id: rows of one id count once.
     per_doc = found.groupBy("line_key", "doc_id").agg(F.count(F.lit(1)).alias("rows_"))
     often = per_doc.groupBy("line_key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_doc")).filter(F.col("n_docs") >= min_docs)
@@ -176,25 +192,27 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, log2_bits
     if keep_first:
         first = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_doc")
         gone = gone.withColumn("at", F.when(first, F.expr("slice(at, 2, greatest(size(at) - 1, 0))")).otherwise(F.col("at")))
-    return gone.select("doc_id", F.explode("at").alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
+    return gone.filter(F.size("at") > 0).groupBy("doc_id", "h1", "h2").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("drop"))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, log2_bits: int = 26, keep_first: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, log2_bits: int | None = None, keep_first: bool = False) -> DataFrame:
     """The documents with ``text`` without the repeated lines, ``n_lines`` (before) and ``n_dropped``."""
-    drop = fresh(docs, "drop")
-    gone = repeated_lines(docs, min_docs, min_chars, log2_bits, keep_first).select(F.col("doc_id").alias(drop + "id"), F.col("drop").alias(drop))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[drop + "id"]), "left")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    drop, cells = fresh(docs, "drop"), fresh(docs, "cells")
+    gone = repeated_lines(docs, min_docs, min_chars, log2_bits, keep_first).select(F.col("doc_id").alias(drop + "id"), F.col("h1").alias(drop + "h1"), F.col("h2").alias(drop + "h2"), F.col("drop").alias(drop))
+    h1, h2 = row_hashes()
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[drop + "id"]) & (h1 == gone[drop + "h1"]) & (h2 == gone[drop + "h2"]), "left")
+    joined = joined.withColumn(cells, F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     names = [fresh(docs, "n_lines"), fresh(docs, "n_dropped")]
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cells) - 1), F.col(drop))  # by a hash set: long documents have many lines
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(cells), i)), "\n")
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.size(lines).cast("bigint").alias(names[0]), F.coalesce(F.size(drop), F.lit(0)).cast("bigint").alias(names[1]))
+    n_dropped = F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("bigint")
+    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.size(cells).cast("bigint").alias(names[0]), n_dropped.alias(names[1]))
 
 
-def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, log2_bits: int = 26) -> DataFrame:
+def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, log2_bits: int | None = None) -> DataFrame:
     out = drop_lines(docs.select("doc_id", "text"), min_docs, min_chars, log2_bits)
-    n_dropped = F.greatest("n_dropped", F.lit(0))  # size() of null is -1 where ANSI mode is off
-    return out.select("doc_id", "n_lines", n_dropped.alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -573,6 +573,73 @@ def test_warc_skips_without_decoding(monkeypatch):
     assert one[0] == 3 and one[-1] == b"D" * 500 and len(decoded) == 6
 
 
+def test_warc_append_overwrite_and_valid_headers(spark, tmp_path):
+    path = str(tmp_path / "own")
+    pages = lambda a, b: spark.createDataFrame([(i, f"http://a/{i}", "y" * 120 if i % 2 else f"page {i}") for i in range(a, b)], "page_id bigint, url string, html string")
+    read = lambda: sorted(r["page_id"] for r in spark.read.format("warc").load(path).collect())
+    warc.archive(pages(0, 5), path)
+    warc.archive(pages(5, 8), path)
+    warc.archive(pages(8, 9), path)
+    assert read() == list(range(9))
+    warc.archive(pages(20, 23), path, mode="overwrite")
+    assert read() == [20, 21, 22] and len(list(tmp_path.glob("own/*.warc.gz"))) == len(warc.archives(path))
+    whole = b"".join(__import__("gzip").decompress(open(x, "rb").read()) for x, _ in warc.archives(path))
+    heads = [warc.headers(x.split(b"\r\n\r\n")[0].split(b"\r\n")) for x in whole.split(b"WARC/1.1\r\n")[1:]]
+    assert len(heads) == 3
+    for h in heads:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", h["warc-record-id"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) and h["warc-payload-digest"].startswith("sha256:")
+        assert ("warc-profile" in h) == (h["warc-type"] == "revisit") == ("warc-refers-to" in h)
+
+
+def test_warc_joins_many_repeats_by_shuffling(spark, tmp_path, monkeypatch):
+    rows = [(i, "u", "z" * 200 if i % 3 == 0 else None if i % 3 == 1 else f"{i}" * 200) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = sorted(map(tuple, warc.round_trip(pages, str(tmp_path / "a")).collect()), key=str)
+    monkeypatch.setattr(warc, "FEW", 0)
+    assert sorted(map(tuple, warc.round_trip(pages, str(tmp_path / "b")).collect()), key=str) == want
+    assert sum(r[3] == "revisit" for r in want) == 19
+
+
+def foreign_archive():
+    body = b"<html>first</html>"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    parts = [
+        ("WARC/1.0", [("WARC-Type", "warcinfo"), ("Content-Type", "application/warc-fields")], b"software: hand\r\n"),
+        ("WARC/1.0", [("WARC-Type", "response"), ("warc-target-uri", "<http://f/1>"), ("WARC-Payload-Digest", "sha1:ABC"), ("Content-Type", "application/http; msgtype=response")], http),
+        ("WARC/1.1", [("WARC-Type", "resource"), ("WARC-Target-URI", "http://f/2"), ("X-Long", "a\r\n b"), ("Content-Type", "text/plain")], b"plain text"),
+        ("WARC/1.1", [("WARC-Type", "revisit"), ("WARC-Target-URI", "http://f/1"), ("Content-Type", "application/http")], b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+    return [(v + "\r\n" + "".join(f"{k}: {x}\r\n" for k, x in hs) + f"Content-Length: {len(b)}\r\n\r\n").encode() + b + b"\r\n\r\n" for v, hs, b in parts]
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    import gzip
+
+    parts = foreign_archive()
+    files = {"a.warc": b"".join(parts), "b.warc.gz": b"".join(map(gzip.compress, parts)), "c.warc.gz": gzip.compress(b"".join(parts)), "ignored.txt": b"x"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = [("warcinfo", None, 16, None, b"software: hand\r\n"), ("response", "http://f/1", 18, "sha1:ABC", b"<html>first</html>"), ("resource", "http://f/2", 10, None, b"plain text"), ("revisit", "http://f/1", None, None, None)]
+    rows = spark.read.format("warc").load(str(tmp_path)).collect()
+    got = Counter((r["record_type"], r["target_uri"], r["payload_bytes"], r["payload_digest"], r["payload"] and bytes(r["payload"])) for r in rows)
+    assert got == Counter(want * 3) and all(r["page_id"] is None for r in rows)
+    one = spark.read.format("warc").option("payload", "false").load(str(tmp_path / "a.warc"))
+    assert [(r["target_uri"], r["payload"]) for r in one.filter("payload_bytes = 18").collect()] == [("http://f/1", None)]
+    assert [r["target_uri"] for r in one.filter("record_type = 'resource'").collect()] == ["http://f/2"]
+
+
+def test_warc_damage_is_an_error():
+    import io
+
+    data = warc.pack({"page_id": 1, "target_uri": "u", "record_type": "response", "payload_bytes": 3, "payload_digest": "d", "refers_to": None, "payload": b"abc"})
+    assert [r[-1] for r in warc.records(io.BytesIO(data))] == [b"abc"]
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(data[:-8] + b"\x00" * 8)))
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(b"".join(foreign_archive())[:400])))
+
+
 # --- 10 lines ---
 
 

@@ -325,6 +325,71 @@ def test_language_accuracy_and_edges(spark, empty):
     assert language_id.predict(empty, None).count() == 0
 
 
+def test_language_is_und_without_a_letter(spark):
+    rows = [(i, prose(random.Random(i), 30), "en", "s", 1) for i in range(30)] + [(100 + i, t, None, "s", 1) for i, t in enumerate(["½ ² 10", "٣ Ⅳ _", "", None, "…", "ⅷ²", "a½"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert [got[100 + i] for i in range(7)] == [("und", False)] * 6 + [("en", True)]
+
+
+def test_every_labelled_language_is_learned(spark):
+    """A language in one long document, one found in the calibration fold alone, one in the same fold that is never learned from."""
+    fold = lambda k, n: [i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 5 == k][:n]
+    rows = [(i, "the house of green light " * 9, "aa", "s", 1) for i in fold(3, 40)]
+    rows += [(fold(2, 1)[0], "zwischen jkjk qwqw " * 3000, "bb", "s", 1), (fold(1, 1)[0], "vvuu ooii vvoo " * 20, "cc", "s", 1), (fold(0, 1)[0], "xyxy", "dd", "s", 1)]
+    rows += [(fold(4, 1)[0], "12 ½", "ee", "s", 1)]
+    model, _ = language_id.train(spark.createDataFrame(rows, SCHEMA), sample_chars=500)
+    assert model.langs == ["aa", "bb", "cc"]
+    alone = spark.createDataFrame([rows[41], (fold(0, 2)[1], "vvuu vvoo", None, "s", 1)], SCHEMA)
+    assert [r["lang_pred"] for r in language_id.predict(alone, language_id.train(alone)).collect()] == ["cc", "cc"]
+
+
+def plain_kneser_ney(counts, order, floor):
+    """Interpolated Kneser-Ney over dicts of tuples: log probability of a word and its end."""
+    spell = lambda w: [1] * (order - 1) + [ord(c) for c in w] + [2]
+    top = Counter()
+    for w, n in counts.items():
+        s = spell(w)
+        for i in range(order - 1, len(s)):
+            top[tuple(s[i - order + 1 : i + 1])] += n
+    level = {order: top}
+    grams = {order: set(top)}
+    for k in range(order - 1, 0, -1):
+        grams[k] = {g[1:] for g in grams[k + 1]}
+        level[k] = Counter(g[1:] for g in grams[k + 1])
+    d, total, kinds = {}, {}, {}
+    for k, c in level.items():
+        n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        d[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total[k], kinds[k] = Counter(), Counter()
+        for g, x in c.items():
+            total[k][g[:-1]] += x
+            kinds[k][g[:-1]] += 1
+
+    def p(g):
+        if not g:
+            return floor
+        k, low = len(g), p(g[1:])
+        t = total[k][g[:-1]]
+        return low if not t else (max(level[k][g] - d[k], 0) + d[k] * kinds[k][g[:-1]] * low) / t
+
+    return lambda w: sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for s in [spell(w)] for i in range(order - 1, len(s)))
+
+
+def test_kneser_ney_equals_plain_recursion():
+    rnd = random.Random(12)
+    word = lambda chars: "".join(rnd.choice(chars) for _ in range(rnd.randint(1, 6)))
+    counts = {"x": Counter(word("abcd") for _ in range(80)), "y": Counter(word("bcde") for _ in range(50)), "z": Counter({"zz": 3})}
+    model = language_id.KneserNey(counts, 4)
+    words = sorted({word("abcdefz") for _ in range(150)})
+    got, n = model.score(words)
+    floor = 1 / (len(set("".join(w for c in counts.values() for w in c))) + 2)
+    for i, lang in enumerate(model.langs):
+        plain = plain_kneser_ney(counts[lang], 4, floor)
+        assert np.allclose(got[:, i], [plain(w) for w in words])
+    assert n.tolist() == [len(w) + 1 for w in words]
+
+
 def test_kneser_ney_sums_to_one():
     m = language_id.KneserNey({"x": Counter({"aab": 3, "ab": 2, "b": 1}), "y": Counter({"ba": 2, "c": 1})}, 3)
     chars = "abc"

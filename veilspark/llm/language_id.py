@@ -1,32 +1,33 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 For each language an n-gram model of characters inside words (``^`` before, ``$`` after) is trained on a bounded sample
-of labelled documents: about ``sample_chars`` characters a language, whole documents chosen by hash. N-grams are kept as
+of labelled documents: about ``sample_chars`` characters a language, whole documents chosen by hash, one at least. A word
+is a run of letters (Unicode category L) of the lower-cased text, in training and prediction alike. N-grams are kept as
 64-bit hashes in one sorted array an order, with the interpolated log probability in every language beside each; an
 n-gram that no language has seen costs its context's back-off weight and is looked up one order lower. A text gets the
 language of the lowest cross-entropy per character. Rejection is calibrated on labelled documents that training
-left out: a logistic fit of "the prediction is right" on the margin to the second language and on the length gives
+left out (a fifth by hash; a language that has no others is learned from these and not calibrated on): a logistic fit of "the prediction is right" on the margin to the second language and on the length gives
 ``score``; ``rejected`` marks scores under ``min_score`` and texts whose cross-entropy exceeds what right predictions show.
 
-Edge cases: null texts, and texts without a letter, are ``und`` with score 0; where no labelled document exists, all are
-``und``; with one language known, it is always predicted; ties go to the language that sorts first; very long texts are
+Edge cases: null texts, and texts without a letter, are ``und`` with score 0; where no labelled document has a letter, all
+are ``und``; every language with a letter in some labelled document is learned; with one language known, it is always predicted; ties go to the language that sorts first; very long texts are
 read whole; repeated rows and null ids are rows like any other (crc32 of the empty text for a null id).
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import crc_mod, prepare, py_crc_mod
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START, END = 1, 2  # code points that stand for the word's edges
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, cross_entropy double, margin double, rejected boolean"
 
@@ -237,25 +238,46 @@ def _best(ce: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return best, low, np.partition(ce, 1, axis=1)[:, 1] - low
 
 
+def word_counts(sample: DataFrame) -> DataFrame:
+    """lang, word, n: words of the documents (columns lang and text), cut as predictions cut them."""
+    prepare(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w, k in Counter(text.lower().split()).items():
+                    for part in LETTERS.findall(w):
+                        n[lang, part] += k
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "n"])
+
+    each = sample.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, word string, n bigint")
+    return each.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, order: int = 5, sample_chars: int = 1_500_000, calibration_docs: int = 1000) -> tuple[KneserNey, Calibration] | None:
-    """Fit on documents whose crc32(doc_id) mod 5 is 2, 3 or 4, calibrate on those with 1. About ``sample_chars``
-    characters a language and ``calibration_docs`` documents are used, chosen by hash; None where nothing is labelled."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").withColumns({"fold": crc_mod(F.col("doc_id"), 5), "u": F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)}).filter("fold <> 0")
-    sizes = labelled.groupBy("lang").agg(F.sum(F.when(F.col("fold") > 1, F.length("text")).otherwise(0)).alias("chars"), F.sum(F.when(F.col("fold") == 1, 1).otherwise(0)).alias("n")).collect()  # a row for each language
-    sizes = [r for r in sizes if r["chars"]]
+    """Fit on documents whose crc32(doc_id) mod 5 is 2, 3 or 4, calibrate on those with 1 (a language that has only these is
+    learned from them). About ``sample_chars`` characters a language, its document of lowest hash at least, and
+    ``calibration_docs`` documents are used, chosen by hash; None where no labelled document has a letter."""
+    u = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", crc_mod(F.col("doc_id"), 5).alias("fold"), u.alias("u")).filter("fold <> 0")
+    of = lambda on, x: F.when(on, x)
+    late, early = F.col("fold") == 1, F.col("fold") > 1
+    sizes = labelled.groupBy("lang").agg(*(f(of(on, x)).alias(k + n) for on, n in ((early, "2"), (late, "1")) for f, x, k in ((F.sum, F.length("text"), "chars"), (F.min, F.col("u"), "least"), (F.count, F.lit(1), "n")))).collect()  # a row for each language
     if not sizes:
         return None
-    share = lambda k: F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(k(r)))))[F.col("lang")]
-    sample = labelled.filter((F.col("fold") > 1) & (F.col("u") < share(lambda r: sample_chars / r["chars"])))
-    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}+)', 1)")).alias("word")).groupBy("lang", "word").count().collect()
+    fold = {r["lang"]: "2" if r["n2"] else "1" for r in sizes}
+    limit = {r["lang"]: max(sample_chars / max(1, r["chars" + fold[r["lang"]]]), r["least" + fold[r["lang"]]]) for r in sizes}
+    table = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[F.col("lang")]
+    sample = labelled.filter((F.when(early, "2").otherwise("1") == table(fold)) & (F.col("u") <= table(limit)))
     counts: dict[str, Counter] = {}
-    for lang, word, n in words:
+    for lang, word, n in word_counts(sample).collect():
         counts.setdefault(lang, Counter())[word] += n
     if not counts:
         return None
     model = KneserNey(counts, order)
-    every = sum(r["n"] for r in sizes)
-    held = labelled.filter((F.col("fold") == 1) & (F.col("u") < calibration_docs / max(1, every))).select("doc_id", "text", "lang")
+    every = sum(r["n1"] for r in sizes if fold[r["lang"]] == "2")
+    held = labelled.filter(late & (table(fold) == "2") & (F.col("u") < calibration_docs / max(1, every))).select(F.col("lang").cast("string").alias("lang"), "text")
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
@@ -264,7 +286,7 @@ def train(docs: DataFrame, order: int = 5, sample_chars: int = 1_500_000, calibr
         for batch in batches:
             ce, n = judge.texts(batch.column(1).to_pylist())
             best, low, margin = _best(ce)
-            right = [judge.model.langs[b] == x for b, x in zip(best, batch.column(2).to_pylist(), strict=True)]
+            right = [judge.model.langs[b] == x for b, x in zip(best, batch.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(margin), pa.array(n), pa.array(right, pa.bool_()), pa.array(low)], names=["margin", "n", "right", "ce"])
 
     got = [r for r in held.mapInArrow(run, "margin double, n bigint, right boolean, ce double").collect() if r["n"]]

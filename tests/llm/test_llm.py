@@ -214,7 +214,7 @@ def test_unigram_frames(docs, empty):
 
 
 def test_suffix_tree_scores(docs, empty, spark):
-    out = suffix_tree_lm.score(docs).collect()
+    out = suffix_tree_lm.score(docs, block_bytes=20_000).collect()
     all_rows = rows_of(docs)
     train = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for i, t in all_rows if not suffix_tree_lm.held_out(i)]
     c = Counter(w for ws in train for w in [*ws, None])
@@ -233,26 +233,10 @@ def test_suffix_tree_scores(docs, empty, spark):
     assert suffix_tree_lm.score(empty).count() == 0
     one = suffix_tree_lm.score(spark.createDataFrame([(5, "only held out words", "en", "s", 1)], SCHEMA)).collect()
     assert len(one) == 1 and one[0]["n_tokens"] == 5
-
-
-def test_suffix_tree_automaton_is_the_longest_suffix():
-    rnd = random.Random(2)
-    texts = [suffix_tree_lm.spell(suffix_tree_lm.words_of(prose(rnd, 60).encode())) for _ in range(40)]
-    grams = suffix_tree_lm.count_grams(texts)
-    tree = suffix_tree_lm.SuffixTree([(k, n) for k, n in grams], 1e-3, 1.0, 4.0)
-    p = 10.0 ** tree.logp.astype(float)
-    mass = p[:, 1:].sum(axis=1) + p[:, 0] * (256 - (tree.next.shape[1] - 1))
-    assert np.allclose(mass, 1) and tree.contexts > 50
-    text = suffix_tree_lm.PAD + texts[0]
-    assert np.allclose(tree.score(text, 7), tree.score(text, 1000))
-    plain = Counter()
-    for t in texts:
-        s = suffix_tree_lm.PAD + t
-        for i in range(suffix_tree_lm.DEPTH, len(s)):
-            for k in range(suffix_tree_lm.DEPTH + 1):
-                plain[s[i - k : i + 1]] += 1
-    for k, (keys, n) in enumerate(grams):
-        assert {int(x).to_bytes(8, "big")[8 - k - 1 :]: int(y) for x, y in zip(keys, n)} == {g: y for g, y in plain.items() if len(g) == k + 1}
+    none = suffix_tree_lm.score(spark.createDataFrame([(i, "a b", "en", "s", 1) for i in range(400) if suffix_tree_lm.held_out(i)], SCHEMA)).collect()
+    assert none and all((r["n_known"], r["train_tokens"]) == (0, 0) and r["score"] == pytest.approx(5 * math.log10(1 / 256)) for r in none)
+    same = suffix_tree_lm.score(docs, block_bytes=3000)
+    assert {(r["doc_id"], r["n_known"], round(r["score"], 3)) for r in same.collect()} == {(r["doc_id"], r["n_known"], round(r["score"], 3)) for r in out}
 
 
 def plain_suffix_tree(train, min_count, min_gain, strength):
@@ -279,7 +263,7 @@ def plain_suffix_tree(train, min_count, min_gain, strength):
 def test_suffix_tree_in_parts_equals_plain_tree(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(WORDS[10:15]) for _ in range(rnd.randint(0, 30))), "en", "s", 1) for i in range(60)]
-    out = {r["doc_id"]: r["tree_score"] for r in suffix_tree_lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), min_gain=1.0).collect()}
+    out = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), min_gain=1.0, block_bytes=1000).collect()}
     spelled = {r[0]: suffix_tree_lm.spell(suffix_tree_lm.words_of(r[1].encode())) for r in rows}
     prob, keep = plain_suffix_tree([t for i, t in spelled.items() if not suffix_tree_lm.held_out(i)], 2, 1.0, 4.0)
     assert max(map(len, keep)) > 3

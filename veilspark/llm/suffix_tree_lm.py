@@ -5,45 +5,42 @@ up to ``DEPTH`` symbols are counted over all training documents. A context stays
 a number that does not depend on the corpus, and its next-symbol distribution diverges from that of its longest proper
 suffix: count x KL >= ``min_gain``. Suffixes of what stays, stay, and so do all contexts of up to ``LOW`` bytes. Each
 distribution is smoothed towards its suffix's: (counts + strength P_suffix) / (total + strength). A byte is scored by the
-longest suffix of the text before it that is a context.
-
-The tree grows with the corpus and is nowhere held whole. A block of documents asks for its distinct n-grams of DEPTH + 1
-bytes, with their counts in its training documents. N-grams are dealt into parts by the last LOW + 1 bytes of their
-context, so that a part holds all that its contexts' counts, suffixes and divergences need; counts for contexts of up to
-LOW bytes (at most 2**24) are broadcast. A part answers with the log probability of each n-gram that was asked for, and
-documents and answers meet again block by block. N-grams and answers travel packed, a row for each block and part.
-
-Tokens are the V words known from training and one class for all others, as in the base score. An unknown token has the
-Good-Turing probability u = (words seen once + 0.5)/(N + 1). A known token has (1 - u)(mix c/N + (1 - mix) P_tree(its bytes
-and blank | state)), c being its count in the N training tokens; over all tokens that sums to at most one. ``tree_score``
-is the tree's own log10 probability of the text's bytes, unknown words spelled out.
-
-Counts of words are not broadcast: documents are dealt into blocks, each block asks for the counts of its own distinct
-words, and documents and counts meet again block by block.
-
-``SuffixTree`` is a tree held whole, as an automaton, for n-grams that fit in memory; ``score`` does not use it.
-
-Edge cases: a null or empty text is the end token alone; with no training document N is 0 and the tree is uniform; repeated rows count and score as rows of their own; a null doc_id counts as crc32 of the empty text (training).
+longest suffix of the text before it that is a context. ``score`` is the sum of the bytes' log10 probabilities, unknown words
+spelled out like any other.
+
+The tree grows with the corpus and is nowhere held whole. Documents are dealt by hash of id and text into blocks of about
+``BLOCK`` bytes, one to a task. A block asks for its distinct n-grams of DEPTH + 1 bytes, with their counts in its training
+documents, and for its distinct words. N-grams are dealt into parts by the last LOW + 1 bytes of their context, so that a
+part holds all that its contexts' counts, suffixes and divergences need; counts for contexts of up to LOW bytes (at most
+2**24) are broadcast. Words are dealt into parts by hash. A part answers with the log probability of each n-gram, and the
+count of each word, that was asked for, and documents and answers meet again block by block. Questions and answers travel
+packed, a row for each block and part; no n-gram and no word is a row.
+
+Edge cases: null texts are empty, an empty text is the end token alone; a null id counts as the empty text in the split; rows
+that repeat are scored alike (and trained on as often as they stand there); with nothing to learn from, N = V = 0, all tokens
+are unknown and every byte has the probability 1/256; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import cut, prepare, py_crc_mod, raw_texts
+from veilspark.llm.common import cut, prepare, py_crc_mod
 
+BLOCK = 10 << 20  # bytes of text in a block
 DEPTH = 7  # an n-gram, context and symbol, fills a 64-bit word
 LOW = 2  # contexts of up to this many bytes are broadcast
 END = b""  # how the end token is kept in tables of words
 PAD = b"\n" * DEPTH
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, tree_score double"
+SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -59,151 +56,17 @@ def held_out(doc_id: int | None) -> bool:
     return py_crc_mod(doc_id, 5) == 1
 
 
-def count_grams(docs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For k = 0..DEPTH: distinct (context of k bytes, symbol) as packed bytes, and their counts, over spelled texts."""
-    a = np.frombuffer(b"".join(PAD + d for d in docs), np.uint8).astype(np.uint64)
-    code = np.zeros(len(a) - DEPTH, np.uint64)
-    for j in range(DEPTH + 1):
-        code = code << np.uint64(8) | a[j : len(a) - DEPTH + j]
-    # positions whose symbol is padding do not count
-    size = np.array([len(d) + DEPTH for d in docs])
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    keep = np.ones(len(a), bool)
-    for j in range(DEPTH):
-        keep[first + j] = False
-    code = code[keep[DEPTH:]]
-    keys, n = np.unique(code, return_counts=True)
-    out = [(keys, n)]
-    for k in range(DEPTH - 1, -1, -1):
-        low = keys & np.uint64((1 << (8 * (k + 1))) - 1)
-        keys, inv = np.unique(low, return_inverse=True)
-        n = np.bincount(inv, weights=n).astype(np.int64)
-        out.append((keys, n))
-    return out[::-1]
-
-
-class SuffixTree:
-    """The automaton: next state and log10 probability for each state and symbol."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], p_min: float, min_gain: float, strength: float):
-        total = int(grams[0][1].sum()) if len(grams) and len(grams[0][0]) else 0
-        least = max(2.0, p_min * total)
-        keys, n = grams[0] if total else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        common = n >= max(1.0, least / 4)
-        self.symbol = np.zeros(256, np.uint8)  # 0: any other byte
-        self.symbol[keys[common].astype(np.int64)] = np.arange(1, common.sum() + 1)
-        A = int(common.sum()) + 1
-        others = 256 - (A - 1)
-        root = np.full(A, strength / A)
-        np.add.at(root, self.symbol[keys.astype(np.int64)], n.astype(np.float64))
-        root /= root.sum()
-        # Distributions level by level; a context's row starts from its suffix's.
-        codes: list[np.ndarray] = [np.zeros(1, np.uint64)]
-        probs: list[np.ndarray] = [root[None, :]]
-        gains: list[np.ndarray] = [np.array([np.inf])]
-        for k in range(1, len(grams)):
-            keys, n = grams[k]
-            ctx, inv = np.unique(keys >> np.uint64(8), return_inverse=True)
-            size = np.bincount(inv, weights=n, minlength=len(ctx))
-            sym = (keys & np.uint64(255)).astype(np.int64)
-            ok = np.ones(len(ctx), bool)
-            suffix = ctx & np.uint64((1 << (8 * (k - 1))) - 1)
-            at = np.searchsorted(codes[k - 1], suffix)
-            at[at == len(codes[k - 1])] = 0
-            ok &= codes[k - 1][at] == suffix
-            # explicit mass of a context: what was counted of it often enough to be kept
-            whole = np.maximum(self._total(grams, k, ctx), size)  # padding is a context but never counted as a symbol
-            ok &= whole >= least
-            ok &= ((ctx == 0) | ~self._rare(ctx, k))
-            new = np.cumsum(ok) - 1
-            row = probs[k - 1][at[ok]] * (whole[ok] - size[ok] + strength)[:, None]
-            on = ok[inv] & (self.symbol[sym] > 0)
-            np.add.at(row, (new[inv[on]], self.symbol[sym[on]]), n[on].astype(np.float64))
-            row /= row.sum(axis=1, keepdims=True)
-            parent = probs[k - 1][at[ok]]
-            codes.append(ctx[ok])
-            probs.append(row)
-            gains.append((row * np.log(row / parent)).sum(axis=1) * whole[ok])
-        keep = [g >= min_gain for g in gains]
-        for k in range(len(codes) - 1, 1, -1):  # suffixes and prefixes of what stays, stay
-            c = codes[k][keep[k]]
-            for part in (c & np.uint64((1 << (8 * (k - 1))) - 1), c >> np.uint64(8)):
-                at = np.searchsorted(codes[k - 1], part)
-                at[at >= len(codes[k - 1])] = 0
-                keep[k - 1][at[codes[k - 1][at] == part]] = True
-        base = np.cumsum([0, *(int(x.sum()) for x in keep)])
-        self.next = np.zeros((int(base[-1]), A), np.int32)
-        self.logp = np.empty((int(base[-1]), A), np.float32)
-        for k in range(len(codes)):
-            c, p = codes[k][keep[k]], probs[k][keep[k]]
-            spread = p.copy()
-            spread[:, 0] /= others
-            self.logp[base[k] : base[k + 1]] = np.log10(spread)
-            codes[k] = c
-        for k in range(len(codes)):
-            c = codes[k]
-            if k:
-                low = c & np.uint64((1 << (8 * (k - 1))) - 1)
-                self.next[base[k] : base[k + 1]] = self.next[base[k - 1] + np.searchsorted(codes[k - 1], low)]
-            if k + 1 < len(codes) and len(codes[k + 1]):
-                longer = codes[k + 1]
-                at = np.searchsorted(c, longer >> np.uint64(8))
-                at[at >= len(c)] = 0
-                good = c[at] == longer >> np.uint64(8)
-                to = base[k + 1] + np.flatnonzero(good)
-                self.next[base[k] + at[good], self.symbol[(longer[good] & np.uint64(255)).astype(np.int64)]] = to
-        self.contexts = int(base[-1])
-
-    @staticmethod
-    def _total(grams: list[tuple[np.ndarray, np.ndarray]], k: int, ctx: np.ndarray) -> np.ndarray:
-        """How often a context of k bytes occurs: the count of its last byte after its first k - 1."""
-        keys, n = grams[k - 1]
-        at = np.searchsorted(keys, ctx)
-        at[at >= len(keys)] = 0
-        return np.where(keys[at] == ctx, n[at], 0).astype(np.float64)
-
-    def _rare(self, ctx: np.ndarray, k: int) -> np.ndarray:
-        """Contexts with a byte that has no symbol of its own."""
-        out = np.zeros(len(ctx), bool)
-        for j in range(k):
-            out |= self.symbol[((ctx >> np.uint64(8 * j)) & np.uint64(255)).astype(np.int64)] == 0
-        return out
-
-    def score(self, spelled: bytes, width: int = 256) -> np.ndarray:
-        """log10 probability of each byte. Runs ``width`` bytes a row, all rows at once; each row first reads the DEPTH
-        bytes before it, which settle the state."""
-        a = self.symbol[np.frombuffer(spelled, np.uint8)]
-        n = len(a)
-        rows = -(-n // width)
-        padded = np.full(DEPTH + rows * width, self.symbol[10], np.uint8)
-        padded[DEPTH : DEPTH + n] = a
-        start = np.arange(rows) * width
-        state = np.zeros(rows, np.int32)
-        out = np.empty((width, rows), np.float32)
-        A = self.next.shape[1]
-        nxt, logp = self.next.ravel(), self.logp.ravel()
-        for t in range(DEPTH + width):
-            cell = state * A + padded[start + t]
-            if t >= DEPTH:
-                out[t - DEPTH] = logp[cell]
-            state = nxt[cell]
-        return out.T.ravel()[:n]
-
-
 def keys_of(spelled: list[bytes]) -> np.ndarray:
     """A 64-bit word for each byte of the texts: the DEPTH bytes before it, the last one first, and the byte itself."""
-    a = np.frombuffer(b"".join(PAD + d for d in spelled), np.uint8)
+    data = b"".join(PAD + d for d in spelled)
     size = np.array([len(d) + DEPTH for d in spelled])
-    keep = np.ones(len(a), bool)
+    keep = np.ones(len(data), bool)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     for j in range(DEPTH):
         keep[first + j] = False
-    a = a.astype(np.uint64)
-    key = np.zeros(len(a) - DEPTH, np.uint64)
-    for j in (*range(DEPTH - 1, -1, -1), DEPTH):
-        key <<= np.uint64(8)
-        key |= a[j : j + len(key)]
-    return key[keep[DEPTH:]]
+    # eight bytes from each place on, the first the lowest: the symbol is the highest and moves to the end
+    eight = np.ndarray((len(data) - DEPTH,), "<u8", data, 0, (1,))[keep[DEPTH:]]
+    return eight << np.uint64(8) | eight >> np.uint64(56)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +117,28 @@ def unpack_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), n
 
 
+def pack_words(words: list[bytes], n: np.ndarray) -> bytes:
+    """Words (without white space) and their counts."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<Q", len(words)) + n.astype("<i8").tobytes() + b"\n".join(words))
+
+
+def unpack_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    (k,) = struct.unpack_from("<Q", data)
+    return data[8 + 8 * k :].split(b"\n") if k else [], np.frombuffer(data, "<i8", k, 8)
+
+
+def words_by_part(words: Iterable[bytes], parts: int) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        out.setdefault(xxhash.xxh3_64_intdigest(w) % parts, []).append(w)
+    return out
+
+
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of sorted keys by part, and where each part starts in it."""
     with np.errstate(over="ignore"):
@@ -263,15 +148,28 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def asked_grams(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> DataFrame:
-    """block, part, packed: the block's distinct n-grams of a part with their counts in its training documents (0 where
-    only documents held out have them); part -1 has the counted n-grams of LOW + 1 bytes."""
+def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, text (UTF-8), block: the documents, each block a partition of its own."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    block = F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), block.alias("block"))
+
+
+ASKED = "block int, part int, grams binary, words binary, n_tokens bigint, n_train bigint"
+
+
+def asked(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> DataFrame:
+    """block, part, grams, words: the block's distinct n-grams and words of a part with their counts in its training
+    documents (0 where only documents held out have them). Part -1 has the counted n-grams of LOW bytes of context,
+    n_tokens and n_train, the training tokens and documents."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, size = None, 0
+        block, size, n_tokens, n_train = None, 0, 0, 0
         held: dict[bool, list[bytes]] = {False: [], True: []}
         store: list[tuple[np.ndarray, np.ndarray]] = []
+        train: Counter = Counter()
+        rest: set[bytes] = set()
 
         def count() -> None:
             nonlocal size
@@ -284,37 +182,48 @@ def asked_grams(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20)
             if len(store) >= 8:
                 store[:] = [merged(store)]
 
-        def out() -> Iterator[pa.RecordBatch]:
-            count()
-            keys, n = merged(store)
-            store.clear()
-            low, low_n = low_grams(keys, n)
-            order, at = by_part(keys, parts)
-            rows = [(-1, pack_counts(low, low_n))]
-            for p in range(parts):
-                pick = order[at[p] : at[p + 1]]
-                if len(pick):
-                    rows.append((p, pack_counts(keys[pick], n[pick])))
-                if len(rows) >= 64 or p == parts - 1 and rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([now] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "part", "packed"])
-                    rows = []
-
         for batch in batches:
-            for doc, block, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw_texts(batch), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield from out()
-                    now = block
-                spelled = spell(words_of(text))
-                held[held_out(doc)].append(spelled)
-                size += len(spelled)
+            for doc, text, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
+                words = words_of(text)
+                out = held_out(doc)
+                if out:
+                    rest.update(words)
+                else:
+                    train.update(words)
+                    n_tokens += len(words) + 1
+                    n_train += 1
+                held[out].append(spell(words))
+                size += len(held[out][-1])
                 if size >= chunk:
                     count()
-        if now is not None:
-            yield from out()
+        if block is None:
+            return
+        count()
+        keys, n = merged(store)
+        store.clear()
+        low = pack_counts(*low_grams(keys, n))
+        yield _rows([(block, -1, low, None, n_tokens, n_train)])
+        rest.difference_update(train)
+        words = words_by_part([*train, *rest], parts)
+        order, at = by_part(keys, parts)
+        rows = []
+        for p in range(parts):
+            pick, own = order[at[p] : at[p + 1]], words.get(p)
+            if len(pick) or own:
+                grams = pack_counts(keys[pick], n[pick]) if len(pick) else None
+                rows.append((block, p, grams, pack_words(own, np.array([train[w] for w in own], np.int64)) if own else None, None, None))
+            if len(rows) >= 64:
+                yield _rows(rows)
+                rows = []
+        if rows:
+            yield _rows(rows)
 
-    dealt = docs.select("doc_id", "text", block_of(blocks)).repartition(blocks, "block").sortWithinPartitions("block")
-    return cut(dealt.mapInArrow(run, "block bigint, part bigint, packed binary"), "grams")
+    return cut(in_blocks(docs, blocks).repartitionById(blocks, "block").mapInArrow(run, ASKED), "asked")
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["block", "part", "grams", "words", "n_tokens", "n_train"])
 
 
 def low_grams(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,143 +294,141 @@ def solve(keys: np.ndarray, n: np.ndarray, low: LowLevels, min_count: int, min_g
     return np.log10(out).astype(np.float32)
 
 
-def answered_grams(asked: DataFrame, min_count: int, min_gain: float, strength: float, some: int = 2_000_000) -> DataFrame:
-    """block, part, packed: log10 probabilities of the n-grams that the block asked for, in their order."""
+def low_levels(rows: DataFrame) -> LowLevels:
+    """The low levels of all blocks, merged in two rounds before the driver sees them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merged([])
         for batch in batches:
             own = merged([own, *map(unpack_counts, batch.column(0).to_pylist())])
-        yield pa.RecordBatch.from_arrays([pa.array([pack_counts(*own)], pa.binary())], names=["packed"])
-
-    whole = merged([])
-    for row in asked.filter("part = -1").select("packed").mapInArrow(gather, "packed binary").toLocalIterator():
-        whole = merged([whole, unpack_counts(row[0])])
-    shared = asked.sparkSession.sparkContext.broadcast(LowLevels(*whole))
-
-    def run(table: pa.Table) -> pa.Table:
-        packed = table.column("packed").to_pylist()
-        store, size = [], 0
-        for x in packed:
-            store.append(unpack_counts(x))
-            size += len(store[-1][0])
-            if size >= some:
-                store = [merged(store)]
-                size = 0
+        yield pa.RecordBatch.from_arrays([pa.array([pack_counts(*own)], pa.binary())], names=["grams"])
+
+    low = rows.filter("part = -1").select("grams").mapInArrow(gather, "grams binary")
+    low = low.repartitionById(16, F.pmod(F.xxhash64("grams"), F.lit(16)).cast("int")).mapInArrow(gather, "grams binary")
+    return LowLevels(*merged([unpack_counts(r[0]) for r in low.collect()]))
+
+
+def answered_grams(rows: DataFrame, parts: int, min_count: int, min_gain: float, strength: float, some: int = 2_000_000) -> DataFrame:
+    """block, part, logs: log10 probabilities of the n-grams that the block asked for, in their order."""
+    shared = rows.sparkSession.sparkContext.broadcast(low_levels(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, packed, store, size, part = [], [], [], 0, None
+        for batch in batches:
+            for block, part, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
+                blocks.append(block)
+                packed.append(x)
+                store.append(unpack_counts(x))
+                size += len(store[-1][0])
+                if size >= some:
+                    store = [merged(store)]
+                    size = 0
+        if not blocks:
+            return
         keys, n = merged(store)
         store.clear()
         logs = solve(keys, n, shared.value, min_count, min_gain, strength)
-        own = [pack(logs[np.searchsorted(keys, unpack_counts(x)[0])]) for x in packed]
-        return pa.table([table.column("block"), table.column("part"), pa.array(own, pa.binary())], names=["block", "part", "packed"])
-
-    return asked.filter("part >= 0").groupBy("part").applyInArrow(run, "block bigint, part bigint, packed binary")
+        del n
+        for block, x in zip(blocks, packed, strict=True):
+            own = pack(logs[np.searchsorted(keys, unpack_counts(x)[0])])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([own], pa.binary())], names=["block", "part", "logs"])
 
+    asking = rows.filter("part >= 0 AND grams IS NOT NULL").select("block", "part", "grams")
+    return asking.repartitionById(parts, "part").mapInArrow(run, "block int, part int, logs binary")
 
-def block_of(n: int):  # noqa: ANN201
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(n)).alias("block")
 
-
-def word_counts(docs: DataFrame, blocks: int) -> DataFrame:
-    """block, word, c, first: for each distinct word of a block's documents, its count in all training tokens; first is
-    true for one row of each word. A word has one row a block, so no group is larger than the number of blocks."""
-    prepare(docs.sparkSession)
+def answered_words(rows: DataFrame, parts: int) -> DataFrame:
+    """block, words: the block's words of a part with their counts in all training tokens, without the end token. A row
+    without a block for each part: n_words, the distinct words that training has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, train, rest = None, Counter(), set()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rest.difference_update(train)
-            words, n = [*train, *rest], [*train.values(), *([0] * len(rest))]
-            for i in range(0, len(words), 1 << 16):
-                w = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["block", "word", "n"])
+        total: Counter = Counter()
+        blocks, packed = [], []
+        for batch in batches:
+            for block, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks.append(block)
+                packed.append(x)
+                words, n = unpack_words(x)
+                for w, k in zip(words, n.tolist(), strict=True):
+                    total[w] += k
+        for block, x in zip(blocks, packed, strict=True):
+            words = unpack_words(x)[0]
+            own = pack_words(words, np.fromiter(map(total.__getitem__, words), np.int64, len(words)))
+            yield _answer(block, own, None)
+        yield _answer(None, None, sum(x > 0 for x in total.values()))
+
+    def _answer(block: int | None, words: bytes | None, n: int | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([words], pa.binary()), pa.array([n], pa.int64())], names=["block", "words", "n_words"])
+
+    asking = rows.filter("part >= 0 AND words IS NOT NULL").select("block", "part", "words")
+    return cut(asking.repartitionById(parts, "part").select("block", "words").mapInArrow(run, "block int, words binary, n_words bigint"), "words")
+
+
+def score(docs: DataFrame, min_count: int = 2, min_gain: float = 12.0, strength: float = 4.0, block_bytes: int = BLOCK) -> DataFrame:
+    """One row per document: tokens, known tokens, the smoothed unigram base score, the tree's log10 probability."""
+    spark = prepare(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # as many blocks as cores on small tables, where that leaves them half a megabyte
+    blocks = max(1, -(-total // block_bytes), min(spark.sparkContext.defaultParallelism, total >> 19))
+    parts = 2 * blocks
+    rows = asked(docs, blocks, parts)
+    words = answered_words(rows, parts)
+    V = words.agg(F.sum("n_words")).first()[0] or 0
+    N, n_ends = (x or 0 for x in rows.filter("part = -1").agg(F.sum("n_tokens"), F.sum("n_train")).first())
+    V += n_ends > 0  # the end token
+    logs = answered_grams(rows, parts, min_count, min_gain, strength)
+    unit = np.log10(N + 0.5 * (V + 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, whole, answers, counts = [], [], {}, {END: n_ends}
         for batch in batches:
-            for doc, block, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw_texts(batch), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield from out()
-                    now, train, rest = block, Counter(), set()
-                if held_out(doc):
-                    rest.update(words_of(text))
-                    rest.add(END)
+            for doc, text, part, packed, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if packed is not None:
+                    answers[part] = packed
+                elif known is not None:
+                    w, n = unpack_words(known)
+                    counts.update(zip(w, n.tolist(), strict=True))
                 else:
-                    train.update(words_of(text))
-                    train[END] += 1
-        if now is not None:
-            yield from out()
-
-    dealt = docs.select("doc_id", "text", block_of(blocks)).repartition(blocks, "block").sortWithinPartitions("block")
-    each = dealt.mapInArrow(run, "block bigint, word binary, n bigint")
-    same = Window.partitionBy("word")
-    return cut(each.select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")), "words")
-
-
-def score(docs: DataFrame, mix: float = 0.5, min_count: int = 2, min_gain: float = 12.0, strength: float = 4.0) -> DataFrame:
-    """One row per document: tokens, known tokens, the smoothed unigram base score, the model's log10 probability."""
-    prepare(docs.sparkSession)
-    blocks = max(12, 2 * docs.rdd.getNumPartitions())
-    parts = 2 * blocks
-    logs = answered_grams(asked_grams(docs, blocks, parts), min_count, min_gain, strength)
-    counts = word_counts(docs, blocks)
-    number = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
-    N, V, once = counts.filter("first").agg(number("c"), number((F.col("c") > 0).cast("bigint")), number((F.col("c") == 1).cast("bigint"))).first()
-
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        answers = known.filter(pc.is_valid(known.column("packed")))
-        ids, rows = texts.column("doc_id").to_pylist(), []
-        whole = texts.column("text").cast(pa.binary())
+                    ids.append(doc)
+                    whole.append(text)
         groups: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         k = 0
         while k < len(ids):
             group, size, first = [], 0, k
             while k < len(ids) and (not group or size < 1 << 20):
-                group.append(spell(words_of(whole[k].as_py() or b"")))
+                group.append(spell(words_of(whole[k])))
                 size += len(group[-1]) + DEPTH
                 k += 1
             keys, inv = np.unique(keys_of(group), return_inverse=True)
             groups.append((first, k, keys, inv.astype(np.int32)))
+        if not groups:
+            return
         keys = np.unique(np.concatenate([g[2] for g in groups]))
         order, at = by_part(keys, parts)
         logp = np.full(len(keys), np.nan, np.float32)
-        for p, packed in zip(answers.column("part").to_pylist(), answers.column("packed").to_pylist(), strict=True):
+        while answers:
+            p, packed = answers.popitem()
             logp[order[at[p] : at[p + 1]]] = unpack(packed, np.float32)[0]
         del order, at
-        scored = []
         while groups:
             first, end, own, inv = groups.pop()
-            scored.append((first, end, logp[np.searchsorted(keys, own)][inv]))
-        del keys, logp, own, inv
-        words = known.filter(pc.is_valid(known.column("word")))
-        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
-        while scored:
-            first, end, own = scored.pop()
-            group = [words_of(whole[i].as_py() or b"") for i in range(first, end)]
-            rows.extend(zip(ids[first:end], score_group(own, group, count, N, V, once, mix), strict=True))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([held_out(r[0]) for r in rows], pa.bool_()), *(pa.array([r[1][j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score"])
-
-    left = docs.select("doc_id", "text", block_of(blocks)).groupBy("block")
-    known = counts.select("block", "word", "c").unionByName(logs, allowMissingColumns=True)
-    return left.cogroup(known.groupBy("block")).applyInArrow(run, SCHEMA)
-
-
-def score_group(logp: np.ndarray, docs: list[list[bytes]], count: dict[bytes, int], N: int, V: int, once: int, mix: float) -> list[tuple[int, int, int, float, float, float]]:
-    """n_tokens, n_known, N, base score, score and tree score of each text; ``logp`` is the tree's, for each spelled byte."""
-    spelled = [spell(ws) for ws in docs]
-    a = np.frombuffer(b"".join(spelled), np.uint8)
-    # A token ends at its blank, the end token at its text's last byte.
-    last = np.zeros(len(a), bool)
-    last[np.cumsum([len(x) for x in spelled]) - 1] = True
-    ends = np.flatnonzero((a == 32) | last)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spelled_logp = np.add.reduceat(logp, starts)
+            group = [words_of(x) for x in whole[first:end]]
+            cols = score_group(logp[np.searchsorted(keys, own)][inv], group, counts, unit)
+            held = [held_out(x) for x in ids[first:end]]
+            n = np.full(end - first, N, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first:end], pa.int64()), pa.array(held, pa.bool_()), pa.array(cols[0]), pa.array(cols[1]), pa.array(n), pa.array(cols[2]), pa.array(cols[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    # A block's texts and answers in one partition, in any order.
+    every = in_blocks(docs, blocks).unionByName(logs, allowMissingColumns=True).unionByName(words.filter("block IS NOT NULL").select("block", "words"), allowMissingColumns=True)
+    return every.repartitionById(blocks, "block").select("doc_id", "text", "part", "logs", "words").mapInArrow(run, SCHEMA)
+
+
+def score_group(logp: np.ndarray, docs: list[list[bytes]], count: dict[bytes, int], unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n_tokens, n_known, base score and score of each text; ``logp`` is the tree's, for each spelled byte; ``unit`` is
+    log10(N + 0.5 (V + 1))."""
+    n_bytes = np.array([sum(map(len, ws)) + len(ws) + 1 for ws in docs])
     n_tok = np.array([len(ws) + 1 for ws in docs])
     c = np.fromiter((x for ws in docs for x in (*map(count.__getitem__, ws), count[END])), np.float64, int(n_tok.sum()))
-    base = np.log10((c + 0.5) / (N + 0.5 * (V + 1)))
-    unknown = (once + 0.5) / (N + 1)
-    with np.errstate(under="ignore"):
-        known = (1 - unknown) * (mix * c / max(1, N) + (1 - mix) * 10.0**spelled_logp)
-    own = np.log10(np.where(c > 0, known, unknown))
-    at = np.concatenate([[0], np.cumsum(n_tok)[:-1]])
-    add = lambda x: np.add.reduceat(x, at)
-    return list(zip(n_tok.tolist(), add((c > 0).astype(np.int64)).tolist(), [N] * len(docs), add(base).tolist(), add(own).tolist(), add(spelled_logp.astype(np.float64)).tolist(), strict=True))
+    at = np.cumsum(n_tok) - n_tok
+    base = np.add.reduceat(np.log10(c + 0.5) - unit, at)
+    return n_tok, np.add.reduceat((c > 0).astype(np.int64), at), base, np.add.reduceat(logp.astype(np.float64), np.cumsum(n_bytes) - n_bytes)

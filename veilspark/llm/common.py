@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +41,12 @@ _made: list[str] = []
 def clear(spark: SparkSession) -> None:
     """Delete this process's scratch tables. Call it when all results that were built on them have been written."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -49,7 +54,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def uncut(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once all that was built on them has been written itself."""
+    for df in tables:
+        _delete(df.sparkSession, _paths.pop(df))
 
 
 def crc_mod(doc_id: Column, by: int) -> Column:

@@ -138,6 +138,10 @@ def test_names(spark):
     assert {r["confidence"] for r in names.scan_names(blocks(spark, "priya.patel@example.com only")).collect()} == {0.6}
     assert names.scan_names(blocks(spark, "State Bank Of India")).count() == 0
     assert names.scan_names(blocks(spark, "30524@sbi.co.in info@x.com raj.k@x.com")).count() == 0
+    got = {(r["text"], r["start"]): r["reasons"] for r in names.scan_names(blocks(spark, "ann.kulkarni+x@y.org github.com/rohankulkarni linkedin.com/in/RohanPillai", "xRohanPillaiY rohanx kulkarni1 aRohan")).collect()}
+    assert got[("rohankulkarni", 32)] == ["profile handle 'rohankulkarni'", "contains email-derived token 'kulkarni'"]
+    assert got[("kulkarni", 4)] == ["derived from email local part 'ann.kulkarni'", "contained in profile handle 'rohankulkarni'"]
+    assert got[("Rohan", 32)] == ["derived from profile handle 'RohanPillai'"] and ("RohanPillai", 1) in got and ("Rohan", 1) not in got and ("rohan", 14) not in got
 
 
 def test_registry(spark):
@@ -275,6 +279,16 @@ def test_merged_boxes(spark):
     rows = [det(0, 3, 0.9, box=b) for b in ((0.0, 0.0, 10.0, 10.0), (20.0, 0.0, 30.0, 10.0), (9.0, 5.0, 21.0, 8.0), (50.0, 50.0, 60.0, 60.0))]
     out = redaction.merged_jobs(redaction.plan(spark.createDataFrame(rows, DETECTIONS))).collect()
     assert sorted(tuple(r["bbox"]) for r in out) == [(0.0, 0.0, 30.0, 10.0), (50.0, 50.0, 60.0, 60.0)]
+    # an edge is no overlap; the wider replacement stays, the newer where both are as wide
+    rows = [det(k, k + n, 0.9, box=b) for k, (n, b) in enumerate([(3, (0.0, 0.0, 10.0, 10.0)), (4, (0.0, 10.0, 10.0, 20.0)), (5, (0.0, 5.0, 10.0, 9.0)), (6, (2.0, 12.0, 6.0, 14.0)), (7, (50.0, 0.0, 50.0, 9.0)), (8, (49.0, 0.0, 51.0, 9.0))])]
+    out = redaction.merged_jobs(redaction.plan(spark.createDataFrame(rows, DETECTIONS))).collect()
+    assert sorted((tuple(r["bbox"]), len(r["replacement_text"])) for r in out) == [((0.0, 0.0, 10.0, 10.0), 5), ((0.0, 10.0, 10.0, 20.0), 4), ((49.0, 0.0, 51.0, 9.0), 8), ((50.0, 0.0, 50.0, 9.0), 7)]
+
+
+def test_decisions_the_latest_counts(spark):
+    e = spark.createDataFrame([(1, "a", None), (1, "b", "keep"), (1, "c", "keep"), (2, "a", None)], "doc_id bigint, detection_id string, decision string")
+    new = spark.createDataFrame([(1, "a", "keep", 1), (1, "a", "redact", 3), (1, "a", "keep", 2), (1, "b", "redact", 1), (1, "b", None, 2), (9, "z", "keep", 1)], "doc_id bigint, detection_id string, decision string, decided_ord int")
+    assert sorted(map(tuple, decision.decide(e, new).collect()), key=str) == [(1, "a", "redact"), (1, "b", None), (1, "c", "keep"), (2, "a", None)]
 
 
 def test_plan_json_round_trip(spark, tmp_path):
@@ -302,6 +316,10 @@ def test_hybrid(spark):
     a = spark.createDataFrame([(1, 1, 0, "text", "native", (0.0, 0.0, 100.0, 20.0)), (1, 1, 1, "image", "", (0.0, 50.0, 100.0, 90.0))], BLOCKS)
     b = spark.createDataFrame([(1, 1, 0, "text", "same", (5.0, 0.0, 100.0, 20.0)), (1, 1, 1, "text", "new", (0.0, 50.0, 100.0, 90.0)), (1, 2, 0, "text", "other page", (0.0, 0.0, 9.0, 9.0))], BLOCKS)
     assert sorted((r["text"], r["provenance"]) for r in hybrid.merge(a, b).collect()) == [("", "native"), ("native", "native"), ("new", "ocr"), ("other page", "ocr")]
+    # pages pair by place: native 3 and 7 with OCR 1 and 2
+    a = spark.createDataFrame([(1, 3, 0, "text", "first", (0.0, 0.0, 100.0, 20.0)), (1, 7, 0, "text", "second", (0.0, 0.0, 100.0, 20.0))], BLOCKS)
+    b = spark.createDataFrame([(1, 1, 0, "text", "covered", (0.0, 0.0, 100.0, 20.0)), (1, 2, 0, "text", "below", (0.0, 50.0, 100.0, 70.0)), (1, 3, 0, "text", "more", (0.0, 0.0, 100.0, 20.0))], BLOCKS)
+    assert sorted((r["page_number"], r["text"]) for r in hybrid.merge(a, b).collect()) == [(1, "first"), (2, "below"), (2, "second"), (3, "more")]
 
 
 def test_quality(spark):

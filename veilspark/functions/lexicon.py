@@ -76,12 +76,10 @@ BANKS = {
     "axis": (("axis bank", "axis", "axis bank ltd"), ("UTIB", "AXIS"), (r"\b[0-9]{15}\b",)),
 }
 BANK_IFSC = r"\b[A-Z]{4}0[A-Z0-9]{6}\b"
-_DAY = r"[0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4}"
-_SLASHED = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 PERIODS = (
-    rf"(?i)(?:statement\s+)?period\s*[:\-]?\s*({_DAY})\s*(?:to|-|–)\s*({_DAY})",
-    rf"(?i)(?:statement\s+)?period\s*[:\-]?\s*({_SLASHED})\s*(?:to|-|–)\s*({_SLASHED})",
-    rf"(?i)from\s+({_DAY})\s*(?:to|-|–)\s*({_DAY})",
+    r"(?i)(?:statement\s+)?period\s*[:\-]?\s*([0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4})\s*(?:to|-|–)\s*([0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4})",
+    r"(?i)(?:statement\s+)?period\s*[:\-]?\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\s*(?:to|-|–)\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})",
+    r"(?i)from\s+([0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4})\s*(?:to|-|–)\s*([0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4})",
 )
 HOLDERS = (
     r"\b[Aa]ccount\s+[Hh]older\s*:\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)",

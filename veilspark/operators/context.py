@@ -26,25 +26,28 @@ def _by_type(text: Column, which: int) -> Column:
     return out
 
 
+KEY = ["doc_id", "page_number", "block_ord", "detector_name", "pattern_ord", "start", "end", "text"]
+
+
 def located(detections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Detections with the text of the block where their span reads the same (or has the same digits), and its
-    neighbours; of several such blocks the first whose box they touch, else the first. Key columns stay."""
+    """The detections, those of types with terms with at_text, the text of the block where their span reads the same (or has
+    the same digits), and prev_text and next_text, its neighbours'; of several such blocks the first whose box they touch,
+    else the first. One join, so that what detects runs once."""
     order = Window.partitionBy("doc_id", "page_number").orderBy("block_ord")
-    around = blocks.filter(F.col("block_type") == "text").select("doc_id", "page_number", F.col("block_ord").alias("at_block"), F.col("text").alias("at_text"), F.col("bbox").alias("at_box"), F.lag("text").over(order).alias("prev_text"), F.lead("text").over(order).alias("next_text"))
-    both = detections.join(around, ["doc_id", "page_number"])
+    around = blocks.filter(F.col("block_type") == "text").select(F.col("doc_id").alias("at_doc"), F.col("page_number").alias("at_page"), F.col("block_ord").alias("at_block"), F.col("text").alias("at_text"), F.col("bbox").alias("at_box"), F.lag("text").over(order).alias("prev_text"), F.lead("text").over(order).alias("next_text"))
     here = cut_out(F.col("at_text"), F.col("start"), F.col("end"))
     same = (F.col("end") <= F.length("at_text")) & ((here == F.col("text")) | ((digits(F.col("text")) != "") & (digits(here) == digits(F.col("text")))))
-    key = ["doc_id", "page_number", "block_ord", "detector_name", "pattern_ord", "start", "end", "text"]
-    best = Window.partitionBy(*key).orderBy(F.when(touch(F.col("at_box"), F.col("bbox")), 0).otherwise(1), "at_block")
-    return both.filter(same).withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
+    on = (F.col("doc_id") == F.col("at_doc")) & (F.col("page_number") == F.col("at_page")) & F.col("detection_type").isin(list(CONTEXT_TERMS)) & same
+    # rank, not row_number: equal detections all stay
+    best = Window.partitionBy(*KEY).orderBy(F.when(touch(F.col("at_box"), F.col("bbox")), 0).otherwise(1), "at_block")
+    return detections.join(around, on, "left").withColumn("nth", F.rank().over(best)).filter("nth = 1").drop("nth", "at_doc", "at_page", "at_block", "at_box")
 
 
 def score(detections: DataFrame, blocks: DataFrame) -> DataFrame:
     """Detections with changed confidence and one more reason, and ``dropped``. Types without terms, and detections whose
     block isn't found, pass unchanged."""
     columns = detections.columns
-    known = list(CONTEXT_TERMS)
-    mine = located(detections.filter(F.col("detection_type").isin(known)), blocks)
+    mine = located(detections, blocks)
     line = line_around(F.col("at_text"), F.col("start"), F.col("end"))
     rest = F.concat(before(F.col("at_text"), F.col("start")), after(F.col("at_text"), F.col("end")))
     near = F.concat_ws("\n", rest, F.col("prev_text"), F.col("next_text"))
@@ -69,11 +72,8 @@ def score(detections: DataFrame, blocks: DataFrame) -> DataFrame:
     new = F.when(delta.isNull(), conf).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf + delta)))
     scored = mine.withColumns({"new": new, "why": reason})
     dropped = (F.col("new") < conf) & (F.col("new") < FLOOR)
-    key = ["doc_id", "page_number", "block_ord", "detector_name", "pattern_ord", "start", "end", "text"]
-    got = scored.select(*key, "new", "why", dropped.alias("drop"))
-    joined = detections.join(got, key, "left")
     reasons = F.when(F.col("why").isNull(), F.col("reasons")).otherwise(F.array_append("reasons", F.col("why")))
-    return joined.select(*(F.coalesce("new", "confidence").alias(c) if c == "confidence" else reasons.alias(c) if c == "reasons" else F.col(c) for c in columns), F.coalesce("drop", F.lit(False)).alias("dropped"))
+    return scored.select(*(F.col("new").alias(c) if c == "confidence" else reasons.alias(c) if c == "reasons" else F.col(c) for c in columns), dropped.alias("dropped"))
 
 
 def apply(detections: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -103,9 +103,11 @@ def pending(entries: DataFrame) -> DataFrame:
 
 
 def decide(entries: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entries with the decisions (doc_id, detection_id, decision) of a reviewer put in; the latest overrides."""
-    new = decisions.select("doc_id", "detection_id", F.col("decision").alias("new_"))
-    return entries.join(new, ["doc_id", "detection_id"], "left").withColumn("decision", F.coalesce("new_", "decision")).drop("new_").select(*entries.columns)
+    """Entries with the decisions (doc_id, detection_id, decision, decided_ord) of a reviewer put in. Of several for one id the
+    one of the highest decided_ord counts; a null decision clears the entry's."""
+    last = decisions.groupBy("doc_id", "detection_id").agg(F.max_by(F.struct("decision"), "decided_ord").alias("new_"))
+    value = F.when(F.col("new_").isNull(), F.col("decision")).otherwise(F.col("new_.decision"))
+    return entries.join(last, ["doc_id", "detection_id"], "left").withColumn("decision", value).drop("new_").select(*entries.columns)
 
 
 def decide_all(entries: DataFrame, condition: Column, decision: str) -> DataFrame:
@@ -114,9 +116,10 @@ def decide_all(entries: DataFrame, condition: Column, decision: str) -> DataFram
 
 
 def restore(entries: DataFrame, saved: DataFrame) -> DataFrame:
-    """Entries with the decisions of a saved plan of the same source (equal source_sha256), and its manual entries."""
+    """Entries with the decisions of a saved plan of the same source (equal source_sha256), and its manual entries. Of several
+    saved entries of one id the first decision counts."""
     same = saved.join(entries.select("doc_id", "source_sha256").distinct(), ["doc_id", "source_sha256"], "left_semi")
-    old = same.filter(F.col("decision").isNotNull()).select("doc_id", "detection_id", F.col("decision").alias("old_")).dropDuplicates(["doc_id", "detection_id"])
+    old = same.filter(F.col("decision").isNotNull()).groupBy("doc_id", "detection_id").agg(F.min_by("decision", "entry_ord").alias("old_"))
     out = entries.join(old, ["doc_id", "detection_id"], "left").withColumn("decision", F.coalesce("decision", "old_")).drop("old_")
     manual = same.filter(F.col("detector_name") == "manual").join(entries.select("doc_id", "detection_id"), ["doc_id", "detection_id"], "left_anti")
     return out.select(*entries.columns).unionByName(manual.select(*entries.columns))

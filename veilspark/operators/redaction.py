@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.geometry import range_box, touch, union_box
+from veilspark.functions.geometry import range_box
 from veilspark.functions.spans import after, cut_out, spans_of
+from veilspark.schema import BBOX
 
 REPLACE, BLACK_BAR, HIGHLIGHT = "replace", "black_bar", "highlight"
 
@@ -52,24 +54,43 @@ def redacted_blocks(blocks: DataFrame, redactions: DataFrame) -> DataFrame:
     return joined.withColumns({"redacted_text": F.when(F.col("spans_").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("spans_"))), "n_redactions": F.coalesce(F.size("spans_"), F.lit(0)).cast("bigint")}).drop("spans_")
 
 
+JOBS = f"array<struct<bbox:{BBOX},replacement_text:string>>"
+
+
+def _united(pages: pd.Series) -> pd.Series:
+    def meet(a: dict, b: dict) -> bool:
+        """Whether two boxes share an area; an edge is none."""
+        return min(a["x1"], b["x1"]) > max(a["x0"], b["x0"]) and min(a["y1"], b["y1"]) > max(a["y0"], b["y0"])
+
+    def page(jobs: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for new in jobs:
+            box, text, k = dict(new["bbox"]), new["replacement_text"], 0
+            while k < len(kept):
+                other = kept[k]["bbox"]
+                if not meet(box, other):
+                    k += 1
+                    continue
+                if other["x1"] - other["x0"] > box["x1"] - box["x0"]:
+                    text = kept[k]["replacement_text"]
+                box = {c: (min if c in ("x0", "y0") else max)(box[c], other[c]) for c in box}
+                del kept[k]
+                k = 0  # the larger box may meet those passed
+            kept.append({"bbox": box, "replacement_text": text})
+        return kept
+
+    return pages.map(page)
+
+
 def merged_jobs(redactions: DataFrame) -> DataFrame:
-    """Boxes of one page and type that touch become one, again and again until none do; the wider box's replacement
-    stays. Bounded by a page's redactions: a fold in order of x0, repeated as often as there are boxes at most."""
-    row = F.struct(F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("block_ord"), F.col("start"), F.struct("bbox", "replacement_text").alias("j"))
-    pages = redactions.groupBy("doc_id", "page_number", "redaction_type").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["j"]).alias("jobs"))
-    wide = lambda j: j["bbox"]["x1"] - j["bbox"]["x0"]
-
-    def join(a: Column, b: Column) -> Column:
-        return F.struct(union_box(a["bbox"], b["bbox"]).alias("bbox"), F.when(wide(a) >= wide(b), a["replacement_text"]).otherwise(b["replacement_text"]).alias("replacement_text"))
-
-    def put(acc: Column, x: Column) -> Column:
-        # x takes in every kept box that it touches
-        hits = F.filter(acc, lambda k: touch(k["bbox"], x["bbox"]))
-        return F.when(F.size(hits) == 0, F.concat(acc, F.array(x))).otherwise(F.concat(F.filter(acc, lambda k: ~touch(k["bbox"], x["bbox"])), F.array(F.aggregate(hits, x, lambda m, k: join(k, m)))))
-
-    sweep = lambda jobs: F.aggregate(jobs, F.slice(jobs, 1, 0), put)
-    fixed = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("jobs"), F.lit(1))), F.col("jobs"), lambda jobs, _: sweep(jobs))
-    return pages.select("doc_id", "page_number", "redaction_type", F.explode(fixed).alias("j")).select("doc_id", "page_number", "redaction_type", "j.*")
+    """Boxes of one page and type that share an area become one, until none do. They are taken in the entries' order (start,
+    type, block, detector); of two that become one the wider's replacement stays, the newer's where they are as wide. Which
+    boxes end up together depends on the boxes before, so a page's boxes go through a loop; only pages with two or more."""
+    order = F.struct("start", "detection_type", "block_ord", "detector_ord", "pattern_ord", "end", F.struct("bbox", "replacement_text").alias("j"))
+    pages = redactions.groupBy("doc_id", "page_number", "redaction_type").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["j"]).alias("jobs"))
+    one = F.size("jobs") == 1
+    parts = pages.filter(one).unionByName(pages.filter(~one).withColumn("jobs", F.pandas_udf(_united, JOBS)("jobs")))
+    return parts.select("doc_id", "page_number", "redaction_type", F.explode("jobs").alias("j")).select("doc_id", "page_number", "redaction_type", "j.*")
 
 
 def refined_boxes(redactions: DataFrame, blocks: DataFrame, slack: float = 2.0) -> DataFrame:

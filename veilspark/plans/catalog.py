@@ -446,8 +446,12 @@ def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redacted_blocks(S(spark, sf_dir), _redactions(spark, sf_dir)).select("doc_id", "page_number", "block_ord", "redacted_text", "n_redactions")
 
 
-@query()
+@query(
+    f"""{_WITH_R}, j AS (SELECT doc_id, page_number, x0, y0, x1, y1, arg_max(replacement_text, lpad(start::VARCHAR, 9, '0') || '|' || detection_type || '|' || lpad(block_ord::VARCHAR, 9, '0') || detector_ord::VARCHAR || pattern_ord::VARCHAR) AS replacement_text FROM r GROUP BY ALL)
+    SELECT doc_id, page_number, 'replace' AS redaction_type, replacement_text, x0, y0, x1, y1 FROM j"""
+)
 def merged_redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement's detections have their block's box and its blocks meet at edges only, so boxes merge within a block."""
     out = redaction.merged_jobs(_redactions(spark, sf_dir))
     return out.select("doc_id", "page_number", "redaction_type", "replacement_text", "bbox.*")
 

@@ -99,14 +99,17 @@ def assess(docs: DataFrame, host: str = "source", max_rate: float = 0.5, min_wor
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = 0.5, min_words: int = 50) -> DataFrame:
-    """The documents that pass the rules and whose domain is not rejected, with their columns as they were."""
+    """The documents that pass the rules and whose domain is not rejected, with their columns as they were. Texts are measured
+    once; what fails by itself is written without its text, for its domain's count alone."""
     tag = "rule_"
     while any(c.lower().startswith(tag) for c in docs.columns):
         tag = "_" + tag
-    verdicts = cut(host_verdicts(measured(docs, [host], tag, min_words), host, tag + "base_failed", max_rate), "hosts")
+    bad = F.col(tag + "base_failed")
+    rows = measured(docs, docs.columns, tag, min_words)
+    rows = cut(rows.select(*(F.when(~bad, F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns), bad), "measured")
+    verdicts = cut(host_verdicts(rows.select(host, bad), host, tag + "base_failed", max_rate), "hosts")
     verdicts = verdicts.select(F.col("host_key").alias(tag + "host"), F.col("host_ok").alias(tag + "ok")).filter(tag + "ok")
-    scored = measured(docs, docs.columns, tag, min_words).filter(~F.col(tag + "base_failed"))
-    return scored.join(verdicts, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col(tag + "host")).select(*docs.columns)
+    return rows.filter(~bad).join(verdicts, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col(tag + "host")).select(*docs.columns)
 
 
 SQL = r"""

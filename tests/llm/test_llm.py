@@ -543,6 +543,19 @@ def test_near_dups_equal_brute_force(docs, empty, size):
     assert near_dups.link(empty).count() == 0
 
 
+def test_near_dups_equal_their_sql(spark):
+    import duckdb
+
+    from veilspark.llm.queries import ORACLES, QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    out = QUERIES["op8_near_dups"](spark, sf_dir)
+    want = duck.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES['op8_near_dups']})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and any(not r[-1] for r in want)
+
+
 def test_near_dups_chain_and_blocks(spark, monkeypatch):
     """A drifting chain of edits in one large bucket: many components' worth of pairs under the limit, blocks of few."""
     monkeypatch.setattr(near_dups, "BLOCK", 4)

@@ -76,4 +76,4 @@ QUERIES = {
     "op9_warc": op9,
     "op10_line_dedup": op10,
 }
-ORACLES = {"op6_quality_rules": host_rules.SQL, "op9_warc": warc.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLES = {"op6_quality_rules": host_rules.SQL, "op8_near_dups": near_dups.SQL, "op9_warc": warc.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -371,6 +371,12 @@ def test_marks_and_terms(spark, monkeypatch):
     assert session.instances(b, terms).count() == 3
     monkeypatch.undo()
     assert session.instances(b, terms.limit(0)).count() == 0
+    # white space other than a blank in a term reads the same in short and long lists
+    tabbed = spark.createDataFrame([("\tMa\tBcd\n", "x", False, "a", False)], session.TERMS)
+    short = session.instances(blocks(spark, "see ma  bcd"), tabbed).select("text", "start").collect()
+    monkeypatch.setattr(session, "FEW_TERMS", 0)
+    assert session.instances(blocks(spark, "see ma  bcd"), tabbed).select("text", "start").collect() == short and len(short) == 1
+    monkeypatch.undo()
     exact = terms.withColumn("case_sensitive", F.lit(True))
     assert session.instances(b, exact).count() == 1
     none = registry.with_ids(d.scan(b, d.EMAIL))

@@ -52,8 +52,13 @@ def loose_pattern(term: str, case_sensitive: bool = False) -> str:
     return body if case_sensitive else f"(?iu:{body})"
 
 
+def _bare(term: str = "term") -> Column:
+    """The term without white space of any kind at its ends."""
+    return F.regexp_replace(term, r"^\s+|\s+$", "")
+
+
 def _pattern_column() -> Column:
-    quoted = F.regexp_replace(F.trim("term"), r"\\E", r"\\E\\\\E\\Q")
+    quoted = F.regexp_replace(_bare(), r"\\E", r"\\E\\\\E\\Q")
     body = F.concat(F.lit(r"\Q"), F.regexp_replace(quoted, r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
     return F.when(F.col("case_sensitive"), body).otherwise(F.concat(F.lit("(?iu:"), body, F.lit(")")))
 
@@ -80,7 +85,7 @@ def instances(blocks: DataFrame, terms: DataFrame, detector: str = "manual") ->
         found = text.withColumn("hit", F.explode(F.concat(*(one(*r) for r in few)))).select(*text.columns, "hit.*")
     else:
         words = text.select("doc_id", "page_number", "block_ord", F.explode(F.array_distinct(_grams(F.lower("text")))).alias("gram"))
-        t = terms.withColumns({"term_pattern": _pattern_column(), "gram": F.substring(F.substring_index(F.lower(F.trim("term")), " ", 1), 1, 3)})
+        t = terms.withColumns({"term_pattern": _pattern_column(), "gram": F.substring(F.split(F.lower(_bare()), r"\s+")[0], 1, 3)})
         hits = words.join(t, "gram").select("doc_id", "page_number", "block_ord", "term", "label", "term_pattern").distinct()
         found = text.join(hits, ["doc_id", "page_number", "block_ord"]).withColumn("s", F.explode(spans_of(F.col("text"), F.col("term_pattern"))))
     out = found.select("doc_id", "page_number", "block_ord", F.lit(detector).alias("detector_name"), tidy_label(F.col("label")).alias("detection_type"), F.col("s.value").alias("text"), (F.col("page_start") + F.col("s.start")).alias("start"), (F.col("page_start") + F.col("s.end")).alias("end"), "bbox", F.lit(1.0).alias("confidence"), F.array(F.concat(F.lit("marked term '"), F.col("term"), F.lit("'"))).alias("reasons"))

@@ -666,10 +666,16 @@ def remembered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.remembered(S(spark, sf_dir), _terms(spark), decision.get_policy()).select("doc_id", "detection_type", "text", "start", "suggested_action")
 
 
-@query(f"{_MARKED} SELECT doc_id, count(*)::BIGINT AS added, 0::BIGINT AS skipped FROM i GROUP BY doc_id")
+_KNOWN = "(detection_type = 'PAYEE' AND doc_id % 2 = 0 OR detection_type = 'CUSTOMER_NAME' AND doc_id % 3 = 0)"
+
+
+@query(f"{_MARKED} SELECT doc_id, sum((NOT {_KNOWN})::INT)::BIGINT AS added, sum({_KNOWN}::INT)::BIGINT AS skipped FROM i GROUP BY doc_id")
 def mark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S(spark, sf_dir)
-    return session.mark(registry.with_ids(found(spark, sf_dir)).filter("detection_type = 'NAME'"), session.instances(s, session.active_terms(_terms(spark))))[1]
+    """Some payees are marked already, with the same id; some names too, by another label and so another id, in the same box."""
+    instances = session.instances(S(spark, sf_dir), session.active_terms(_terms(spark)))
+    name = F.col("detection_type") == "CUSTOMER_NAME"
+    relabelled = {"detection_type": F.when(name, "OWNER").otherwise(F.col("detection_type")), "detection_id": F.when(name, F.concat(F.lit("owner-"), "detection_id")).otherwise(F.col("detection_id"))}
+    return session.mark(instances.filter(_KNOWN).withColumns(relabelled), instances)[1]
 
 
 @query(f"{_MARKED} SELECT doc_id, detection_type, text, start FROM i WHERE detection_type <> 'PAYEE'")

@@ -41,9 +41,10 @@ def to_pixels(b: Column, dpi: float = 144.0) -> Column:
     return box(b["x0"] * s, b["y0"] * s, b["x1"] * s, b["y1"] * s)
 
 
-def range_box(text: Column, words: Column, block_box: Column, start: Column, end: Column) -> Column:
+def range_box(text: Column, words: Column, block_box: Column, start: Column, end: Column, edges: bool = False) -> Column:
     """The box of text[start:end] from the boxes of the words, clipped in x where a word is only partly inside; the
-    block's own box where no word is met. Words are located one after the other from a cursor."""
+    block's own box where no word is met. Words are located one after the other from a cursor. A partly covered word is
+    cut in proportion to its characters or, with ``edges``, at its own character edges (field ``edges``) where it has them."""
     none = F.lit(None).cast("double")
     zero = F.struct(F.lit(0).alias("pos"), none.alias("x0"), none.alias("y0"), none.alias("x1"), none.alias("y1"))
 
@@ -55,6 +56,9 @@ def range_box(text: Column, words: Column, block_box: Column, start: Column, end
         a, b = F.greatest(at, start), F.least(stop, end)
         per = (w["bbox"]["x1"] - w["bbox"]["x0"]) / F.greatest(size, F.lit(1))
         x0, x1 = w["bbox"]["x0"] + (a - at) * per, w["bbox"]["x0"] + (b - at) * per
+        if edges:
+            known = F.coalesce(F.size(w["edges"]) == size + 1, F.lit(False))
+            x0, x1 = (F.when(known, F.get(w["edges"], i)).otherwise(x) for i, x in ((a - at, x0), (b - at, x1)))
         hit = a < b
         pick = lambda f, old, new: F.when(hit, F.coalesce(f(old, new), new)).otherwise(old)
         return F.struct(stop.alias("pos"), pick(F.least, acc["x0"], x0).alias("x0"), pick(F.least, acc["y0"], w["bbox"]["y0"]).alias("y0"), pick(F.greatest, acc["x1"], x1).alias("x1"), pick(F.greatest, acc["y1"], w["bbox"]["y1"]).alias("y1"))

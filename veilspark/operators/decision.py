@@ -48,6 +48,11 @@ PRESETS = {
 DEFAULT = "share-with-ai"
 
 
+def list_policies() -> list[str]:
+    """Names of the presets, in order."""
+    return sorted(PRESETS)
+
+
 def get_policy(name_or_path: str = DEFAULT) -> Policy:
     """A preset, or a policy file (JSON or YAML)."""
     if name_or_path in PRESETS:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +170,22 @@ def custom(name: str, detection_type: str, patterns: list[str], accept: Rule | N
     return Detector(name, detection_type, tuple(patterns), accept=ok, confidence=score, reasons=_notes("matches custom pattern"))
 
 
+def hooked(d: Detector, hook: Callable[[str], float | None]) -> tuple[str, Callable[[DataFrame, int, bool], DataFrame]]:
+    """The detector with a Python check for the registry: ``hook`` takes a value and gives its confidence, None rejects it. It
+    runs over Arrow batches of what the patterns found, once for each distinct value of a batch, before de-duplication."""
+
+    def check(values: pd.Series) -> pd.Series:
+        verdict = {v: hook(v) for v in values.unique()}
+        return pd.Series([verdict[v] for v in values], dtype="float64")
+
+    def run(blocks: DataFrame, detector_ord: int, values_only: bool) -> DataFrame:
+        rows = scan_all(blocks, [(detector_ord, d)], values_only)
+        rows = rows.withColumn("confidence", F.pandas_udf(check, "double")("text")).filter("confidence is not null")
+        return first_of_text(rows) if d.dedupe == "exact" else without_contained(rows) if d.dedupe == "containment" else rows
+
+    return d.name, run
+
+
 def _spans(text: Column, d: Detector, k: int) -> Column:
     plain = spans_of(text, d.patterns[k])
     if d.name == "account" and k == 0:

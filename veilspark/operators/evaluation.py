@@ -43,3 +43,25 @@ def list_match(found: DataFrame, truth: DataFrame) -> DataFrame:
     out = both.groupBy("doc_id").agg(total("t", known & hit).alias("n_matched"), total("t", ~hit).alias("n_missed"), total("f", ~known).alias("n_false"), total("f", hit).alias("n_found"))
     share = lambda n: F.when(n == 0, 1.0).otherwise(F.col("n_matched") / n)
     return out.select("doc_id", "n_matched", "n_missed", "n_false", share(F.col("n_matched") + F.col("n_missed")).alias("recall"), share(F.col("n_found")).alias("precision"))
+
+
+def expectations_met(diagnostics: DataFrame, elements: DataFrame, expected: DataFrame) -> DataFrame:
+    """doc_id, passed, failures: each expected document against its diagnostics and its number of layout elements.
+
+    ``expected``: doc_id, pipeline, min_pages, has_text, encrypted, min_quality, min_elements; a null asks for nothing. A
+    document without diagnostics fails."""
+    n = elements.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_elements_"))
+    rows = expected.join(diagnostics, "doc_id", "left").join(n, "doc_id", "left").withColumn("n_elements_", F.coalesce("n_elements_", F.lit(0)))
+    say = lambda what, want, got: F.concat(F.lit(what + ": expected "), want.cast("string"), F.lit(", got "), got.cast("string"))
+    at_least = lambda c: F.concat(F.lit(">= "), F.col(c).cast("string"))
+    checks = [
+        (F.col("pipeline") != F.col("recommendation"), say("pipeline", F.col("pipeline"), F.col("recommendation"))),
+        (F.col("page_count") < F.col("min_pages"), say("pages", at_least("min_pages"), F.col("page_count"))),
+        (F.col("has_text") != F.col("has_native_text"), say("text", F.col("has_text"), F.col("has_native_text"))),
+        (F.col("encrypted") != F.col("is_encrypted"), say("encrypted", F.col("encrypted"), F.col("is_encrypted"))),
+        (F.col("overall_score") < F.col("min_quality"), say("quality", at_least("min_quality"), F.col("overall_score"))),
+        (F.col("n_elements_") < F.col("min_elements"), say("layout", at_least("min_elements"), F.col("n_elements_"))),
+    ]
+    missing = F.when(F.col("page_count").isNull(), F.lit("no diagnostics"))
+    failures = F.array_compact(F.array(missing, *(F.when(bad, text) for bad, text in checks)))
+    return rows.select("doc_id", (F.size(failures) == 0).alias("passed"), failures.alias("failures"))

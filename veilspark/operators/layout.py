@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.geometry import box
+from veilspark.operators.quality import diagnose
 
 MARGIN, GAP, NUMBER_CHARS = 0.10, 15.0, 10
 
@@ -45,3 +46,13 @@ def elements(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "page_number", "element_type").agg(F.count(F.lit(1)).alias("n_elements"))
+
+
+def report(blocks: DataFrame, pages: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """A document's diagnostics with ``layout``: for each page its number and a map of element types to their counts.
+    ``pages`` has doc_id, page_number, width, height and, where a parser gives them, rotation and encrypted."""
+    known = pages if {"rotation", "encrypted"} <= set(pages.columns) else None
+    by_type = F.map_from_entries(F.array_sort(F.collect_list(F.struct("element_type", "n_elements"))))
+    page = counts(elements(blocks, pages)).groupBy("doc_id", "page_number").agg(by_type.alias("elements"))
+    layout = page.groupBy("doc_id").agg(F.collect_list(F.struct("page_number", "elements")).alias("l")).select("doc_id", F.array_sort("l", lambda a, b: a["page_number"] - b["page_number"]).alias("layout"))
+    return diagnose(blocks, images, known).join(layout, "doc_id", "left")

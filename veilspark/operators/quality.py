@@ -71,13 +71,22 @@ def label(source: Column) -> Column:
     return F.when(source == "native", "Native text extraction").when(source == "ocr", "Full OCR processing").when(source == "hybrid", "Hybrid (native + OCR merge)").otherwise(F.concat(F.lit("Unknown ("), source, F.lit(")")))
 
 
-def diagnose(blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """One row per document: page_count, image_count, score of the joined page texts, scanned, recommendation."""
+def diagnose(blocks: DataFrame, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """One row per document: page_count, image_count, score of the joined page texts, scanned, recommendation, is_encrypted
+    and rotated_pages. ``pages`` (doc_id, page_number, rotation, encrypted, as parsers give them) adds documents and pages
+    without blocks; a page is rotated if its angle isn't 0 or 360. Without it nothing is rotated or encrypted."""
     text = F.filter(F.transform(F.array_sort(F.collect_list(F.when(F.col("block_type") == "text", F.struct("page_number", "block_ord", "text")))), lambda x: x["text"]), lambda x: x.rlike(r"\S"))
     docs = blocks.groupBy("doc_id").agg(F.countDistinct("page_number").alias("page_count"), F.sum((F.col("block_type") == "image").cast("bigint")).alias("image_count"), F.array_join(text, "\n").alias("text"))
     if images is not None:
         docs = docs.drop("image_count").join(images.select("doc_id", "image_count"), "doc_id", "left").withColumn("image_count", F.coalesce("image_count", F.lit(0)))
+    none = F.lit(False), F.array().cast("array<int>")
+    if pages is None:
+        docs = docs.withColumns({"is_encrypted": none[0], "rotated_pages": none[1]})
+    else:
+        turned = F.when(~F.coalesce("rotation", F.lit(0)).isin(0, 360), F.col("page_number").cast("int"))
+        of = pages.groupBy("doc_id").agg(F.countDistinct("page_number").alias("pages_"), F.coalesce(F.max("encrypted"), none[0]).alias("is_encrypted"), F.array_sort(F.collect_set(turned)).alias("rotated_pages"))
+        docs = docs.join(of, "doc_id", "full").withColumns({"page_count": F.greatest(F.coalesce("pages_", F.lit(0)), F.coalesce("page_count", F.lit(0))), "image_count": F.coalesce("image_count", F.lit(0)), "text": F.coalesce("text", F.lit("")), "is_encrypted": F.coalesce("is_encrypted", none[0]), "rotated_pages": F.coalesce("rotated_pages", none[1])}).drop("pages_")
     scored = quality(docs)
     scanned = looks_scanned(F.col("page_count"), F.col("image_count"), F.col("overall_score"))
     has = F.col("text") != ""
-    return scored.select("doc_id", "page_count", "image_count", has.alias("has_native_text"), "overall_score", scanned.alias("estimated_scanned"), recommend(F.lit(False), F.col("page_count"), has, scanned, F.col("overall_score")).alias("recommendation"))
+    return scored.select("doc_id", "page_count", "image_count", has.alias("has_native_text"), "overall_score", scanned.alias("estimated_scanned"), recommend(F.col("is_encrypted"), F.col("page_count"), has, scanned, F.col("overall_score")).alias("recommendation"), "is_encrypted", "rotated_pages")

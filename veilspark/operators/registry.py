@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import detectors as d
 from veilspark.operators.names import scan_names
+from veilspark.schema import DETECTIONS
 
-Scan = Callable[[DataFrame, int], DataFrame]
+Scan = Callable[[DataFrame, int, bool], DataFrame]
 
 
 class Registry:
@@ -21,7 +23,7 @@ class Registry:
         self._scans: dict[str, d.Detector | Scan] = {}
 
     def register(self, detector: d.Detector | tuple[str, Scan]) -> Registry:
-        """A pattern detector, or a name with a function (blocks, detector_ord) -> detections."""
+        """A pattern detector, or a name with a function (blocks, detector_ord, values_only) -> detections."""
         name, scan = detector if isinstance(detector, tuple) else (detector.name, detector)
         if not name:
             raise ValueError("a detector needs a name")
@@ -45,9 +47,20 @@ class Registry:
         wanted = [(k, self._scans[n]) for k, n in enumerate(self.names) if n in chosen]
         patterns = [(k, x) for k, x in wanted if isinstance(x, d.Detector)]
         parts = [d.scan_many(blocks, patterns, values_only, dedupe)] if patterns else []
-        parts += [d.aligned(x(blocks, k)) for k, x in wanted if not isinstance(x, d.Detector)]
+        parts += [d.aligned(x(blocks, k, values_only)) for k, x in wanted if not isinstance(x, d.Detector)]
+        if not parts:
+            return blocks.sparkSession.createDataFrame([], DETECTIONS)
         return reduce(DataFrame.unionByName, parts)
 
+    def timed(self, blocks: DataFrame, names: list[str] | None = None, values_only: bool = False) -> DataFrame:
+        """detector_name, n_detections, duration_ms: each detector run by itself, one after the other, by the wall clock."""
+        rows = []
+        for name in self.names if names is None else names:
+            began = time.perf_counter()
+            n = self.run(blocks, [name], values_only).count()
+            rows.append((name, n, (time.perf_counter() - began) * 1000))
+        return blocks.sparkSession.createDataFrame(rows, "detector_name string, n_detections bigint, duration_ms double")
+
 
 def default_registry(names: bool = True) -> Registry:
     out = Registry()

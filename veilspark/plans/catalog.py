@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import geometry as g
 from veilspark.functions.spans import spans_of
-from veilspark.operators import banks, context, decision, evaluation, fusion, hybrid, layout, names, quality, redaction, registry, session
+from veilspark.operators import banks, context, decision, evaluation, fusion, hybrid, layout, names, quality, redaction, registry, rendering, review, session, text_layer
 from veilspark.operators import detectors as d
 from veilspark.plans import oracle as o
 from veilspark.plans import statements
@@ -96,7 +96,18 @@ def paginate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query()
+_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+#: A line loses its first 82 characters, or what goes before the last blank among 83, and the blanks after them, until it fits.
+_WRAPPED = f"""WITH RECURSIVE t AS (SELECT doc_id, string_split_regex(replace(coalesce(text, ''), chr(9), '    '), '{_BREAKS}') AS xs FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(xs, 1) AS line, unnest(xs) AS rest FROM t),
+w AS (SELECT doc_id, line, 0 AS part, NULL::VARCHAR AS done, rest FROM lines UNION ALL
+  SELECT doc_id, line, part + 1, CASE WHEN length(rest) <= 82 THEN rest ELSE substr(rest, 1, upto) END, CASE WHEN length(rest) > 82 THEN ltrim(substr(rest, upto + 1), ' ') END
+  FROM (SELECT *, coalesce(nullif(length(regexp_extract(substr(rest, 1, 83), '(?s)^(.*) [^ ]*$', 1)), 0), 82) AS upto FROM w WHERE rest IS NOT NULL)),
+n AS (SELECT doc_id, done AS text, (row_number() OVER (PARTITION BY doc_id ORDER BY line, part) - 1)::INT AS block_ord FROM w WHERE part > 0)
+SELECT doc_id, (block_ord // 53 + 1)::INT AS page_number, block_ord, text FROM n WHERE text <> ''"""
+
+
+@query(_WRAPPED)
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.wrapped_blocks(docs(spark, sf_dir)).select("doc_id", "page_number", "block_ord", "text")
 
@@ -174,6 +185,27 @@ def dedupe_twin_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_words(S(spark, sf_dir)).select("doc_id", "page_number", "block_ord", F.size(w).cast("bigint").alias("n_words"), F.size(g.without_twins(twice)).cast("bigint").alias("n_kept"))
 
 
+def _chars(blocks: DataFrame) -> DataFrame:
+    """A character a row, half a point to the right of where its share of the block's box begins."""
+    i = F.posexplode(F.split("text", "")).alias("char_ord", "char")
+    x0 = F.col("bbox.x0") + 0.5 + F.col("char_ord") * 6.0
+    return blocks.select("doc_id", "page_number", F.col("block_ord").alias("run"), "bbox", i).withColumn("bbox", g.box(x0, F.col("bbox.y0"), x0 + 6.0, F.col("bbox.y1")))
+
+
+@query(
+    f"""{o.WITH}, w AS (SELECT doc_id, page_number, block_ord, parts[i] AS word, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0) AS st FROM (SELECT *, unnest(generate_series(2, len(parts), 2)) AS i FROM
+    (SELECT *, string_split(regexp_replace(text, '(\\S+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM s)))
+    SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_ord, st) - 1)::INT AS word_ord, word, CASE WHEN block_ord % 2 = 1 THEN length(word)::INT + 1 END AS n_edges,
+    CASE WHEN block_ord % 2 = 1 THEN round(50.5 + st * 6.0, 6)::DOUBLE END AS first_edge, CASE WHEN block_ord % 2 = 1 THEN round(50.5 + (st + length(word)) * 6.0, 6)::DOUBLE END AS last_edge FROM w"""
+)
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each page; those of every second block with the edges of their characters."""
+    s = S(spark, sf_dir)
+    w = text_layer.page_words(text_layer.with_edges(_with_words(s), text_layer.glyph_words(_chars(s.filter("block_ord % 2 = 1")))))
+    n = F.when(F.col("edges").isNotNull(), F.size("edges"))
+    return w.select("doc_id", "page_number", "word_ord", F.col("text").alias("word"), n.alias("n_edges"), F.round(F.get("edges", F.lit(0)), 6).alias("first_edge"), F.round(F.get("edges", n - 1), 6).alias("last_edge"))
+
+
 @query(f"{o.WITH} SELECT doc_id, page_number, block_ord, text FROM s")
 def blocks_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _with_words(S(spark, sf_dir))
@@ -435,17 +467,57 @@ def redactions_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.by_type(_redactions(spark, sf_dir))
 
 
-@query(
-    f"""{_WITH_R}, sp AS (SELECT doc_id, page_number, block_ord, list({{'s': start, 'e': "end", 'r': replacement_text, 'pos': 0, 'out': ''}} ORDER BY start, "end", replacement_text) AS xs, count(*)::BIGINT AS n FROM r GROUP BY ALL),
-    j AS (SELECT s.*, coalesce(n, 0) AS n_redactions, list_prepend({{'s': 0, 'e': 0, 'r': '', 'pos': 0, 'out': ''}}, coalesce(xs, [])) AS xs FROM s LEFT JOIN sp USING (doc_id, page_number, block_ord)),
-    k AS (SELECT *, list_reduce(xs, lambda a, x: CASE WHEN x.s >= a.pos THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'pos': greatest(a.pos, x.e), 'out': a.out || substr(text, a.pos + 1, x.s - a.pos) || x.r}}
-      WHEN x.e > a.pos THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'pos': x.e, 'out': a.out || repeat('*', x.e - a.pos)}} ELSE a END) AS z FROM j)
+_SPLICED = """sp AS (SELECT doc_id, page_number, block_ord, list({'s': start, 'e': "end", 'r': replacement_text, 'pos': 0, 'out': ''} ORDER BY start, "end", replacement_text) AS xs, count(*)::BIGINT AS n FROM r GROUP BY ALL),
+    j AS (SELECT s.*, coalesce(n, 0) AS n_redactions, list_prepend({'s': 0, 'e': 0, 'r': '', 'pos': 0, 'out': ''}, coalesce(xs, [])) AS xs FROM s LEFT JOIN sp USING (doc_id, page_number, block_ord)),
+    k AS (SELECT *, list_reduce(xs, lambda a, x: CASE WHEN x.s >= a.pos THEN {'s': x.s, 'e': x.e, 'r': x.r, 'pos': greatest(a.pos, x.e), 'out': a.out || substr(text, a.pos + 1, x.s - a.pos) || x.r}
+      WHEN x.e > a.pos THEN {'s': x.s, 'e': x.e, 'r': x.r, 'pos': x.e, 'out': a.out || repeat('*', x.e - a.pos)} ELSE a END) AS z FROM j)
     SELECT doc_id, page_number, block_ord, z.out || substr(text, z.pos + 1) AS redacted_text, n_redactions FROM k"""
-)
+
+
+@query(f"{_WITH_R}, {_SPLICED}")
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redacted_blocks(S(spark, sf_dir), _redactions(spark, sf_dir)).select("doc_id", "page_number", "block_ord", "redacted_text", "n_redactions")
 
 
+_VALUES = f"""v AS (SELECT * REPLACE (50.0 + start * 6.0 AS x0, 50.0 + "end" * 6.0 AS x1) FROM c), f AS ({o.fused("v")})"""
+_REVIEWED = f"""{o.THROUGH_CONTEXT}, {_VALUES}, e AS ({_E}), r AS (SELECT *, repeat('*', greatest(3, least(length(text), 32))) AS replacement_text FROM e WHERE detection_type <> 'PHONE' AND suggested_action IN ('redact', 'ask'))"""
+
+
+@query(f"{_REVIEWED}, {_SPLICED}")
+def review_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole review: run, phones kept, addresses kept and that taken back, applied."""
+    s = S(spark, sf_dir)
+    sources = s.select("doc_id").distinct().withColumns({"source_path": F.col("doc_id").cast("string"), "source_sha256": F.sha2(F.col("doc_id").cast("string"), 256)})
+    r = review.Review(s, sources, registry=registry.default_registry(names=False)).run()
+    r.decide_all(F.col("detection_type") == "PHONE", decision.KEEP).decide_all(F.col("detection_type") == "EMAIL", decision.KEEP).undo()
+    return r.apply().select("doc_id", "page_number", "block_ord", "redacted_text", "n_redactions")
+
+
+_DRAWN = f"""{o.WITH}, q AS ({o.email()}), j AS (SELECT doc_id, page_number, block_ord, text AS value, start, "end", 50.0 + start * 6.0 AS x0, y0 FROM q),
+ln AS (SELECT s.*, CASE WHEN s.block_ord % 2 = 1 THEN 'cour' ELSE 'tiro' END AS font FROM s SEMI JOIN j ON s.doc_id = j.doc_id AND s.block_ord = j.block_ord),
+cuts AS (SELECT doc_id, block_ord, list("end" ORDER BY start) AS ends, list(start ORDER BY start) AS starts FROM j GROUP BY ALL),
+p AS (SELECT doc_id, page_number, y0, font, text, list_prepend(0, ends) AS a, list_append(starts, length(text)) AS b FROM ln JOIN cuts USING (doc_id, block_ord)),
+piece AS (SELECT doc_id, page_number, y0, font, substr(text, lo + 1, hi - lo) AS text, lo FROM (SELECT *, unnest(a) AS lo, unnest(b) AS hi FROM p)),
+op AS (SELECT doc_id, page_number, 1 AS step, 'remove' AS op, NULL AS text, x0 AS x, NULL AS y, NULL AS font, NULL AS color FROM ln
+UNION ALL SELECT doc_id, page_number, 2, 'clear', NULL, x0, NULL, NULL, NULL FROM j UNION ALL SELECT doc_id, page_number, 3, 'fill', NULL, x0, NULL, NULL, 16777215 FROM j
+UNION ALL SELECT doc_id, page_number, 4, 'text', repeat('*', greatest(3, least(length(value), 32))), x0, y0 + 11.0, CASE WHEN block_ord % 2 = 1 THEN 'cour' ELSE 'tiro' END, 255 FROM j
+UNION ALL SELECT doc_id, page_number, 5, 'text', text, 50.0 + lo * 6.0, y0 + 11.0, font, 255 FROM piece WHERE regexp_matches(text, '\\S'))
+SELECT doc_id, page_number, step, op, text, round(x, 6)::DOUBLE AS x, round(y, 6)::DOUBLE AS y, font, color::INT AS color FROM op"""
+
+
+@query(_DRAWN)
+def drawing_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a renderer draws to redact addresses, in two fonts by turns."""
+    s = _with_words(S(spark, sf_dir))
+    jobs = redaction.plan(d.scan(s, d.EMAIL, values_only=True)).withColumn("replacement_text", redaction.stars(F.col("text")))
+    font = F.when(F.col("block_ord") % 2 == 1, "CourierNewPSMT").otherwise("Georgia-Bold")
+    x = lambda i: F.col("bbox.x0") + i * 6.0
+    one = lambda c, i: F.struct(c.alias("char"), g.box(x(i), F.col("bbox.y0"), x(i) + 6.0, F.col("bbox.y1")).alias("bbox"), x(i).alias("x"), (F.col("bbox.y0") + 11.0).alias("y"), font.alias("font"), F.lit(10.0).alias("size"), F.lit(255).alias("color"))
+    lines = s.select("doc_id", "page_number", F.col("block_ord").alias("line_ord"), "bbox", F.transform(F.split("text", ""), one).alias("chars"))
+    ops = rendering.drawing(lines, jobs.select("doc_id", "page_number", "redaction_type", "replacement_text", "bbox"))
+    return ops.select("doc_id", "page_number", "step", "op", "text", F.round(F.coalesce("x", "bbox.x0"), 6).alias("x"), F.round("y", 6).alias("y"), "font", "color")
+
+
 @query(
     f"""{_WITH_R}, j AS (SELECT doc_id, page_number, x0, y0, x1, y1, arg_max(replacement_text, lpad(start::VARCHAR, 9, '0') || '|' || detection_type || '|' || lpad(block_ord::VARCHAR, 9, '0') || detector_ord::VARCHAR || pattern_ord::VARCHAR) AS replacement_text FROM r GROUP BY ALL)
     SELECT doc_id, page_number, 'replace' AS redaction_type, replacement_text, x0, y0, x1, y1 FROM j"""
@@ -543,11 +615,14 @@ def pipeline_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_DIAGNOSED} SELECT doc_id, page_count, 0::BIGINT AS image_count, text <> '' AS has_native_text, overall_score, false AS estimated_scanned,
-    CASE WHEN text = '' OR overall_score < 0.3 THEN 'ocr' WHEN overall_score < 0.7 THEN 'hybrid' ELSE 'native' END AS recommendation FROM r JOIN source USING (doc_id)"""
+    f"""{_DIAGNOSED} SELECT doc_id, page_count, 0::BIGINT AS image_count, text <> '' AS has_native_text, overall_score, false AS estimated_scanned, doc_id % 11 = 0 AS is_encrypted, CASE WHEN doc_id % 7 = 0 THEN '1' ELSE '' END AS rotated_pages,
+    CASE WHEN doc_id % 11 = 0 OR text = '' OR overall_score < 0.3 THEN 'ocr' WHEN overall_score < 0.7 THEN 'hybrid' ELSE 'native' END AS recommendation FROM r JOIN source USING (doc_id)"""
 )
 def document_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.diagnose(L(spark, sf_dir))
+    """Some documents are encrypted, the first page of some is turned."""
+    b = L(spark, sf_dir)
+    known = text.pages_of(b).withColumns({"rotation": F.when((F.col("doc_id") % 7 == 0) & (F.col("page_number") == 1), 90).otherwise(360), "encrypted": F.col("doc_id") % 11 == 0})
+    return quality.diagnose(b, pages=known).withColumn("rotated_pages", F.array_join(F.col("rotated_pages").cast("array<string>"), ","))
 
 
 _LAYOUT = f"""{o.WITH}, k AS (SELECT *, CASE WHEN (y0 + y1) / 2 > 842.0 * (1 - 0.1::DOUBLE) THEN CASE WHEN regexp_full_match(trim(text), '[0-9]+') AND length(trim(text)) <= 10 THEN 'page_number' ELSE 'footer' END
@@ -580,6 +655,32 @@ def layout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.counts(_elements(spark, sf_dir))
 
 
+@query(
+    f"""{_LAYOUT}, n AS (SELECT doc_id, page_number, element_type, count(*) AS n FROM ro GROUP BY ALL),
+    pg AS (SELECT doc_id, page_number, '{{"page_number":' || page_number || ',"elements":{{' || string_agg('"' || element_type || '":' || n, ',' ORDER BY element_type) || '}}}}' AS p FROM n GROUP BY doc_id, page_number)
+    SELECT doc_id, count(*)::BIGINT AS page_count, 0::BIGINT AS image_count, '[' || string_agg(p, ',' ORDER BY page_number) || ']' AS layout FROM pg GROUP BY doc_id"""
+)
+def layout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S(spark, sf_dir)
+    return layout.report(s, statements.pages(s)).select("doc_id", "page_count", "image_count", F.to_json("layout").alias("layout"))
+
+
+@query(
+    f"""{_DIAGNOSED}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+    x AS (SELECT e.doc_id, page_count IS NULL AS none, page_count, text <> '' AS has, overall_score AS score, coalesce(n, 0) AS n, CASE WHEN text = '' OR overall_score < 0.3 THEN 'ocr' WHEN overall_score < 0.7 THEN 'hybrid' ELSE 'native' END AS way
+      FROM (SELECT doc_id FROM documents) e LEFT JOIN (SELECT * FROM r JOIN source USING (doc_id)) USING (doc_id) LEFT JOIN n USING (doc_id)),
+    f AS (SELECT doc_id, list_filter([CASE WHEN none THEN 'no diagnostics' END, CASE WHEN NOT none AND way <> 'native' THEN 'pipeline: expected native, got ' || way END,
+      CASE WHEN page_count < 1 + doc_id % 2 THEN 'pages: expected >= ' || (1 + doc_id % 2) || ', got ' || page_count END, CASE WHEN has <> (doc_id % 5 <> 0) THEN 'text: expected ' || (doc_id % 5 <> 0) || ', got ' || has END,
+      CASE WHEN score < 0.95::DOUBLE THEN 'quality: expected >= 0.95, got ' || score END, CASE WHEN n < 1 + doc_id % 4 THEN 'layout: expected >= ' || (1 + doc_id % 4) || ', got ' || n END], lambda v: v IS NOT NULL) AS v FROM x)
+    SELECT doc_id, len(v) = 0 AS passed, array_to_string(v, '; ') AS failures FROM f"""
+)
+def expectations_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = L(spark, sf_dir)
+    k = F.col("doc_id")
+    asked = {"pipeline": F.lit("native"), "min_pages": 1 + k % 2, "has_text": k % 5 != 0, "encrypted": F.lit(False), "min_quality": F.lit(0.95), "min_elements": 1 + k % 4}
+    return flat(evaluation.expectations_met(quality.diagnose(b), b, docs(spark, sf_dir).select("doc_id").withColumns(asked)))
+
+
 def _bank_sql() -> str:
     lx = names.lx
     first = lambda ps, group=0: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', {group}), '')" for p in ps) + ")"

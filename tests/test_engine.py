@@ -14,11 +14,11 @@ from veilspark.functions import geometry as g
 from veilspark.functions import lexicon as lx
 from veilspark.functions.checksum import verhoeff_ok, verhoeff_ok_py
 from veilspark.functions.spans import first_term, line_around, spans_of
-from veilspark.operators import banks, context, decision, evaluation, fusion, hybrid, layout, names, quality, redaction, registry, session
+from veilspark.operators import banks, context, decision, evaluation, fusion, hybrid, layout, names, quality, redaction, registry, rendering, review, session, text_layer
 from veilspark.operators import detectors as d
 from veilspark.plans import catalog
 from veilspark.schema import BLOCKS, DETECTIONS
-from veilspark.sources import files, plans, text
+from veilspark.sources import files, parsed, plans, text
 
 DATA = "/root/testdata/sf0.001"
 
@@ -437,6 +437,212 @@ def test_stream(spark, tmp_path):
     assert sorted(seen) == ["EMAIL", "PHONE"]
 
 
+# --- parsers, text layer, review, drawing ---
+
+
+def test_parsers_give_blocks_with_boxes(spark, monkeypatch):
+    monkeypatch.setattr(parsed, "_PARSERS", dict(parsed._PARSERS))
+    page = {"page_number": 1, "width": 100.0, "height": 50.0, "rotation": 90, "encrypted": True, "images": [{"box": (0, 0, 10, 10), "data": b"12345", "mime_type": "image/png"}], "lines": [{"text": "a b", "box": (0, 0, 30, 5), "confidence": 0.5}, {"text": "  ", "box": (0, 0, 5, 5)}, {"text": "flat", "box": (0, 5, 5, 5)}]}
+    parsed.register_parser("pdf", lambda name, data: [page, page | {"page_number": 2, "images": [], "lines": page["lines"][:1]}] if data else 1 / 0)
+    found = spark.createDataFrame([(1, "x.pdf", b"%PDF"), (2, "y.pdf", b""), (3, "z.png", b"1"), (4, "t.txt", "one\ttwo\n\nthree é".encode()), (5, "q.xyz", b"")], "doc_id bigint, name string, content binary")
+    pages = parsed.parse(found).cache()
+    errors = {r["doc_id"]: r["error"] for r in pages.filter("error is not null").collect()}
+    assert set(errors) == {2, 3, 5} and "ZeroDivisionError" in errors[2] and "ConversionError" in errors[3]
+    rows = parsed.blocks(pages).orderBy("doc_id", "block_ord").collect()
+    assert [(r["doc_id"], r["page_number"], r["block_ord"], r["block_type"], r["text"]) for r in rows] == [(1, 1, 0, "text", "a b"), (1, 1, 1, "image", ""), (1, 2, 2, "text", "a b"), (4, 1, 0, "text", "one    two"), (4, 1, 1, "text", "three é")]
+    assert rows[0]["confidence"] == 0.5 and [w["bbox"]["x0"] for w in rows[0]["words"]] == [0.0, 20.0] and rows[1]["words"] is None
+    assert [r["preview"] for r in parsed.listing(parsed.blocks(pages)).filter("doc_id = 1").orderBy("block_ord").collect()] == ["a b", "5 bytes", "a b"]
+    d_ = {r["doc_id"]: r for r in quality.diagnose(parsed.blocks(pages), pages=pages.filter("error is null")).collect()}
+    assert d_[1]["rotated_pages"] == [1, 2] and d_[1]["is_encrypted"] and d_[1]["recommendation"] == "ocr" and d_[4]["page_count"] == 1
+
+
+def test_text_pages_equal_wrapped_blocks(spark):
+    body = "\n".join(["short", "", "w" * 100, " ".join(["word"] * 40)] * 30)
+    found = spark.createDataFrame([(1, "a.md", body.encode())], "doc_id bigint, name string, content binary")
+    mine = [(r["page_number"], r["text"], tuple(r["bbox"])) for r in parsed.blocks(parsed.parse(found)).orderBy("block_ord").collect()]
+    plain = [(r["page_number"], r["text"], tuple(r["bbox"])) for r in text.wrapped_blocks(spark.createDataFrame([(1, body)], "doc_id bigint, text string")).orderBy("block_ord").collect()]
+    assert mine == plain and len(mine) > 53
+
+
+def test_outdated(spark):
+    sources = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "name string, modified bigint")
+    done = spark.createDataFrame([("a", 5), ("a", 1), ("b", 4)], "name string, parsed_at bigint")
+    assert sorted(r["name"] for r in parsed.outdated(sources, done).collect()) == ["b", "c"]
+
+
+def test_ocr_lines_and_engines(monkeypatch):
+    line = parsed.ocr_line([(200, 100), (600, 110), (590, 150), (190, 140)], "x", 97.0, 144.0, 250.0, 842.0)
+    assert line == {"text": "x", "box": (95.0, 50.0, 250.0, 75.0), "confidence": 1.0}
+    assert parsed.ocr_line([(0, 0), (5, 5)], " ", 1, 72, 9, 9) is None and parsed.ocr_line([(20, 0), (30, 5)], "off", 1, 72, 9, 9) is None
+    monkeypatch.setattr(parsed, "ENGINES", {})
+    monkeypatch.delenv(parsed.ENGINE_SETTING, raising=False)
+
+    def broken(languages):
+        raise OSError("no model")
+
+    for e in (parsed.Engine("bad", (), broken), parsed.Engine("absent", ("no_such_module_",), broken), parsed.Engine("good", (), lambda languages: lambda png: [([(0, 0), (10, 10)], png.decode(), 0.5)])):
+        parsed.register_engine(e)
+    assert [e.name for e in parsed.engines()] == ["bad", "good"]
+    run = parsed.ocr_parser(lambda name, data, dpi: [(1, 100.0, 100.0, data)], parsed.reader(parsed.engines()), 72.0)
+    assert list(run("n", b"text")) == [{"page_number": 1, "width": 100.0, "height": 100.0, "lines": [{"text": "text", "box": (0.0, 0.0, 10.0, 10.0), "confidence": 0.5}]}]
+    monkeypatch.setenv(parsed.ENGINE_SETTING, "bad")
+    with pytest.raises(RuntimeError, match="no model"):
+        list(parsed.ocr_parser(lambda name, data, dpi: [(1, 1.0, 1.0, data)], parsed.reader(parsed.engines()))("n", b""))
+    monkeypatch.setenv(parsed.ENGINE_SETTING, "unknown")
+    with pytest.raises(ValueError):
+        parsed.engines()
+    with pytest.raises(ValueError):
+        parsed.Engine("", (), broken)
+
+
+def test_character_edges(spark):
+    words = [("Hi", (10.0, 0.0, 30.0, 10.0)), ("yo", (50.0, 0.0, 70.0, 10.0))]
+    b = spark.createDataFrame([(1, 1, 0, "text", "Hi yo", (10.0, 0.0, 70.0, 10.0), words)], BLOCKS + ", words array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>")
+    chars = [(1, 1, 7, i, c, (x, 1.0, x + w, 9.0)) for i, (c, x, w) in enumerate([("H", 11.0, 14.0), ("i", 25.0, 4.0), (" ", 29.0, 20.0), ("y", 60.0, 5.0), ("o", 65.0, 5.0)])]
+    glyphs = text_layer.glyph_words(spark.createDataFrame(chars, "doc_id bigint, page_number int, run int, char_ord int, char string, bbox struct<x0:double,y0:double,x1:double,y1:double>"))
+    assert sorted((r["word"], r["edges"]) for r in glyphs.collect()) == [("Hi", [11.0, 25.0, 29.0]), ("yo", [60.0, 65.0, 70.0])]
+    out = text_layer.with_edges(b, glyphs)
+    assert [(r["text"], r["edges"]) for r in text_layer.page_words(out).orderBy("word_ord").collect()] == [("Hi", [11.0, 25.0, 29.0]), ("yo", None)]
+    boxes = out.select(*(g.range_box(F.col("text"), F.col("words"), F.col("bbox"), F.lit(a), F.lit(z), edges=True).alias(f"b{a}") for a, z in ((1, 2), (4, 5)))).first()
+    assert (boxes["b1"]["x0"], boxes["b1"]["x1"]) == (25.0, 29.0) and (boxes["b4"]["x0"], boxes["b4"]["x1"]) == (60.0, 70.0)
+    pages = spark.createDataFrame([(1, 1)], "doc_id bigint, page_number int")
+    assert text_layer.one_page(out, pages, 1, 1).count() == 2
+    with pytest.raises(ValueError):
+        text_layer.one_page(out, pages, 1, 2)
+
+
+def test_registry_extras(spark):
+    b = blocks(spark, "mail maya@x.com", "call 9876543210", "id AB12 and AB99 and AB12")
+    det = d.custom("own", "OWN", ["AB[0-9]{2}"])
+    reg = registry.default_registry().register(d.hooked(det, lambda v: 0.75 if v != "AB99" else None))
+    assert [(r["text"], r["confidence"]) for r in reg.run(b, ["own"]).orderBy("start").collect()] == [("AB12", 0.75), ("AB12", 0.75)]
+    timed = {r["detector_name"]: r for r in reg.timed(b).collect()}
+    assert list(timed) == reg.names and timed["email"]["n_detections"] == 1 and all(r["duration_ms"] > 0 for r in timed.values())
+    assert reg.run(b, []).count() == 0
+    named = blocks(spark, "maya@x.com", "To Maya").withColumn("words", g.words_with_boxes(F.col("text"), F.col("bbox")))
+    box = next(r["bbox"] for r in registry.default_registry().run(named, ["name"], values_only=True).collect() if r["text"] == "Maya")
+    assert box["x0"] > 40
+    assert decision.list_policies() == ["kyc", "minimal", "share-with-ai"]
+
+
+def _review(spark, *texts, **kw):
+    b = blocks(spark, *texts)
+    sources = spark.createDataFrame([(1, "one.txt", "abc")], "doc_id bigint, source_path string, source_sha256 string")
+    return review.Review(b, sources, **kw)
+
+
+def _texts(r):
+    return [x["redacted_text"] for x in r.apply().orderBy("block_ord").collect()]
+
+
+def test_review_run_decide_undo_save(spark, tmp_path):
+    r = _review(spark, "Phone: 9876543210", "mail ab@x.com", "see Project Apollo")
+    with pytest.raises(RuntimeError):
+        r.entries  # noqa: B018
+    r.run()
+    assert _texts(r) == ["Phone: **********", "mail ********", "see Project Apollo"]
+    r.decide_all(F.col("detection_type") == "EMAIL", decision.KEEP)
+    assert _texts(r)[1] == "mail ab@x.com"
+    assert r.undo() and not r.undo() and _texts(r)[1] == "mail ********"
+    phone = r.entries.filter("detection_type = 'PHONE'").first()["detection_id"]
+    r.decide(spark.createDataFrame([(1, phone, "redact", 1), (1, phone, "keep", 2)], "doc_id bigint, detection_id string, decision string, decided_ord int"))
+    term = spark.createDataFrame([("project apollo", "client", False)], "term string, label string, case_sensitive boolean")
+    counts = r.mark(term, remember=True).first()
+    assert (counts["added"], counts["skipped"]) == (1, 0) and r.mark(term).first()["skipped"] == 1
+    assert _texts(r) == ["Phone: 9876543210", "mail ********", "see **************"]
+    kept = r.counts().first()
+    assert (kept["n_redact"], kept["n_ask"], kept["n_keep"]) == (2, 0, 1) and r.pending().count() == 0
+    r.apply(f"{tmp_path}/plan")
+    saved = plans.read(spark, f"{tmp_path}/plan")
+    again = _review(spark, "Phone: 9876543210", "mail ab@x.com", "see Project Apollo", saved=saved, terms=r.terms).run()
+    assert _texts(again) == ["Phone: 9876543210", "mail ********", "see **************"]
+    manual = again.entries.filter("detector_name = 'manual'").first()["detection_id"]
+    assert again.unmark(manual).entries.filter("detector_name = 'manual'").count() == 0 and again.undo()
+    again.rerun(force_ocr=False)
+    assert again.entries.filter("decision is not null").count() == 0 and again.entries.filter("detector_name = 'remembered'").count() == 1
+    again.forget("Project Apollo", "CLIENT")
+    assert _texts(again)[2] == "see Project Apollo" and again.terms.count() == 0
+
+
+def test_review_reads_by_ocr_where_needed(spark):
+    rows = [(1, 1, 0, "text", "plain words of a good page with maya@x.com", (0.0, 0.0, 200.0, 10.0)), (2, 1, 0, "text", "���", (0.0, 0.0, 50.0, 10.0))]
+    b = spark.createDataFrame(rows, BLOCKS)
+    asked = []
+
+    def ocr(ids):
+        asked.extend(r["doc_id"] for r in ids.collect())
+        read = [(2, 7, 0, "text", "covered", (0.0, 0.0, 50.0, 10.0)), (2, 7, 1, "text", "call 9876543210", (0.0, 20.0, 90.0, 30.0))]
+        return spark.createDataFrame(read, BLOCKS).join(ids, "doc_id", "left_semi")
+
+    sources = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id bigint, source_path string, source_sha256 string")
+    r = review.Review(b, sources, ocr=ocr, registry=registry.default_registry(names=False)).run()
+    assert set(asked) == {2}
+    got = [(x["doc_id"], x["page_number"], x["block_ord"], x["source"], x["redacted_text"]) for x in r.apply().orderBy("doc_id", "block_ord").collect()]
+    assert got == [(1, 1, 0, "native", "plain words of a good page with **********"), (2, 1, 0, "hybrid", "���"), (2, 1, 1, "hybrid", "call **********")]
+
+
+def _line(k, y0, text_, size=10.0, font="Times-Roman", step=6.0):
+    chars = [(c, (10 + i * step, y0, 10 + (i + 1) * step, y0 + 12), 10 + i * step, y0 + 9, font, size, 0) for i, c in enumerate(text_)]
+    return (1, 1, k, (10.0, y0, 10 + len(text_) * step, y0 + 12), chars)
+
+
+LINE_SCHEMA = f"doc_id bigint, page_number int, line_ord int, bbox struct<x0:double,y0:double,x1:double,y1:double>, chars array<{rendering.CHAR}>"
+JOB_SCHEMA = "doc_id bigint, page_number int, redaction_type string, replacement_text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def test_drawing(spark):
+    # the second line overlaps the first, the third only the second; the fourth stands alone
+    lines = spark.createDataFrame([_line(0, 0.0, "ab SECRET cd"), _line(1, 11.0, "next"), _line(2, 22.0, "chained"), _line(3, 60.0, "alone")], LINE_SCHEMA)
+    box = (28.0, 1.0, 64.0, 11.0)
+    jobs = spark.createDataFrame([(1, 1, "replace", "******", box), (1, 1, "black_bar", "x", (200.0, 200.0, 250.0, 220.0)), (1, 1, "replace", None, (200.0, 300.0, 203.0, 308.0)), (1, 1, "highlight", "alone", (10.0, 60.0, 40.0, 72.0))], JOB_SCHEMA)
+    back = spark.createDataFrame([(1, 1, box, 0xEEEEEE)], "doc_id bigint, page_number int, bbox struct<x0:double,y0:double,x1:double,y1:double>, color int")
+    ops = rendering.drawing(lines, jobs, back).collect()
+    of = lambda step: sorted((r for r in ops if r["step"] == step), key=lambda r: (r["bbox"] or ((),), r["y"] or 0, r["x"] or 0))
+    assert [r["bbox"]["y0"] for r in of(1)] == [0.0, 11.0, 22.0] and len(of(2)) == 3
+    assert sorted(r["color"] for r in of(3)) == [0, 0xEEEEEE, 0xFFFFFF]
+    marks = {r["text"]: r for r in of(4)}
+    assert set(marks) == {"******", "*"} and (marks["******"]["font"], marks["******"]["y"], marks["******"]["size"]) == ("tiro", 9.0, 10.0)
+    assert (marks["*"]["font"], marks["*"]["size"], marks["*"]["y"]) == ("helv", 6.0, 306.0)
+    assert [r["text"] for r in of(5)] == ["ab ", " cd", "next", "chained"] and [r["x"] for r in of(5)][:2] == [10.0, 64.0]
+    assert [r["bbox"]["y0"] for r in of(6)] == [60.0]
+
+
+def test_pieces_break_where_characters_stand_apart(spark):
+    k, p, n, b, chars = _line(0, 0.0, "abcd")
+    chars[2:] = [(c, (x0 + 5, y0, x1 + 5, y1), x + 5, y, f, s, col) for c, (x0, y0, x1, y1), x, y, f, s, col in chars[2:]]
+    df = spark.createDataFrame([(k, p, n, b, chars)], LINE_SCHEMA)
+    assert [x["text"] for x in df.select(rendering.pieces(F.col("chars")).alias("p")).first()["p"]] == ["ab", "cd"]
+
+
+def test_render_and_border(spark):
+    import numpy as np
+
+    found = spark.createDataFrame([(1, "a", b"A"), (2, "b", b"B"), (3, "c", b"C")], "doc_id bigint, name string, content binary")
+    ops = rendering.drawing(spark.createDataFrame([_line(0, 0.0, "xy")], LINE_SCHEMA), spark.createDataFrame([(1, 1, "replace", "***", (10.0, 0.0, 16.0, 12.0)), (2, 1, "replace", "***", (0.0, 0.0, 9.0, 9.0))], JOB_SCHEMA))
+
+    def draw(name, data, given):
+        if name == "b":
+            raise ValueError("damaged")
+        return data + "".join(o["op"][0] for o in given).encode()
+
+    out = {r["doc_id"]: r for r in rendering.render(found, ops, draw).collect()}
+    assert bytes(out[1]["content"]) == b"Arcftt" and bytes(out[3]["content"]) == b"C" and out[2]["content"] is None and "damaged" in out[2]["error"]
+    out = {r["doc_id"]: r for r in rendering.render(found, ops, draw, plain=lambda name, data, given: data + b"!").collect()}
+    assert bytes(out[2]["content"]) == b"B!"
+    img = rendering.page_images(found.filter("doc_id = 1"), lambda name, data, dpi: [(1, 10.0, 20.0, b"png")]).first()
+    assert img["scale"] == 2.0 and bytes(img["png"]) == b"png"
+    pixels = np.zeros((4, 4, 3), np.uint8)
+    pixels[0], pixels[-1], pixels[:, 0], pixels[:, -1] = (1, 2, 3), (1, 2, 3), (1, 2, 3), (9, 9, 9)
+    assert rendering.border_color(pixels) == 0x010203 and rendering.border_color(pixels[:2]) == rendering.WHITE
+
+
+def test_expectations(spark):
+    dg = spark.createDataFrame([(1, "native", 2, True, False, 0.9), (2, "ocr", 1, False, False, 0.1)], "doc_id bigint, recommendation string, page_count int, has_native_text boolean, is_encrypted boolean, overall_score double")
+    want = spark.createDataFrame([(1, "native", 2, True, False, 0.5, 1), (2, "native", 1, True, None, None, 0), (3, None, None, None, None, None, None)], "doc_id bigint, pipeline string, min_pages int, has_text boolean, encrypted boolean, min_quality double, min_elements int")
+    out = {r["doc_id"]: r for r in evaluation.expectations_met(dg, spark.createDataFrame([(1,)], "doc_id bigint"), want).collect()}
+    assert out[1]["passed"] and out[2]["failures"] == ["pipeline: expected native, got ocr", "text: expected true, got false"] and out[3]["failures"] == ["no diagnostics"]
+
+
 # --- every query against its SQL ---
 
 

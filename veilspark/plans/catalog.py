@@ -325,7 +325,36 @@ def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.candidates(S(spark, sf_dir))
 
 
-@query()
+_USABLE = f"length(token) >= 4 AND regexp_full_match(token, '\\p{{L}}+') AND token NOT IN ({o.quoted(names.lx.NOT_NAMES)})"
+#: Tokens with the address (m), camel-case handle (cm), whole handle (ow) and title line (ti) that speak for them.
+_NAME_EVIDENCE = f"""m0 AS (SELECT doc_id, page_number * 1000000000 + block_ord * 1000 + generate_subscripts(xs, 1) AS pl, string_split(unnest(xs), '+')[1] AS raw FROM (SELECT *, regexp_extract_all(text, '{names.lx.EMAIL_LOCAL}', 1) AS xs FROM s)),
+m AS (SELECT doc_id, token, arg_min(raw, pl) AS mail FROM (SELECT doc_id, pl, raw, lower(unnest(string_split_regex(raw, '[._%0-9-]+'))) AS token FROM m0) WHERE {_USABLE} GROUP BY ALL),
+h0 AS (SELECT doc_id, page_number * 1000000000 + block_ord * 1000 + generate_subscripts(xs, 1) AS pl, unnest(xs) AS raw FROM (SELECT *, regexp_extract_all(text, '(?i){names.lx.PROFILE}', 1) AS xs FROM s)),
+cm AS (SELECT doc_id, token, arg_min(raw, pl) AS camel FROM (SELECT doc_id, pl, raw, lower(unnest(regexp_extract_all(raw, '[A-Z][a-z]{{2,}}'))) AS token FROM h0) WHERE {_USABLE} GROUP BY ALL),
+sl AS (SELECT doc_id, lower(raw) AS slug, min(pl) AS pl, arg_min(raw, pl) AS raw FROM h0 GROUP BY ALL),
+ow AS (SELECT doc_id, token, pl AS own_at, raw AS own FROM (SELECT *, slug AS token FROM sl) WHERE {_USABLE}),
+ins AS (SELECT sl.doc_id, slug, token, pl, raw FROM sl JOIN m ON sl.doc_id = m.doc_id AND contains(slug, token) AND slug <> token),
+he AS (SELECT doc_id, token, min(pl) AS held_at, arg_min(raw, pl) AS held FROM ins GROUP BY ALL),
+le AS (SELECT doc_id, slug AS token, min(token) AS lent FROM ins GROUP BY ALL),
+tp AS (SELECT *, first_value(page_number) OVER w AS page0, row_number() OVER w AS nth, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, block_ord)),
+tl AS (SELECT doc_id, arg_min(line, nth) AS line FROM tp WHERE nth <= 3 AND page_number = page0 AND length(line) <= 40 AND regexp_full_match(line, '\\p{{Lu}}\\p{{L}}*(\\s+\\p{{Lu}}\\p{{L}}*){{1,3}}') GROUP BY doc_id),
+ti AS (SELECT DISTINCT doc_id, token, line FROM (SELECT doc_id, line, lower(unnest(string_split_regex(line, '\\s+'))) AS token FROM tl) WHERE {_USABLE}),
+tk AS (SELECT * FROM m FULL JOIN cm USING (doc_id, token) FULL JOIN ow USING (doc_id, token) LEFT JOIN he USING (doc_id, token) LEFT JOIN le USING (doc_id, token) LEFT JOIN ti USING (doc_id, token)),
+tr AS (SELECT *, CASE WHEN camel IS NOT NULL THEN 'derived from profile handle ''' || camel || '''' WHEN own IS NOT NULL AND (held_at IS NULL OR own_at < held_at) THEN 'profile handle ''' || own || '''' WHEN held IS NOT NULL THEN 'contained in profile handle ''' || held || '''' END AS by_handle FROM tk),
+live AS (SELECT doc_id, token, list_filter([CASE WHEN mail IS NOT NULL THEN 'derived from email local part ''' || mail || '''' ELSE by_handle END, CASE WHEN mail IS NOT NULL THEN by_handle WHEN own IS NOT NULL THEN 'contains email-derived token ''' || lent || '''' END, 'appears in the title line ''' || line || ''''], lambda x: x IS NOT NULL) AS reasons FROM tr)"""
+#: Places of the tokens in a block: between non-letters or camel-case edges, none within a longer one.
+_NAMES_FOUND = f"""{o.WITH}, {_NAME_EVIDENCE},
+sp AS (SELECT doc_id, page_number, block_ord, text, token, reasons, string_split(lower(text), token) AS ps FROM s JOIN live USING (doc_id) WHERE contains(lower(text), token)),
+at0 AS (SELECT *, unnest(range(1, len(ps))) AS k FROM sp),
+at1 AS (SELECT *, (list_sum(list_transform(ps[1:k], lambda x: length(x))) + (k - 1) * length(token))::INT AS start FROM at0),
+at2 AS (SELECT *, (start + length(token))::INT AS stop, CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END AS lc, substr(text, start + 1, 1) AS fc, substr(text, start + length(token)::INT, 1) AS ec, substr(text, start + length(token)::INT + 1, 1) AS rc FROM at1),
+fr AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, page_number, block_ord ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM at2
+  WHERE (NOT regexp_full_match(lc, '\\p{{L}}') OR (regexp_full_match(lc, '\\p{{Ll}}') AND regexp_full_match(fc, '\\p{{Lu}}'))) AND (NOT regexp_full_match(rc, '\\p{{L}}') OR (regexp_full_match(ec, '\\p{{Ll}}') AND regexp_full_match(rc, '\\p{{Lu}}'))))
+SELECT doc_id, page_number, block_ord, 'name' AS detector_name, 7 AS detector_ord, 'NAME' AS detection_type, substr(text, start + 1, length(token)) AS text, start, stop AS "end", CASE WHEN len(reasons) > 1 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence, array_to_string(reasons, '; ') AS reasons, 0 AS pattern_ord
+FROM fr WHERE reach IS NULL OR reach < stop"""
+
+
+@query(_NAMES_FOUND)
 def detect_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(names.scan_names(S(spark, sf_dir)))
 

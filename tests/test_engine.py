@@ -636,6 +636,24 @@ def test_render_and_border(spark):
     assert rendering.border_color(pixels) == 0x010203 and rendering.border_color(pixels[:2]) == rendering.WHITE
 
 
+def test_review_rendered(spark):
+    b = spark.createDataFrame([(1, 1, 0, "text", "Phone: 9876543210", (10.0, 0.0, 112.0, 12.0))], BLOCKS)
+    r = review.Review(b, spark.createDataFrame([(1, "a", "x")], "doc_id bigint, source_path string, source_sha256 string"), registry=registry.default_registry(names=False)).run()
+    lines = spark.createDataFrame([_line(0, 0.0, "Phone: 9876543210")], LINE_SCHEMA)
+    found = spark.createDataFrame([(1, "a", b"A")], "doc_id bigint, name string, content binary")
+    show = lambda name, data, given: "|".join(f"{o['op']} {o['text'] or ''}".strip() for o in given).encode()
+    assert bytes(r.rendered(found, lines, show).first()["content"]) == b"remove|clear|fill|text **********|text Phone:"
+    assert bytes(r.preview(found, lines, show, lambda name, data, dpi: [(1, 1.0, 1.0, data)]).first()["png"]).startswith(b"remove")
+
+
+def test_unicode_patterns_and_case(spark):
+    one, many = (d.custom("n", "N", [r"\b\d{3}\b"], unicode=u) for u in (False, True))
+    assert values(spark, one, "१२३ 123") == ["123"] and values(spark, many, "१२३ 123") == ["१२३", "123"]
+    terms = spark.createDataFrame([("Straße", "X", False, None, False)], session.TERMS)
+    new = spark.createDataFrame([("STRASSE", "X", False, None, False)], session.TERMS)
+    assert [r["term"] for r in session.add_terms(terms, new).collect()] == ["STRASSE"]
+
+
 def test_expectations(spark):
     dg = spark.createDataFrame([(1, "native", 2, True, False, 0.9), (2, "ocr", 1, False, False, 0.1)], "doc_id bigint, recommendation string, page_count int, has_native_text boolean, is_encrypted boolean, overall_score double")
     want = spark.createDataFrame([(1, "native", 2, True, False, 0.5, 1), (2, "native", 1, True, None, None, 0), (3, None, None, None, None, None, None)], "doc_id bigint, pipeline string, min_pages int, has_text boolean, encrypted boolean, min_quality double, min_elements int")

@@ -163,8 +163,10 @@ ACCOUNT = Detector(
 )
 
 
-def custom(name: str, detection_type: str, patterns: list[str], accept: Rule | None = None, confidence: float | Rule = 1.0) -> Detector:
-    """A detector of the caller's patterns. ``accept`` and ``confidence`` are expressions; a confidence of null rejects."""
+def custom(name: str, detection_type: str, patterns: list[str], accept: Rule | None = None, confidence: float | Rule = 1.0, unicode: bool = False) -> Detector:
+    """A detector of the caller's patterns. ``accept`` and ``confidence`` are expressions; a confidence of null rejects. With
+    ``unicode``, digits, white space and word edges of all scripts count for \\d, \\s, \\w and \\b, not ASCII's alone."""
+    patterns = [f"(?U:{p})" for p in patterns] if unicode else patterns
     score = confidence if callable(confidence) else _constant(confidence)
     ok: Rule = lambda *a: (accept(*a) if accept else F.lit(True)) & score(*a).isNotNull()
     return Detector(name, detection_type, tuple(patterns), accept=ok, confidence=score, reasons=_notes("matches custom pattern"))

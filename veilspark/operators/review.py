@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.geometry import words_with_boxes
-from veilspark.operators import context, decision, fusion, hybrid, quality, redaction, session
+from veilspark.operators import context, decision, fusion, hybrid, quality, redaction, rendering, session
 from veilspark.operators.registry import Registry, default_registry, with_ids
 from veilspark.sources import plans
 
@@ -146,7 +146,7 @@ class Review:
     def forget(self, text: str, label: str) -> Review:
         if self.terms is not None:
             _, self.terms = session.forget(self.entries, self.terms, text, label)
-        gone = (F.col("detector_name") == "remembered") & (F.lower("text") == text.lower()) & (F.col("detection_type") == label)
+        gone = (F.col("detector_name") == "remembered") & (session.folded(F.col("text")) == session.folded(F.lit(text))) & (F.col("detection_type") == label)
         self._steps.append(lambda e: e.filter(~gone))
         return self
 
@@ -175,3 +175,15 @@ class Review:
         if plan_path:
             self.save(plan_path)
         return redaction.redacted_blocks(self.blocks, self.redactions(redaction_type))
+
+    def rendered(self, files: DataFrame, lines: DataFrame, renderer: rendering.Renderer, plain: rendering.Renderer | None = None, backgrounds: DataFrame | None = None) -> DataFrame:
+        """doc_id, name, content, error: the files (doc_id, name, content) redacted as decided so far. ``lines`` are the parser's
+        characters (``rendering.drawing``); boxes are fitted to the values and merged before they are drawn."""
+        boxes = redaction.refined_boxes(self.redactions(), self.blocks)
+        ordered = boxes.withColumns({"start": F.col("bbox.x0"), "end": F.col("bbox.x1"), "detection_type": F.lit(""), "block_ord": F.col("bbox.y0"), "detector_ord": F.lit(0), "pattern_ord": F.lit(0)})
+        return rendering.render(files, rendering.drawing(lines, redaction.merged_jobs(ordered), backgrounds), renderer, plain)
+
+    def preview(self, files: DataFrame, lines: DataFrame, renderer: rendering.Renderer, raster: Callable, dpi: float = 144.0) -> DataFrame:
+        """Pictures of the pages as they would be redacted now."""
+        done = self.rendered(files, lines, renderer)
+        return rendering.page_images(done.filter("error IS NULL"), raster, dpi)

@@ -15,8 +15,13 @@ from veilspark.operators.registry import with_ids
 TERMS = "term string, label string, case_sensitive boolean, added_from string, ignored boolean"
 
 
+def folded(text: Column) -> Column:
+    """The text without regard to case; a sharp s is two."""
+    return F.lower(F.regexp_replace(text, "[ßẞ]", "ss"))
+
+
 def term_key(term: Column, label: Column) -> Column:
-    return F.concat_ws("\x1f", F.lower(term), label)
+    return F.concat_ws("\x1f", folded(term), label)
 
 
 def tidy_label(label: Column) -> Column:
@@ -101,12 +106,12 @@ def _grams(text: Column) -> Column:
 def mark(entries: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries to add, counts of added and skipped per document). An instance is skipped if its id is known, or a known or
     earlier instance of the same text on the page overlaps its box by more than half (IoU)."""
-    known = entries.select("doc_id", "page_number", F.lower("text").alias("k"), F.struct("bbox", F.lit(True).alias("old")).alias("e"))
+    known = entries.select("doc_id", "page_number", folded(F.col("text")).alias("k"), F.struct("bbox", F.lit(True).alias("old")).alias("e"))
     ids = entries.select("doc_id", "detection_id").distinct()
     fresh = found.join(ids, ["doc_id", "detection_id"], "left_anti").dropDuplicates(["doc_id", "detection_id"])
     old = known.groupBy("doc_id", "page_number", "k").agg(F.collect_list(F.col("e.bbox")).alias("old_boxes"))
     columns = found.columns
-    grouped = fresh.groupBy("doc_id", "page_number", F.lower("text").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", F.struct(*columns).alias("row")))).alias("all")).join(old, ["doc_id", "page_number", "k"], "left")
+    grouped = fresh.groupBy("doc_id", "page_number", folded(F.col("text")).alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", F.struct(*columns).alias("row")))).alias("all")).join(old, ["doc_id", "page_number", "k"], "left")
     boxes = F.coalesce("old_boxes", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
     zero = F.struct(boxes.alias("boxes"), F.slice("all", 1, 0).alias("kept"))
 
@@ -131,8 +136,8 @@ def remembered(blocks: DataFrame, terms: DataFrame, policy: Policy) -> DataFrame
 
 def forget(entries: DataFrame, terms: DataFrame, text: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Entries and terms without a remembered term."""
-    gone = (F.col("detector_name") == "remembered") & (F.lower("text") == text.lower()) & (F.col("detection_type") == label)
-    return entries.filter(~gone), terms.filter(~((F.lower("term") == text.lower()) & (tidy_label(F.col("label")) == label)))
+    gone = (F.col("detector_name") == "remembered") & (folded(F.col("text")) == folded(F.lit(text))) & (F.col("detection_type") == label)
+    return entries.filter(~gone), terms.filter(~((folded(F.col("term")) == folded(F.lit(text))) & (tidy_label(F.col("label")) == label)))
 
 
 def remove_manual(entries: DataFrame, detection_id: str) -> DataFrame:

@@ -692,6 +692,19 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(_plain(r[i]) for i in at) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["expectations_met", "document_diagnostics", "text_quality"])
+def test_scores_at_a_half_and_near_zero(spark, tmp_path, name):
+    """Scores whose fifth place is a 5, and one that Spark writes with an exponent, read as the SQL has them."""
+    texts = [" ".join(["ab"] * k + ["abc"] * (w - k)) for w in (80, 160, 320) for k in range(1, w // 2)] + ["a " + "\ufffd" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    cur = con.execute(catalog.ORACLES[name])
+    at = [[c[0] for c in cur.description].index(c) for c in df.columns]
+    assert sorted(tuple(_plain(v) for v in r) for r in df.collect()) == sorted(tuple(_plain(r[i]) for i in at) for r in cur.fetchall())
+
+
 # --- the entry points without the corpus operators ---
 
 

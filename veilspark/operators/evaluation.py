@@ -53,13 +53,15 @@ def expectations_met(diagnostics: DataFrame, elements: DataFrame, expected: Data
     n = elements.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_elements_"))
     rows = expected.join(diagnostics, "doc_id", "left").join(n, "doc_id", "left").withColumn("n_elements_", F.coalesce("n_elements_", F.lit(0)))
     say = lambda what, want, got: F.concat(F.lit(what + ": expected "), want.cast("string"), F.lit(", got "), got.cast("string"))
+    # Spark writes 0.0001 as 1.0E-4
+    score = F.when((F.col("overall_score") > 0) & (F.col("overall_score") < 0.001), F.rtrim(F.col("overall_score").cast("decimal(30,18)").cast("string"), F.lit("0"))).otherwise(F.col("overall_score").cast("string"))
     at_least = lambda c: F.concat(F.lit(">= "), F.col(c).cast("string"))
     checks = [
         (F.col("pipeline") != F.col("recommendation"), say("pipeline", F.col("pipeline"), F.col("recommendation"))),
         (F.col("page_count") < F.col("min_pages"), say("pages", at_least("min_pages"), F.col("page_count"))),
         (F.col("has_text") != F.col("has_native_text"), say("text", F.col("has_text"), F.col("has_native_text"))),
         (F.col("encrypted") != F.col("is_encrypted"), say("encrypted", F.col("encrypted"), F.col("is_encrypted"))),
-        (F.col("overall_score") < F.col("min_quality"), say("quality", at_least("min_quality"), F.col("overall_score"))),
+        (F.col("overall_score") < F.col("min_quality"), say("quality", at_least("min_quality"), score)),
         (F.col("n_elements_") < F.col("min_elements"), say("layout", at_least("min_elements"), F.col("n_elements_"))),
     ]
     missing = F.when(F.col("page_count").isNull(), F.lit("no diagnostics"))

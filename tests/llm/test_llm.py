@@ -272,6 +272,25 @@ def test_suffix_tree_in_parts_equals_plain_tree(spark):
         assert out[i] == pytest.approx(sum(math.log10(prob(s[j - suffix_tree_lm.DEPTH : j], s[j])) for j in range(suffix_tree_lm.DEPTH, len(s))), abs=len(s) / suffix_tree_lm.STEP / 2 + 1e-4)
 
 
+def test_lm_texts_as_arrays():
+    """Tokens, their order by part and sums of log probabilities, without an object for a token or a sort by an index."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    words = [b"plumless", b"a", b"buckeroo", b"\xc3\xa9", b"z"]
+    spelled = [suffix_tree_lm.spell(x) for x in (words, [], [b"a", b"a", b"z"])]
+    codes, distinct = suffix_tree_lm.tokens_of(spelled)
+    assert [distinct[k] for k in codes.tolist()] == [*words, b"", b"", b"a", b"a", b"z", b""]
+    n_tokens, n_known, base = suffix_tree_lm.score_tokens(codes, distinct.index(b""), np.array([w != b"a" for w in distinct]).astype(int), 1.0)
+    assert n_tokens.tolist() == [6, 1, 4] and n_known.tolist() == [5, 1, 2] and base[2] == pytest.approx(2 * math.log10(0.5) + 2 * math.log10(1.5) - 4)
+    for parts in (1, 3):
+        seen = {tuple(tuple(x[k] for k in order[a:b]) for a, b in zip(at, at[1:], strict=False)) for x in (words, words[::-1]) for order, at in [suffix_tree_lm.words_by_part(x, parts)]}
+        assert len(seen) == 1 and [{zlib.crc32(w) % parts for w in ws} or {p} for p, ws in enumerate(*seen)] == [{p} for p in range(parts)]
+    logs = lambda keys: -(keys % np.uint64(1009)).astype(np.float32) / 256
+    narrow = [*spelled, *(suffix_tree_lm.spell([bytes([97 + k % 26, 97 + k % 7])] * (k % 40)) for k in range(500))]
+    for texts in (narrow, [*narrow, bytes(x for x in range(256) if x not in b" \n") + b" \n"]):  # few values of bytes, and all
+        assert suffix_tree_lm.tree_scores(texts, logs).tolist() == [pytest.approx(float(logs(suffix_tree_lm.keys_of([x])).astype(float).sum())) for x in texts]
+        assert (suffix_tree_lm.all_keys(texts) == suffix_tree_lm.keys_of(texts)).all()
+
+
 def test_suffix_tree_keeps_contexts_whatever_the_size_of_the_corpus():
     """Contexts seen 600 times answer the same when the rest of the corpus is a million times larger (a share of all positions cut them)."""
     key = lambda t: suffix_tree_lm.keys_of([t])[-2:-1]  # noqa: E731  (the byte before the end)

@@ -27,8 +27,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +70,80 @@ def keys_of(spelled: list[bytes]) -> np.ndarray:
     return eight << np.uint64(8) | eight >> np.uint64(56)
 
 
+def all_keys(spelled: list[bytes]) -> np.ndarray:
+    """``keys_of`` in one array, made in pieces of about a megabyte."""
+    out, at = np.empty(sum(map(len, spelled)), np.uint64), 0
+    for first, end in _pieces(spelled):
+        own = keys_of(spelled[first:end])
+        out[at : at + len(own)] = own
+        at += len(own)
+    return out
+
+
+def _pieces(spelled: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """First and end of runs of texts of about ``most`` bytes."""
+    first, size = 0, 0
+    for k, d in enumerate(spelled):
+        size += len(d) + DEPTH
+        if size >= most:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(spelled):
+        yield first, len(spelled)
+
+
+def tree_scores(spelled: list[bytes], logs_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of each text's log probabilities; ``logs_of`` has them for sorted distinct n-grams.
+
+    Eight bytes of R distinct values and a text's number fit a 64-bit word where R**8 x texts does; then one sort brings equal
+    n-grams together and each still knows its text. Otherwise each piece of the texts is sorted by an index."""
+    used = np.flatnonzero(np.bincount(np.frombuffer(b"".join([PAD, *spelled]), np.uint8), minlength=256))
+    R, bits = len(used), len(spelled).bit_length()
+    if R**8 << bits > 1 << 64:
+        pieces = [(first, end, *grouped(keys_of(spelled[first:end]))[::2]) for first, end in _pieces(spelled)]
+        keys = np.sort(np.concatenate([x[2] for x in pieces]))
+        keys = keys[_starts(keys)]
+        logs, out = logs_of(keys), np.zeros(len(spelled))
+        for first, end, own, inv in pieces:
+            size = np.fromiter(map(len, spelled[first:end]), np.int64, end - first)
+            out[first:end] = np.add.reduceat(logs[np.searchsorted(keys, own)][inv].astype(np.float64), np.cumsum(size) - size)
+        return out
+    rank = np.zeros(256, np.uint64)
+    rank[used] = np.arange(R)
+    power = [np.uint64(R**k) for k in range(7)]
+    both, at = np.empty(sum(map(len, spelled)), np.uint64), 0
+    for first, end in _pieces(spelled):
+        data = b"".join(PAD + d for d in spelled[first:end])
+        size = np.fromiter(map(len, spelled[first:end]), np.int64, end - first)
+        r = rank[np.frombuffer(data, np.uint8)]
+        two = r[:-1] + r[1:] * power[1]
+        four = two[:-2] + two[2:] * power[2]
+        # the context's last byte is the highest, the symbol the lowest, as in keys_of
+        eight = (four[:-4] + two[4:-2] * power[4] + r[6:-1] * power[6]) * power[1] + r[7:]
+        keep = np.ones(len(data), bool)
+        start = np.cumsum(size + DEPTH) - (size + DEPTH)
+        for j in range(DEPTH):
+            keep[start + j] = False
+        own = eight[keep[DEPTH:]] << np.uint64(bits) | np.repeat(np.arange(first, end, dtype=np.uint64), size)
+        both[at : at + len(own)] = own
+        at += len(own)
+    both.sort()
+    first = np.flatnonzero(_starts(both >> np.uint64(bits)))
+    code = both[first] >> np.uint64(bits)
+    keys = np.zeros(len(code), np.uint64)
+    for j in range(8):
+        code, digit = np.divmod(code, power[1])
+        keys |= used.astype(np.uint64)[digit.astype(np.intp)] << np.uint64(8 * j)
+    logs = logs_of(keys)
+    del keys, code, digit
+    logs = np.repeat(logs, np.diff(first, append=len(both)))
+    out = np.zeros(len(spelled))
+    for k in range(0, len(both), 1 << 20):
+        text = both[k : k + (1 << 20)] & np.uint64((1 << bits) - 1)
+        out += np.bincount(text.astype(np.intp), logs[k : k + (1 << 20)], len(spelled))
+    return out
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts, of sorted parts."""
     if len(parts) == 1:
@@ -144,13 +217,28 @@ def unpack_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
     return data[8 + 8 * k :].split(b"\n") if k else [], np.frombuffer(data, "<i8", k, 8)
 
 
-def words_by_part(words: Iterable[bytes], parts: int) -> dict[int, list[bytes]]:
-    """The words of each part, sorted."""
-    out: dict[int, list[bytes]] = {}
-    words = sorted(words)
-    for w, h in zip(words, map(zlib.crc32, words), strict=True):
-        out.setdefault(h % parts, []).append(w)
-    return out
+def tokens_of(spelled: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each token, all texts together, and the distinct tokens (the end is END). Every token ends at a blank or
+    a newline, so the texts are the buffer of an Arrow column whose equal values get one number; no token becomes an object."""
+    data = b"".join(spelled)
+    at = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero((at == 32) | (at == 10)) + 1
+    offsets = pa.py_buffer(np.concatenate([[0], edge]).astype(np.int64))
+    column = pa.Array.from_buffers(pa.large_binary(), len(edge), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    return column.indices.to_numpy(), [w[:-1] for w in column.dictionary.to_pylist()]
+
+
+def words_by_part(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of distinct words by part that does not depend on the order they come in, and where each part starts in it."""
+    crc = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    key = crc % np.uint64(parts) << np.uint64(32) | crc
+    order = np.argsort(key)
+    key = key[order]
+    same = np.flatnonzero(~_starts(key))  # few: words of one checksum go by themselves
+    for first in same[~np.isin(same - 1, same)].tolist():
+        end = int(np.searchsorted(key, key[first], "right"))
+        order[first - 1 : end] = sorted(order[first - 1 : end].tolist(), key=words.__getitem__)
+    return order, np.searchsorted(key >> np.uint64(32), np.arange(parts + 1))
 
 
 STEP = 3000  # log10 probabilities travel in 16 bits: steps of 1/3000, down to -21.8
@@ -183,7 +271,7 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 ASKED = "block int, part int, grams binary, words binary, n_tokens bigint, n_train bigint"
 
 
-def asked(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> DataFrame:
+def asked(docs: DataFrame, blocks: int, parts: int, chunk: int = 16 << 20) -> DataFrame:
     """block, part, grams, words: the block's distinct n-grams and words of a part with their counts in its training
     documents (0 where only documents held out have them). Part -1 has the counted n-grams of LOW bytes of context,
     n_tokens and n_train, the training tokens and documents."""
@@ -193,14 +281,22 @@ def asked(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> Dat
         block, size, n_tokens, n_train = None, 0, 0, 0
         held: dict[bool, list[bytes]] = {False: [], True: []}
         store: list[tuple[np.ndarray, np.ndarray]] = []
-        train: Counter = Counter()
-        rest: set[bytes] = set()
+        total: dict[bytes, int] = {}
 
         def count() -> None:
             nonlocal size
             for out, spelled in held.items():
                 if spelled:
-                    keys = np.sort(keys_of(spelled))
+                    codes, words = tokens_of(spelled)
+                    if out:
+                        for w in words:
+                            total.setdefault(w, 0)
+                    else:
+                        own = zip(words, np.bincount(codes).tolist(), strict=True)
+                        total.update(own if not total else [(w, total.get(w, 0) + k) for w, k in own])
+                    del codes, words
+                    keys = all_keys(spelled)
+                    keys.sort()
                     first = np.flatnonzero(_starts(keys))
                     n = np.diff(first, append=len(keys)).astype(np.int32)
                     store.append((keys[first], np.zeros_like(n) if out else n))
@@ -213,10 +309,7 @@ def asked(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> Dat
             for doc, text, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
                 words = words_of(text)
                 out = held_out(doc)
-                if out:
-                    rest.update(words)
-                else:
-                    train.update(words)
+                if not out:
                     n_tokens += len(words) + 1
                     n_train += 1
                 held[out].append(spell(words))
@@ -230,15 +323,17 @@ def asked(docs: DataFrame, blocks: int, parts: int, chunk: int = 1 << 20) -> Dat
         store.clear()
         low = pack_counts(*low_grams(keys, n))
         yield _rows([(block, -1, low, None, n_tokens, n_train)])
-        rest.difference_update(train)
-        words = words_by_part([*train, *rest], parts)
+        total.pop(END)
+        words, n_words = list(total), np.fromiter(total.values(), np.int64, len(total))
+        del total
         order, at = by_part(keys, parts)
+        by_word, word_at = words_by_part(words, parts)
         rows = []
         for p in range(parts):
-            pick, own = order[at[p] : at[p + 1]], words.get(p)
-            if len(pick) or own:
+            pick, own = order[at[p] : at[p + 1]], by_word[word_at[p] : word_at[p + 1]]
+            if len(pick) or len(own):
                 grams = pack_counts(keys[pick], n[pick]) if len(pick) else None
-                rows.append((block, p, grams, pack_words(own, np.array([train[w] for w in own], np.int64)) if own else None, None, None))
+                rows.append((block, p, grams, pack_words([words[k] for k in own.tolist()], n_words[own]) if len(own) else None, None, None))
             if len(rows) >= 64:
                 yield _rows(rows)
                 rows = []
@@ -405,62 +500,55 @@ def score(docs: DataFrame, min_count: int = 2, min_gain: float = 12.0, strength:
     unit = np.log10(N + 0.5 * (V + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, whole, answers, known, counts = [], [], {}, {}, {END: n_ends}
+        ids, spelled, answers, known = [], [], {}, {}
         for batch in batches:
             for doc, text, part, packed, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part is None:
                     ids.append(doc)
-                    whole.append(text)
+                    spelled.append(spell(words_of(text)))
                 elif packed is not None:
                     answers[part] = packed
                 else:
                     known[part] = c
-        distinct: set[bytes] = set()
-        for x in whole:
-            distinct.update(words_of(x))
-        for p, words in words_by_part(distinct, parts).items():
-            counts.update(zip(words, unpack(known.pop(p), np.int64)[0].tolist(), strict=True))
-        del distinct
-        groups: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        k = 0
-        while k < len(ids):
-            group, size, first = [], 0, k
-            while k < len(ids) and (not group or size < 1 << 20):
-                group.append(spell(words_of(whole[k])))
-                size += len(group[-1]) + DEPTH
-                k += 1
-            keys, _, inv = grouped(keys_of(group))
-            groups.append((first, k, keys, inv))
-        if not groups:
+        if not ids:
             return
-        keys = np.sort(np.concatenate([g[2] for g in groups]))
-        keys = keys[_starts(keys)]
-        order, at = by_part(keys, parts)
-        logp = np.full(len(keys), np.nan, np.float32)
-        while answers:
-            p, packed = answers.popitem()
-            logp[order[at[p] : at[p + 1]]] = unpack_logs(packed)
-        del order, at
-        while groups:
-            first, end, own, inv = groups.pop()
-            group = [words_of(x) for x in whole[first:end]]
-            cols = score_group(logp[np.searchsorted(keys, own)][inv], group, counts, unit)
-            held = [held_out(x) for x in ids[first:end]]
-            n = np.full(end - first, N, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first:end], pa.int64()), pa.array(held, pa.bool_()), pa.array(cols[0]), pa.array(cols[1]), pa.array(n), pa.array(cols[2]), pa.array(cols[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        codes, words = tokens_of(spelled)
+        end = words.index(END)
+        order, at = words_by_part(words, parts)
+        order, at = order[order != end], at - (at > np.flatnonzero(order == end)[0])  # END is asked of no part
+        counts = np.zeros(len(words), np.int64)
+        for p, packed in known.items():
+            counts[order[at[p] : at[p + 1]]] = unpack(packed, np.int64)[0]
+        counts[end] = n_ends
+        known.clear()
+        del words, order, at
+        n_tokens, n_known, base = score_tokens(codes, end, counts, unit)
+        del codes, counts
+
+        def logs_of(keys: np.ndarray) -> np.ndarray:
+            order, at = by_part(keys, parts)
+            logs = np.full(len(keys), np.nan, np.float32)
+            while answers:
+                p, packed = answers.popitem()
+                logs[order[at[p] : at[p + 1]]] = unpack_logs(packed)
+            return logs
+
+        total = tree_scores(spelled, logs_of)
+        for k in range(0, len(ids), 4096):
+            own = slice(k, k + 4096)
+            held = [held_out(x) for x in ids[own]]
+            n = np.full(len(held), N, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(held, pa.bool_()), pa.array(n_tokens[own]), pa.array(n_known[own]), pa.array(n), pa.array(base[own]), pa.array(total[own])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     # A block's texts and answers in one partition, in any order.
     every = in_blocks(docs, blocks).unionByName(logs, allowMissingColumns=True).unionByName(words.filter("block IS NOT NULL").drop("n_words"), allowMissingColumns=True)
     return every.repartitionById(blocks, "block").select("doc_id", "text", "part", "logs", "counts").mapInArrow(run, SCHEMA)
 
 
-def score_group(logp: np.ndarray, docs: list[list[bytes]], count: dict[bytes, int], unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n_tokens, n_known, base score and score of each text; ``logp`` is the tree's, for each spelled byte; ``unit`` is
-    log10(N + 0.5 (V + 1))."""
-    n_bytes = np.array([sum(map(len, ws)) + len(ws) + 1 for ws in docs])
-    size = np.array([len(ws) for ws in docs])
-    c = np.fromiter(map(count.__getitem__, chain.from_iterable(docs)), np.float64, int(size.sum()))
-    of, end = np.repeat(np.arange(len(docs)), size), count[END]
-    base = np.bincount(of, np.log10(c + 0.5) - unit, len(docs)) + np.log10(end + 0.5) - unit
-    n_known = np.bincount(of, c > 0, len(docs)).astype(np.int64) + (end > 0)
-    return size + 1, n_known, base, np.add.reduceat(logp.astype(np.float64), np.cumsum(n_bytes) - n_bytes)
+def score_tokens(codes: np.ndarray, end: int, count: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_tokens, n_known and base score of each text; ``codes`` has the number of each token, ``end`` that of the end token,
+    ``count`` the training count of each number; ``unit`` is log10(N + 0.5 (V + 1))."""
+    size = np.diff(np.flatnonzero(codes == end), prepend=-1)
+    of = np.repeat(np.arange(len(size)), size)
+    base = np.bincount(of, (np.log10(count + 0.5) - unit)[codes], len(size))
+    return size, np.bincount(of, (count > 0)[codes], len(size)).astype(np.int64), base

@@ -470,6 +470,19 @@ def test_ids_come_back(spark, docs, empty):
     assert id_blocks.store_and_read(empty, path).count() == 0
 
 
+def test_byte_words_are_kept_once():
+    """A word with and without a mark after it is one entry of the store; all texts get the library's ids."""
+    own = id_blocks.ByteEncoder(tokenizer("byte_bpe_50k.json"))
+    texts = ["ab cd, cd. cd; \u00e9t\u00e9: cd", "ab.", None, "", "cd..", " \u00aa, \u0250. x\u00d7y; \u01c0", "a\x0b. b\x85, c\x00d.", "2, 3. \u65e5; \u200b."]
+    for _ in range(2):
+        assert own.encode(texts) == own.whole([x or "" for x in texts])
+        assert [w for w in own.parts if "cd" in w] == [" cd", "cd.."]
+    rnd = random.Random(3)
+    letters = [*"ab Z\u00e9\u00df\u024f\u0250\u00b5\u00d7.,;:!'\n\t\x0b\x85\u3000\u0436\u0663 9-\u0301", *[" "] * 8, "the", " <|endoftext|>"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(5000)]
+    assert own.encode(texts) == own.whole(texts)
+
+
 def test_byte_encoder_equals_library():
     rnd = random.Random(1)
     own = id_blocks.ByteEncoder(tokenizer("byte_bpe_50k.json"), most=100_000)

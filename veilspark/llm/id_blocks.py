@@ -24,7 +24,7 @@ import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from hashlib import sha256
 
@@ -43,6 +43,11 @@ HEAD = struct.Struct("<4sI32sQQ")
 INDEX = np.dtype([("doc_id", "<i8"), ("first", "<u8"), ("offset", "<u8"), ("n", "<u4"), ("null", "<u4")])
 
 
+MARKS = ".,;:"
+#: A word of letters of ASCII, Latin-1 and Latin Extended, a blank before it or not, a mark after it or not.
+LETTERS = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[.,;:]?$"
+
+
 class ByteEncoder:
     """Ids of a byte-level BPE tokenizer. Words repeat: between visible characters, a blank always starts a new pre-token and
     a newline is one of its own, so texts are cut there, and each distinct part goes to the library once. Texts where
@@ -65,12 +70,14 @@ class ByteEncoder:
         self.most = most
         self.model = self.tok.model
         self.table = byte_letters()
-        self.marks = dict(zip(".,;:", self.whole(list(".,;:")), strict=True)) if self.cuttable else {}
+        self.marks = np.frombuffer(b"".join(self.whole(list(MARKS))), np.uint32) if self.cuttable else np.zeros(0, np.uint32)
+        self.mark_of = np.zeros(256, np.uint8)  # a mark's number, from 1, by its byte
+        self.mark_of[list(MARKS.encode())] = np.arange(1, len(MARKS) + 1)
         self.forget()
 
     def forget(self) -> None:
         """Drop what was learnt."""
-        self.parts: dict[str, bytes] = {}  # ids of a part; empty for one that must not be cut off
+        self.parts: dict[str, bytes] = {}  # ids of a word or another part; empty for one that must not be cut off
         self.taken = 0
 
     def whole(self, xs: list[str]) -> list[bytes]:
@@ -90,16 +97,16 @@ class ByteEncoder:
         first = lists.offsets.to_numpy()
         numbered = lists.flatten().dictionary_encode()
         codes = numbered.indices.to_numpy()
-        ids = self._ids_of(numbered.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = np.cumsum(size) - size
+        ids, at, size, mark = self._ids_of(numbered.dictionary)
         n = size[codes]
         rest |= np.add.reduceat(n == 0, first[:-1]) > 0
         end = np.cumsum(n)
-        kind = np.int32 if end[-1] < 1 << 31 and at[-1] < 1 << 31 else np.int64
+        kind = np.int32 if end[-1] < 1 << 31 and len(ids) < 1 << 31 else np.int64
         place = np.repeat((at[codes] - (end - n)).astype(kind), n)
         place += np.arange(len(place), dtype=kind)
-        flat = np.frombuffer(b"".join(ids), np.uint32)[place]
+        marked = np.flatnonzero(mark[codes])
+        place[end[marked] - 1] = len(ids) - len(self.marks) - 1 + mark[codes[marked]].astype(kind)
+        flat = ids[place]
         edge = np.concatenate([[0], end])[first]
         out = [b"" if r else flat[a:b].tobytes() for r, a, b in zip(rest.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         again = np.flatnonzero(rest)
@@ -107,34 +114,47 @@ class ByteEncoder:
             out[i] = x
         return out
 
-    def _ids_of(self, parts: list[str]) -> list[bytes]:
+    def _ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and for each part where its ids start there, their number (0: it must not be cut off) and the number of the
+        mark that is the last of them (0: none). The marks' ids stand at the end of ids."""
         if self.taken > self.most:
             self.forget()
-        known, tokenize, marks = self.parts, self.model.tokenize, self.marks
-        found = list(map(known.get, parts))
-        rest = []
+        # letters, perhaps with one mark after them: pre-tokens that need no searching, straight to the model
+        plain = pc.match_substring_regex(parts, LETTERS)
+        lettered = parts.filter(plain)
+        numbered = pc.utf8_rtrim(lettered, MARKS).dictionary_encode()
+        words, rest = numbered.dictionary.to_pylist(), parts.filter(pc.invert(plain)).to_pylist()
+        found = self._known(words, self._spelled) + self._known(rest, lambda xs: self.whole([x if _free(x) else "" for x in xs]))
+        size_of = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        plain = plain.to_numpy(zero_copy_only=False)
+        entry = np.empty(len(parts), np.int64)
+        entry[plain], entry[~plain] = numbered.indices.to_numpy(), np.arange(len(words), len(found))
+        mark = np.zeros(len(parts), np.uint8)
+        if len(lettered):
+            _, offsets, data = lettered.buffers()
+            last = np.frombuffer(offsets, np.int32)[1 : len(lettered) + 1] - 1
+            mark[plain] = self.mark_of[np.frombuffer(data, np.uint8)[last]]
+        return np.frombuffer(b"".join([*found, self.marks.tobytes()]), np.uint32), (np.cumsum(size_of) - size_of)[entry], size_of[entry] + (mark > 0), mark
+
+    def _known(self, parts: list[str], ids_of: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each part; those not met before go to ``ids_of``."""
+        found = list(map(self.parts.get, parts))
         new = [i for i, x in enumerate(found) if x is None]
-        self.taken += 200 * len(new) + 8 * sum(len(parts[i]) for i in new)  # an entry, its text and its ids, rather too much
-        for i in new:
-            p = parts[i]
-            last = p[-1:]
-            word = p[:-1] if last in marks else p
-            core = word[1:] if word[:1] == " " else word
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                # letters, perhaps with one mark after them: pre-tokens that need no searching, straight to the model
-                ids = known.get(word)
-                if not ids:
-                    text = core if core.isascii() else core.encode().decode("latin-1").translate(self.table)
-                    ids = known[word] = array("I", [t.id for t in tokenize(text if core is word else "\u0120" + text)]).tobytes()
-                found[i] = known[p] = ids if word is p else ids + marks[last]
-            elif _free(p):
-                rest.append(i)
-            else:
-                found[i] = known[p] = b""
-        for i, x in zip(rest, self.whole([parts[i] for i in rest]), strict=True):
-            found[i] = known[parts[i]] = x
+        own = [parts[i] for i in new]
+        self.taken += 200 * len(new) + 8 * sum(map(len, own))  # an entry, its text and its ids, rather too much
+        for i, x in zip(new, ids_of(own), strict=True):
+            found[i] = x
+        self.parts.update(zip(own, map(found.__getitem__, new), strict=True))
         return found
 
+    def _spelled(self, words: list[str]) -> list[bytes]:
+        tokenize, ids, end = self.model.tokenize, array("I"), [0]
+        for w in words:
+            ids.extend([t.id for t in tokenize(("\u0120" + w[1:] if w[0] == " " else w) if w.isascii() else w.encode().decode("latin-1").translate(self.table))])
+            end.append(len(ids) * 4)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(end, end[1:], strict=False)]
+
 
 def byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others from U+0100 on."""
